@@ -1,8 +1,8 @@
-"""Joins of a many-rows-per-key side with a one-row-per-key side, safe for hot keys.
+"""Equi-joins that stay balanced when a key holds a large share of all rows.
 
 A key with more than ``limit`` rows is split into ``ceil(rows / limit)`` parts: its rows are
-spread over the parts by a hash of other columns, and its single lookup row is repeated once
-per part. The table of split keys is broadcast. It holds at most ``total rows / limit`` keys
+spread over the parts by a hash of other columns, and the rows of the other side are repeated
+once per part. The table of split keys is broadcast. It holds at most ``total rows / limit`` keys
 of a few bytes each, because every key in it owns more than ``limit`` rows.
 """
 
@@ -52,3 +52,23 @@ def join_hot(
     left = spread_rows(rows, keys, hot, spread)
     right = repeat_lookup(lookup, keys, hot)
     return left.join(right, [*keys, PART]).drop(PART)
+
+
+def join_hot_both(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    hot_left: DataFrame,
+    hot_right: DataFrame,
+    spread_left: Sequence[Column],
+    spread_right: Sequence[Column],
+) -> DataFrame:
+    """Inner join of two sides with many rows per key: a hot key becomes a grid of parts."""
+
+    def place(rows, spread_hot, spread, repeat_hot, own, other):
+        placed = spread_rows(rows, keys, spread_hot, spread).withColumnRenamed(PART, own)
+        return repeat_lookup(placed, keys, repeat_hot).withColumnRenamed(PART, other)
+
+    a = place(left, hot_left, spread_left, hot_right, "_part_a", "_part_b")
+    b = place(right, hot_right, spread_right, hot_left, "_part_b", "_part_a")
+    return a.join(b, [*keys, "_part_a", "_part_b"]).drop("_part_a", "_part_b")
