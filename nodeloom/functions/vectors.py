@@ -139,15 +139,12 @@ def to_sparse(v: Column) -> Column:
 
 def to_dense(s: Column) -> Column:
     """Zeros up to each stored element, then the element, then the trailing zeros."""
-    indices, values = s["indices"], s["values"]
-
-    def padded(value: Column, k: Column) -> Column:
-        before = F.coalesce(F.get(indices, k - 1), F.lit(-1))
-        return F.concat(F.array_repeat(F.lit(0.0), F.get(indices, k) - before - 1), F.array(value))
-
-    last = F.coalesce(F.get(indices, F.size(indices) - 1), F.lit(-1))
-    tail = F.array_repeat(F.lit(0.0), s["size"] - 1 - last)
-    return F.concat(F.flatten(F.transform(values, padded)), tail)
+    indices = s["indices"]
+    earlier = F.slice(F.concat(F.array(F.lit(-1)), indices), F.lit(1), F.size(indices))
+    gaps = F.zip_with(indices, earlier, lambda i, before: i - before - 1)
+    padded = F.zip_with(s["values"], gaps, lambda x, gap: F.concat(F.array_repeat(F.lit(0.0), gap), F.array(x)))
+    tail = s["size"] - 1 - F.coalesce(F.array_max(indices), F.lit(-1))
+    return F.concat(F.flatten(padded), F.array_repeat(F.lit(0.0), tail))
 
 
 def _merged(a: Column, b: Column) -> Column:
@@ -187,8 +184,7 @@ def sparse_squared_distance(a: Column, b: Column) -> Column:
 
 def mixed_dot(s: Column, v: Column) -> Column:
     """Dot product of a sparse and a dense vector."""
-    products = F.zip_with(s["indices"], s["values"], lambda i, x: x * F.get(v, i))
-    return _checked(s["size"] == F.size(v), "vectors differ in size", _total(products))
+    return sparse_dot(s, to_sparse(v))
 
 
 def mixed_squared_distance(s: Column, v: Column) -> Column:
@@ -225,7 +221,7 @@ def format_sparse(s: Column) -> Column:
 
 
 def _numbers(body: Column, kind: str) -> Column:
-    parts = F.transform(F.split(body, ","), F.trim)
+    parts = F.transform(F.split(body, ","), lambda t: F.trim(t))
     numbers = F.transform(parts, lambda t: t.cast(kind))
     return F.when(F.trim(body) == "", F.array().cast(f"array<{kind}>")).otherwise(numbers)
 
