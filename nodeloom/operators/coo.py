@@ -5,16 +5,22 @@ Positions without a row are zero; stored zeros are kept until :func:`drop_zeros`
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodeloom.operators.skew import HOT_ROWS, hot_keys, join_hot_both
+from nodeloom.operators.skew import hot_keys, join_hot_both
 
 # Widest matrix that is turned into one vector per row.
 MAX_VECTOR = 65_535
+# Edge of the tiles that a task multiplies, and most tiles a side that meet in one part.
+TILE = 32
+TILES_PER_PART = 64
 
 
 class Shape(NamedTuple):
@@ -73,36 +79,86 @@ def multiply(
     b: DataFrame,
     a_shape: Shape | None = None,
     b_shape: Shape | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Matrix product over stored positions; products are summed before and after the shuffle."""
+    """Matrix product: a row for every position that some pair of stored positions contributes to."""
     if a_shape is not None and b_shape is not None and a_shape.cols != b_shape.rows:
         raise ValueError(f"cannot multiply {tuple(a_shape)} by {tuple(b_shape)}")
-    left = a.select("i", F.col("j").alias("k"), F.col("v").alias("va"))
-    right = b.select(F.col("i").alias("k"), "j", F.col("v").alias("vb"))
-
-    def hot(side):
-        return hot_keys(side.groupBy("k").agg(F.count(F.lit(1)).alias("n")), ["k"], "n", hot_rows)
-
-    met = join_hot_both(left, right, ["k"], hot(left), hot(right), [F.col("i")], [F.col("j")])
-    return met.groupBy("i", "j").agg(F.sum(F.col("va") * F.col("vb")).alias("v"))
+    left = _tiles(a, "i", "j", "bi", "a")
+    return _tile_products(left, _tiles(b, "j", "i", "bj", "b"), upper=False)
+
+
+def gramian(coo: DataFrame) -> DataFrame:
+    """AᵀA over stored positions. Only the upper triangle is formed, then mirrored."""
+    left = _tiles(coo, "j", "i", "bi", "a")
+    upper = _tile_products(left, _tiles(coo, "j", "i", "bj", "b"), upper=True)
+    return mirror_upper(upper.where("i <= j"))
+
+
+def _tiles(coo: DataFrame, outer: str, inner: str, block: str, name: str) -> DataFrame:
+    """Square tiles ``bk, <block>, <name>_at, <name>_v`` with the summed index laid out first."""
+    edge = F.lit(TILE).cast("bigint")
+    at = (F.col(inner) % edge * edge + F.col(outer) % edge).cast("int").alias("at")
+    return (
+        coo.select(
+            F.floor(F.col(inner) / edge).cast("bigint").alias("bk"),
+            F.floor(F.col(outer) / edge).cast("bigint").alias(block),
+            F.struct(at, F.col("v")).alias("e"),
+        )
+        .groupBy("bk", block)
+        .agg(F.collect_list("e").alias("e"))
+        .select("bk", block, F.col("e.at").alias(f"{name}_at"), F.col("e.v").alias(f"{name}_v"))
+    )
 
 
-def gramian_by_pairs(coo: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """AᵀA over stored positions, for a matrix too wide for one dense block per task.
+def _tile_products(left: DataFrame, right: DataFrame, upper: bool) -> DataFrame:
+    """Multiply tiles of equal ``bk`` pair by pair in the tasks and sum the results.
 
-    Every product is part of the result. Only the upper triangle is formed, then mirrored.
+    Many tiles of one ``bk`` are split into a grid of parts of at most ``TILES_PER_PART``
+    tiles a side. A task adds the products of a batch per result tile before they are shuffled.
     """
-    left = coo.select(F.col("i").alias("k"), F.col("j").alias("i"), F.col("v").alias("va"))
-    right = coo.select(F.col("i").alias("k"), "j", F.col("v").alias("vb"))
-    hot = hot_keys(coo.groupBy(F.col("i").alias("k")).agg(F.count(F.lit(1)).alias("n")), ["k"], "n", hot_rows)
-    upper = (
-        join_hot_both(left, right, ["k"], hot, hot, [F.col("i")], [F.col("j")])
-        .where("i <= j")
-        .groupBy("i", "j")
-        .agg(F.sum(F.col("va") * F.col("vb")).alias("v"))
-    )
-    return mirror_upper(upper)
+
+    def hot(side: DataFrame) -> DataFrame:
+        return hot_keys(side.groupBy("bk").agg(F.count(F.lit(1)).alias("n")), ["bk"], "n", TILES_PER_PART)
+
+    pairs = join_hot_both(left, right, ["bk"], hot(left), hot(right), [F.col("bi")], [F.col("bj")])
+    if upper:
+        pairs = pairs.where("bi <= bj")
+
+    def tile(at: np.ndarray, v) -> np.ndarray:
+        out = np.zeros(TILE * TILE)
+        out[at] = v
+        return out.reshape(TILE, TILE)
+
+    def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+        return np.concatenate([[0], np.cumsum(sizes)]), column.flatten().to_numpy(zero_copy_only=False)
+
+    def cells(sums: dict) -> pa.RecordBatch:
+        found = []
+        for (bi, bj), (value, hits) in sums.items():
+            r, c = np.nonzero(hits)
+            found.append((bi * TILE + r, bj * TILE + c, value[r, c]))
+        i, j, v = (np.concatenate(part) for part in zip(*found))
+        return pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(v)], names=["i", "j", "v"])
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bi, bj = (batch.column(k).to_numpy() for k in (0, 1))
+            (a_ends, a_at), (_, a_v), (b_ends, b_at), (_, b_v) = (lists(batch.column(k)) for k in (2, 3, 4, 5))
+            sums: dict = {}
+            for n in range(batch.num_rows):
+                in_a, in_b = slice(a_ends[n], a_ends[n + 1]), slice(b_ends[n], b_ends[n + 1])
+                value = tile(a_at[in_a], a_v[in_a]).T @ tile(b_at[in_b], b_v[in_b])
+                hits = tile(a_at[in_a], 1.0).T @ tile(b_at[in_b], 1.0)
+                key = (int(bi[n]), int(bj[n]))
+                if key in sums:
+                    value, hits = value + sums[key][0], hits + sums[key][1]
+                sums[key] = (value, hits)
+            if sums:
+                yield cells(sums)
+
+    parts = pairs.select("bi", "bj", "a_at", "a_v", "b_at", "b_v").mapInArrow(products, "i bigint, j bigint, v double")
+    return parts.groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
 def mirror_upper(upper: DataFrame) -> DataFrame:
@@ -214,15 +270,13 @@ def store(coo: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) ->
     return coo.persist(level)
 
 
-def to_local(coo: DataFrame, dims: Shape, max_cells: int = 4_000_000):
+def to_local(coo: DataFrame, dims: Shape, max_cells: int = 4_000_000) -> np.ndarray:
     """The matrix as a numpy array, when it has at most ``max_cells`` positions."""
-    import numpy as np
-
     if dims.rows * dims.cols > max_cells:
         raise ValueError(f"{dims.rows} x {dims.cols} positions exceed the limit of {max_cells}")
     out = np.zeros(dims)
-    for e in coo.toLocalIterator():
-        out[e.i, e.j] += e.v
+    cells = coo.select("i", "j", "v").toArrow()
+    np.add.at(out, (cells["i"].to_numpy(), cells["j"].to_numpy()), cells["v"].to_numpy())
     return out
 
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.operators.skew import HOT_ROWS
-
 
 def clean_edges(edges: DataFrame) -> DataFrame:
     """Keep edges whose source is positive and that are no self loop; ``dst`` is not checked."""
@@ -66,8 +64,3 @@ def simple_degrees(simple: DataFrame) -> DataFrame:
         .groupBy("nodeid")
         .agg(F.count(F.lit(1)).alias("degree"))
     )
-
-
-def hot_limit(total_rows: int, hot_rows: int = HOT_ROWS) -> int:
-    """Rows per part: never below ``hot_rows``, and never more than a million split keys."""
-    return max(hot_rows, -(-total_rows // 1_000_000))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nodeloom.operators.clustering import closed_wedges
 from nodeloom.operators.edges import simple_degrees
-from nodeloom.operators.skew import HOT_ROWS, hot_keys, join_hot
+from nodeloom.operators.skew import HOT_ROWS, PART, PARTS, hot_keys
 
 
 def ego_nets(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -37,17 +37,25 @@ def ego_nets(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     opposite = found.select(
         F.explode(F.array(facing("x", "y", "z"), facing("y", "x", "z"), facing("z", "x", "y"))).alias("o")
     ).select("o.*")
-    plain = opposite.groupBy("nodeid").agg(F.count(F.lit(1)).alias("amount"))
+    # A pair faces at most as many nodes as its smaller end has neighbours, so only pairs of
+    # two hot nodes can be hot.
+    hot = hot_keys(degrees, ["nodeid"], "degree", hot_rows)
+
+    def with_parts(pairs: DataFrame) -> DataFrame:
+        for end in ("u", "v"):
+            named = hot.select(F.col("nodeid").alias(end), F.col(PARTS).alias(f"_parts_{end}"))
+            pairs = pairs.join(F.broadcast(named), end, "left")
+        both = F.when(F.col("_parts_u").isNull() | F.col("_parts_v").isNull(), F.lit(1))
+        return pairs.withColumn(PARTS, both.otherwise(F.least("_parts_u", "_parts_v"))).drop("_parts_u", "_parts_v")
+
     repeated = counted.where("copies > 1").select("u", "v", (F.col("copies") - 1).alias("surplus"))
-    busy = hot_keys(
-        opposite.groupBy("u", "v").agg(F.count(F.lit(1)).alias("rows")), ["u", "v"], "rows", hot_rows
-    )
-    surplus = (
-        join_hot(opposite, repeated, ["u", "v"], busy, [F.col("nodeid")])
+    repeated = with_parts(repeated).withColumn(PART, F.explode(F.sequence(F.lit(0), F.col(PARTS) - 1))).drop(PARTS)
+    opposite = with_parts(opposite).withColumn(PART, F.pmod(F.xxhash64("nodeid"), F.col(PARTS)).cast("int")).drop(PARTS)
+    among = (
+        opposite.join(repeated, ["u", "v", PART], "left")
         .groupBy("nodeid")
-        .agg(F.sum("surplus").alias("amount"))
+        .agg(F.sum(F.coalesce("surplus", F.lit(0)) + 1).alias("among"))
     )
-    among = plain.unionByName(surplus).groupBy("nodeid").agg(F.sum("amount").alias("among"))
     return (
         degrees.join(incident, "nodeid")
         .join(among, "nodeid", "left")

@@ -16,16 +16,17 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.operators.coo import Shape, to_local
+from nodeloom.operators.coo import Shape
 from nodeloom.operators.edges import extremes, needs_flip, reverse_edges
 from nodeloom.operators.factor import NOISE, eigen_of_square
 from nodeloom.operators.rowmatrix import (
     CELLS_PER_BATCH,
     MAX_DENSE,
-    gramian,
-    gramian_of_lists,
+    local_square,
     multiply_local,
     scatter,
+    square_of_lists,
+    square_of_rows,
 )
 from nodeloom.operators.skew import HOT_ROWS, hot_keys, join_hot
 from nodeloom.runtime import cut_lineage
@@ -40,8 +41,9 @@ class RightVectors(NamedTuple):
     v: DataFrame
 
 
-def _square(gram: DataFrame, n: int) -> np.ndarray:
-    return to_local(gram, Shape(n, n), MAX_DENSE * MAX_DENSE)
+def _square(block: DataFrame, n: int) -> np.ndarray:
+    """The square of a block of ``n`` vectors, one array ``q`` per row."""
+    return local_square(square_of_rows(block, "q", n), n)
 
 
 def _project_lists(lists: DataFrame, matrix: np.ndarray) -> DataFrame:
@@ -66,7 +68,7 @@ def _project_lists(lists: DataFrame, matrix: np.ndarray) -> DataFrame:
 def _from_lists(lists: DataFrame, m: int, k: int) -> RightVectors:
     """From the columns as lists ``j, at, x`` over a short row side of length ``m``."""
     lists = lists.persist(StorageLevel.MEMORY_AND_DISK)
-    s, u = eigen_of_square(_square(gramian_of_lists(lists, m), m), k, 0.0)
+    s, u = eigen_of_square(local_square(square_of_lists(lists, m), m), k, 0.0)
     v = _signed(cut_lineage(_project_lists(lists, u / s if len(s) else u)), len(s))
     lists.unpersist()
     return RightVectors(s, v)
@@ -136,7 +138,7 @@ def block_krylov(
         return scale[:, None] * vectors[:, keep] / np.sqrt(values[keep])
 
     start = cut_lineage(_start_block(coo, p))
-    turn = orthonormaliser(_square(gramian(start, "q", p), p))
+    turn = orthonormaliser(_square(start, p))
     fresh, added = cut_lineage(multiply_local(start, turn, "q")), turn.shape[1]
     table, w = None, 0
     for _ in range(max_rounds):
@@ -148,7 +150,7 @@ def block_krylov(
             b, r = F.slice("q", 1, w), F.slice("q", w + 1, w)
             grown = table.join(grown, "j").select("j", F.concat(b, "x", r, "image").alias("q"))
         table, w = cut_lineage(grown), w + added
-        square = _square(gramian(table, "q", 2 * w), 2 * w)
+        square = _square(table, 2 * w)
 
         # Best vectors within the basis; the Cholesky factor absorbs its rounding errors.
         low = np.linalg.inv(np.linalg.cholesky(square[:w, :w]))
@@ -166,7 +168,7 @@ def block_krylov(
         # The residuals are formed row by row and then squared: taking them from the square
         # of the basis would lose half of the digits.
         with_error = multiply_local(table, np.hstack([np.eye(2 * w), error]), "q")
-        whole = _square(gramian(with_error, "q", 2 * w + tried), 2 * w + tried)
+        whole = _square(with_error, 2 * w + tried)
         sizes = np.sqrt(np.diag(whole)[2 * w :])
         if all(sizes[c] <= tolerance * theta[c] for c in wanted):
             break
@@ -203,7 +205,7 @@ def right_vectors(coo: DataFrame, dims: Shape, k: int, dense_side: int = MAX_DEN
 
     if dims.rows <= dims.cols:
         return _from_lists(lists("j", "i"), dims.rows, k)
-    square = _square(gramian_of_lists(lists("i", "j"), dims.cols), dims.cols)
+    square = local_square(square_of_lists(lists("i", "j"), dims.cols), dims.cols)
     s, v = eigen_of_square(square, k, 0.0)
     cells = [(j, [float(x) for x in line]) for j, line in enumerate(v)]
     return RightVectors(s, _signed(coo.sparkSession.createDataFrame(cells, "j bigint, v array<double>"), len(s)))

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nodeloom.functions.vectors import ml_vectors, older_vectors
-from nodeloom.operators.coo import Shape, to_local
-from nodeloom.operators.rowmatrix import MAX_DENSE, check_width, gramian, multiply_local, width
+from nodeloom.operators.coo import from_local
+from nodeloom.operators.rowmatrix import check_width, local_square, multiply_local, square_of_rows, width
 
 # Components below this share of the largest singular value are noise of the squared matrix.
 NOISE = 1e-7
@@ -84,7 +84,7 @@ def svd(rows: DataFrame, k: int, row: str = "row", compute_u: bool = False, r_co
     check_width(n)
     if not 0 < k <= n:
         raise ValueError(f"k must lie between 1 and {n}")
-    square = to_local(gramian(rows, row, n), Shape(n, n), MAX_DENSE * MAX_DENSE)
+    square = local_square(square_of_rows(rows, row, n), n)
     s, v = eigen_of_square(square, k, r_cond)
     v = v * positive_peak(v) if len(s) else v
     u = multiply_local(rows, v / s, row) if compute_u and len(s) else None
@@ -101,8 +101,6 @@ def principal_components(rows: DataFrame, k: int, row: str = "row") -> Component
 
 def local_rows(spark, matrix: np.ndarray) -> DataFrame:
     """A small local factor as ``i, j, v``."""
-    from nodeloom.operators.coo import from_local
-
     return from_local(spark, matrix)
 
 

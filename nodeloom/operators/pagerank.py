@@ -6,7 +6,6 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.operators.edges import hot_limit
 from nodeloom.operators.skew import HOT_ROWS, PART, hot_keys, repeat_lookup, spread_rows
 from nodeloom.runtime import cut_lineage, shuffle_partitions
 
@@ -59,13 +58,11 @@ def pagerank(
         F.max("nodeid").alias("max_id"),
         F.count(F.lit(1)).alias("nodes"),
         F.max("out_rows").alias("widest"),
-        F.sum("out_rows").alias("rows"),
     ).first()
     if not facts.nodes:
         nodes.unpersist()
         return nodes.select("nodeid", F.lit(0.0).alias("pagerank"))
     size = float(facts.max_id if n_mode == "max_id" else facts.nodes)
-    limit = hot_limit(facts.rows, hot_rows)
     sources = nodes.where("out_rows > 0").select(F.col("nodeid").alias("src"), "total", "out_rows")
 
     # A source without incoming links gets a zero-share link to itself, so that the plain
@@ -77,8 +74,8 @@ def pagerank(
         edges.groupBy("src", "dst").agg(F.sum(weight).alias("amount")).unionByName(unlinked)
     )
     keys, hot = ["src"], None
-    if facts.widest > limit:
-        hot = hot_keys(sources, ["src"], "out_rows", limit)
+    if facts.widest > hot_rows:
+        hot = hot_keys(sources, ["src"], "out_rows", hot_rows)
         links = spread_rows(links, ["src"], hot, [F.col("dst")])
         sources = repeat_lookup(sources, ["src"], hot)
         keys = ["src", PART]

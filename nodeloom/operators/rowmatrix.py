@@ -66,17 +66,36 @@ def _square_rows(square: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def _sum_squares(parts: DataFrame) -> DataFrame:
-    """Add the squares of all tasks, row by row, to coordinates."""
+    """Add the squares of all tasks row by row: ``i, part``."""
     return (
         parts.groupBy("i")
         .agg(Summarizer.sum(array_to_vector("part")).alias("part"))
-        .select("i", F.posexplode(vector_to_array("part")).alias("j", "v"))
-        .select("i", F.col("j").cast("bigint").alias("j"), "v")
+        .select("i", vector_to_array("part").alias("part"))
     )
 
 
+def _cells(square: DataFrame) -> DataFrame:
+    return square.select("i", F.posexplode("part").alias("j", "v")).select("i", F.col("j").cast("bigint").alias("j"), "v")
+
+
+def local_square(square: DataFrame, n: int) -> np.ndarray:
+    """A summed square of the checked width on the driver."""
+    check_width(n)
+    found = square.select("i", "part").toArrow().combine_chunks()
+    out = np.zeros((n, n))
+    if found.num_rows:
+        lines = found["part"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        out[found["i"].to_numpy()] = lines.reshape(-1, n)
+    return out
+
+
 def gramian(rows: DataFrame, row: str = "row", n_cols: int | None = None) -> DataFrame:
     """AᵀA as a coordinate table with all ``n_cols * n_cols`` positions."""
+    return _cells(square_of_rows(rows, row, n_cols))
+
+
+def square_of_rows(rows: DataFrame, row: str = "row", n_cols: int | None = None) -> DataFrame:
+    """AᵀA as rows ``i, part``."""
     n = width(rows, row) if n_cols is None else n_cols
     check_width(n)
 
@@ -93,8 +112,8 @@ def gramian(rows: DataFrame, row: str = "row", n_cols: int | None = None) -> Dat
     return _sum_squares(dense.mapInArrow(accumulate, "i bigint, part array<double>"))
 
 
-def gramian_of_lists(lists: DataFrame, n: int) -> DataFrame:
-    """AᵀA of sparse rows ``at ARRAY<INT>, x ARRAY<DOUBLE>`` with positions below ``n``."""
+def square_of_lists(lists: DataFrame, n: int) -> DataFrame:
+    """AᵀA as rows ``i, part``, of sparse rows ``at ARRAY<INT>, x ARRAY<DOUBLE>`` with positions below ``n``."""
     check_width(n)
     step = max(1, CELLS_PER_BATCH // max(n, 1))
 

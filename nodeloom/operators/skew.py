@@ -3,7 +3,8 @@
 A key with more than ``limit`` rows is split into ``ceil(rows / limit)`` parts: its rows are
 spread over the parts by a hash of other columns, and the rows of the other side are repeated
 once per part. The table of split keys is broadcast. It holds at most ``total rows / limit`` keys
-of a few bytes each, because every key in it owns more than ``limit`` rows.
+of a few bytes each, because every key in it owns more than ``limit`` rows, and the limit grows
+with the total so that this is at most a million.
 """
 
 from __future__ import annotations
@@ -18,10 +19,22 @@ PARTS = "_parts"
 PART = "_part"
 
 
+# Most split keys that a broadcast may hold when the limit follows from the row count.
+MOST_KEYS = 1_000_000
+
+
 def hot_keys(counts: DataFrame, keys: Sequence[str], rows: str, limit: int = HOT_ROWS) -> DataFrame:
-    """Keys of ``counts`` with more than ``limit`` rows, and the number of parts of each."""
-    return counts.where(F.col(rows) > F.lit(limit)).select(
-        *keys, F.ceil(F.col(rows) / F.lit(limit)).cast("int").alias(PARTS)
+    """Keys of ``counts`` with more than ``limit`` rows, and the number of parts of each.
+
+    The limit is raised to ``total rows / MOST_KEYS`` where that is more, so that there are
+    never more than ``MOST_KEYS`` such keys.
+    """
+    total = counts.agg(F.coalesce(F.sum(rows), F.lit(0)).alias("total")).scalar()
+    most = F.greatest(F.lit(limit), F.ceil(total / F.lit(MOST_KEYS)))
+    return (
+        counts.select(*keys, F.col(rows).alias("_rows"), most.alias("_most"))
+        .where("_rows > _most")
+        .select(*keys, F.ceil(F.col("_rows") / F.col("_most")).cast("int").alias(PARTS))
     )
 
 

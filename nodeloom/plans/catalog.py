@@ -359,7 +359,7 @@ def _(spark, d):
 
 @query("m6_coordinate_gramian")
 def _(spark, d):
-    return rounded(coo.gramian_by_pairs(tables.measure(spark, d, "l_quantity")), SUM_DIGITS, "v")
+    return rounded(coo.gramian(tables.measure(spark, d, "l_quantity")), SUM_DIGITS, "v")
 
 
 @query("m7_column_cosines")
