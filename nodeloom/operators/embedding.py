@@ -29,7 +29,7 @@ from nodeloom.operators.rowmatrix import (
     square_of_rows,
 )
 from nodeloom.operators.skew import HOT_ROWS, hot_keys, join_hot
-from nodeloom.runtime import cut_lineage
+from nodeloom.runtime import cut_lineage, store_table
 
 COMPONENTS = 10
 
@@ -137,9 +137,9 @@ def block_krylov(
         keep = values > values[-1] * 1e-10
         return scale[:, None] * vectors[:, keep] / np.sqrt(values[keep])
 
-    start = cut_lineage(_start_block(coo, p))
+    start = store_table(_start_block(coo, p))
     turn = orthonormaliser(_square(start, p))
-    fresh, added = cut_lineage(multiply_local(start, turn, "q")), turn.shape[1]
+    fresh, added = store_table(multiply_local(start, turn, "q")), turn.shape[1]
     table, w = None, 0
     for _ in range(max_rounds):
         images = applied_twice(fresh, added).withColumnRenamed("q", "image")
@@ -149,7 +149,7 @@ def block_krylov(
         else:
             b, r = F.slice("q", 1, w), F.slice("q", w + 1, w)
             grown = table.join(grown, "j").select("j", F.concat(b, "x", r, "image").alias("q"))
-        table, w = cut_lineage(grown), w + added
+        table, w = store_table(grown), w + added
         square = _square(table, 2 * w)
 
         # Best vectors within the basis; the Cholesky factor absorbs its rounding errors.
@@ -161,7 +161,7 @@ def block_krylov(
         if w + tried > max_width:
             kept = np.ascontiguousarray(turn[:, : 2 * p])
             none = np.zeros_like(kept)
-            table, w = cut_lineage(multiply_local(table, np.block([[kept, none], [none, kept]]), "q")), kept.shape[1]
+            table, w = store_table(multiply_local(table, np.block([[kept, none], [none, kept]]), "q")), kept.shape[1]
             turn = np.eye(w)
         error = np.vstack([-turn * theta[: turn.shape[1]], turn])[:, :tried]
 
@@ -181,12 +181,12 @@ def block_krylov(
         added = turn_new.shape[1]
         combine = np.zeros((2 * w + tried, added))
         combine[:w], combine[spread] = -overlap @ turn_new, turn_new
-        fresh = cut_lineage(multiply_local(with_error, combine, "q"))
+        fresh = store_table(multiply_local(with_error, combine, "q"))
     else:
         raise RuntimeError(f"no convergence after {max_rounds} rounds")
     keep = len(wanted)
     best = np.vstack([turn[:, :keep], np.zeros((w, keep))])
-    v = cut_lineage(multiply_local(table, best, "q")).withColumnRenamed("q", "v")
+    v = store_table(multiply_local(table, best, "q")).withColumnRenamed("q", "v")
     for stored in (coo, *hot_of.values()):
         stored.unpersist()
     return RightVectors(np.sqrt(theta[:keep]), _signed(v, keep))

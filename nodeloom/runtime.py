@@ -38,6 +38,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store_table(df: DataFrame) -> DataFrame:
+    """Like :func:`cut_lineage`, as a written table.
+
+    A checkpoint keeps the size estimate of its plan, and joins multiply estimates: over many
+    rounds of joining a result with itself the estimate alone becomes too long to handle. A
+    written table has the size of its files.
+    """
+    path = work_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
