@@ -36,7 +36,7 @@ def pagerank(
     weighted: bool = False,
     n_mode: str = "max_id",
     hot_rows: int = HOT_ROWS,
-    checkpoint_every: int = 5,
+    checkpoint_every: int = 3,
 ) -> DataFrame:
     """``nodeid, pagerank`` for every end of a cleaned edge table.
 
