@@ -212,17 +212,20 @@ def column_cosines(gram: DataFrame) -> DataFrame:
     return paired.select("i", "j", F.when(size == 0, 0.0).otherwise(F.col("v") / size).alias("v"))
 
 
-def covariance_from(gram: DataFrame, means: DataFrame, n_rows: int) -> DataFrame:
-    """Sample covariance from a Gramian and column means ``j, mean``; zero means may be absent."""
-    if n_rows < 2:
+def covariance(coo: DataFrame, dims: Shape) -> DataFrame:
+    """Sample covariance of the columns; columns that share no row have one too, so all pairs are returned."""
+    if dims.rows < 2:
         raise ValueError("covariance needs at least two rows")
-    mean = F.coalesce("mean", F.lit(0.0))
-    left = means.select(F.col("j").alias("i"), F.col("mean"))
-    paired = (
-        gram.join(left, "i", "left").withColumn("mi", mean).drop("mean").join(means.select("j", "mean"), "j", "left").withColumn("mj", mean)
-    )
-    n = F.lit(float(n_rows))
-    return paired.select("i", "j", ((F.col("v") - n * F.col("mi") * F.col("mj")) / (n - 1)).alias("v"))
+    if dims.cols > MAX_VECTOR:
+        raise ValueError(f"{dims.cols} columns exceed the limit of {MAX_VECTOR}")
+    n = F.lit(float(dims.rows))
+    means = coo.groupBy("j").agg((F.sum("v") / n).alias("mean"))
+    found = fill_zeros(gramian(coo), Shape(dims.cols, dims.cols))
+    for side in ("i", "j"):
+        named = means.select(F.col("j").alias(side), F.col("mean").alias(f"mean_{side}"))
+        found = found.join(named, side, "left")
+    product = F.coalesce(F.col("mean_i") * F.col("mean_j"), F.lit(0.0))
+    return found.select("i", "j", ((F.col("v") - n * product) / (n - 1)).alias("v"))
 
 
 def drop_zeros(coo: DataFrame) -> DataFrame:
@@ -233,9 +236,9 @@ def fill_zeros(coo: DataFrame, dims: Shape) -> DataFrame:
     """A row for every position of the matrix."""
     cells = dims.rows * dims.cols
     width = F.lit(dims.cols).cast("bigint")
-    grid = coo.sparkSession.range(cells).select(
-        F.expr("id").try_cast("bigint").alias("cell")
-    ).select(F.floor(F.col("cell") / width).cast("bigint").alias("i"), (F.col("cell") % width).alias("j"))
+    # Whole-number division: the quotient of two doubles is not exact for many cells.
+    row = ((F.col("id") - F.col("id") % width) / width).cast("bigint")
+    grid = coo.sparkSession.range(cells).select(row.alias("i"), (F.col("id") % width).alias("j"))
     return grid.join(coo, ["i", "j"], "left").select("i", "j", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 

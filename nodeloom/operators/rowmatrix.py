@@ -16,7 +16,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.operators.coo import Shape, covariance_from
+from nodeloom.operators.coo import Shape
 
 # Widest matrix whose square is accumulated in a task: 4096 * 4096 doubles are 128 MiB.
 MAX_DENSE = 4096
@@ -174,8 +174,7 @@ def covariance(rows: DataFrame, row: str = "row", n_cols: int | None = None) ->
         raise ValueError("covariance needs at least two rows")
     centre = F.array(*[F.lit(m) for m in facts.mean])
     centred = rows.select(F.zip_with(F.col(row).cast("array<double>"), centre, lambda x, m: x - m).alias("row"))
-    no_means = rows.sparkSession.createDataFrame([], "j bigint, mean double")
-    return covariance_from(gramian(centred, "row", n), no_means, facts.n)
+    return gramian(centred, "row", n).withColumn("v", F.col("v") / (facts.n - 1))
 
 
 def multiply_local(rows: DataFrame, matrix: np.ndarray, row: str = "row") -> DataFrame:

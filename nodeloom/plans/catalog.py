@@ -352,6 +352,12 @@ def _(spark, d):
     return rounded(rowmatrix.covariance(tables.vectors(spark, d)), SUM_DIGITS, "v")
 
 
+@query("m5_coordinate_covariance")
+def _(spark, d):
+    m = tables.measure(spark, d, "l_quantity").where("v > 600")
+    return rounded(coo.covariance(m, coo.Shape(coo.shape(m).rows, GROUPS)), 4, "v")
+
+
 @query("m6_gramian")
 def _(spark, d):
     return rounded(rowmatrix.gramian(tables.vectors(spark, d)), SUM_DIGITS, "v")

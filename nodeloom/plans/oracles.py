@@ -186,6 +186,10 @@ f AS (SELECT g.j, coalesce(k.v, 0) AS v FROM g LEFT JOIN k ON k.i = g.i AND k.j
 x AS (SELECT j, avg(v) AS mean, var_samp(v) AS variance, CAST(count(*) AS BIGINT) AS n,
 CAST(count(*) FILTER (v <> 0) AS BIGINT) AS nnz, max(v) AS hi, min(v) AS lo, sum(abs(v)) AS l1, sqrt(sum(v * v)) AS l2 FROM f GROUP BY j) {_SUMMARY}""",
     "m5_covariance": f"WITH {M} SELECT a.j AS i, b.j AS j, round(covar_samp(a.v, b.v), 6) + 0.0::DOUBLE AS v FROM m a JOIN m b ON a.i = b.i GROUP BY a.j, b.j",
+    "m5_coordinate_covariance": f"""WITH {QUANTITY}, k AS (SELECT * FROM a WHERE v > 600),
+g AS (SELECT r.range AS i, c.range AS j FROM range((SELECT max(i) + 1 FROM k)) r CROSS JOIN range(50) c),
+f AS (SELECT g.i, g.j, coalesce(k.v, 0) AS v FROM g LEFT JOIN k ON k.i = g.i AND k.j = g.j)
+SELECT p.j AS i, q.j AS j, round(covar_samp(p.v, q.v), 4) + 0.0::DOUBLE AS v FROM f p JOIN f q ON p.i = q.i GROUP BY p.j, q.j""",
     "m6_gramian": f"WITH {M} SELECT a.j AS i, b.j AS j, round(sum(a.v * b.v), 6) + 0.0::DOUBLE AS v FROM m a JOIN m b ON a.i = b.i GROUP BY a.j, b.j",
     "m6_coordinate_gramian": f"WITH {QUANTITY} SELECT p.j AS i, q.j AS j, round(sum(p.v * q.v), 6) AS v FROM a p JOIN a q ON p.i = q.i GROUP BY p.j, q.j",
     "m7_column_cosines": f"""WITH {M}, n AS (SELECT j, sqrt(sum(v * v)) AS n FROM m GROUP BY j)
