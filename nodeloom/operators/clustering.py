@@ -7,26 +7,47 @@ a row, and each triangle is found exactly once, at its lowest node.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nodeloom.operators.edges import simple_degrees, simple_edges
 from nodeloom.operators.skew import HOT_ROWS, hot_keys, join_hot
+from nodeloom.runtime import store_table
 
 # Later neighbours of one node that a task expands at a time.
 PIECE = 256
 
 
-def annotate_degrees(simple: DataFrame, degrees: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+class Neighbours(NamedTuple):
+    """The stored ``degrees`` (``nodeid, degree``) and ``lists`` (``x, later``) of a simple graph.
+
+    ``hot`` are the nodes whose rows a join has to split, or None when there are none.
+    """
+
+    degrees: DataFrame
+    lists: DataFrame
+    hot: DataFrame | None
+
+
+def hot_nodes(degrees: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    widest = degrees.agg(F.max("degree")).first()[0]
+    if widest is None or widest <= hot_rows:
+        return None
+    return hot_keys(degrees, ["nodeid"], "degree", hot_rows)
+
+
+def annotate_degrees(simple: DataFrame, degrees: DataFrame, hot: DataFrame | None) -> DataFrame:
     """Add the degrees ``du``, ``dv`` of both ends to ``simple`` (``u, v``)."""
-    hot = hot_keys(degrees, ["nodeid"], "degree", hot_rows)
     out = simple
     for end, other in (("u", "v"), ("v", "u")):
         out = join_hot(
             out,
             degrees.select(F.col("nodeid").alias(end), F.col("degree").alias(f"d{end}")),
             [end],
-            hot.withColumnRenamed("nodeid", end),
+            None if hot is None else hot.withColumnRenamed("nodeid", end),
             [F.col(other)],
         )
     return out.select("u", "v", "du", "dv")
@@ -35,7 +56,8 @@ def annotate_degrees(simple: DataFrame, degrees: DataFrame, hot_rows: int = HOT_
 def neighbour_degrees(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``nodeid, neighbour, neighbour_degree`` for both directions of each linked pair."""
     simple = simple_edges(edges)
-    pairs = annotate_degrees(simple, simple_degrees(simple), hot_rows)
+    degrees = store_table(simple_degrees(simple))
+    pairs = annotate_degrees(simple, degrees, hot_nodes(degrees, hot_rows))
 
     def seen(node: str, neighbour: str):
         return F.struct(
@@ -70,12 +92,24 @@ def later_neighbours(oriented: DataFrame) -> DataFrame:
     )
 
 
+def neighbours(simple: DataFrame, hot_rows: int = HOT_ROWS) -> Neighbours:
+    """Store the degrees and later-neighbour lists of ``simple`` (``u, v``), which is read twice.
+
+    Both tables have several readers; the lists cost two joins over all edges, so they are
+    written once instead of being derived for each reader.
+    """
+    simple = simple.persist(StorageLevel.MEMORY_AND_DISK)
+    degrees = store_table(simple_degrees(simple))
+    hot = hot_nodes(degrees, hot_rows)
+    lists = store_table(later_neighbours(orient(annotate_degrees(simple, degrees, hot))))
+    simple.unpersist()
+    return Neighbours(degrees, lists, hot)
+
+
 def ordered_neighbour_lists(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``nodeid, degree, later`` for every node, with an empty list where nothing ranks higher."""
-    simple = simple_edges(edges)
-    degrees = simple_degrees(simple)
-    lists = later_neighbours(orient(annotate_degrees(simple, degrees, hot_rows)))
-    return degrees.join(lists.withColumnRenamed("x", "nodeid"), "nodeid", "left").withColumn(
+    found = neighbours(simple_edges(edges), hot_rows)
+    return found.degrees.join(found.lists.withColumnRenamed("x", "nodeid"), "nodeid", "left").withColumn(
         "later", F.coalesce("later", F.array().cast("array<bigint>"))
     )
 
@@ -100,15 +134,13 @@ def wedge_candidates(lists: DataFrame, piece: int = PIECE) -> DataFrame:
     )
 
 
-def closed_wedges(simple: DataFrame, degrees: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def closed_wedges(found: Neighbours) -> DataFrame:
     """``x, y, closing``: the nodes that close a triangle over the oriented edge ``x, y``."""
-    lists = later_neighbours(orient(annotate_degrees(simple, degrees, hot_rows)))
-    hot = hot_keys(degrees, ["nodeid"], "degree", hot_rows).withColumnRenamed("nodeid", "y")
     met = join_hot(
-        wedge_candidates(lists),
-        lists.select(F.col("x").alias("y"), F.col("later").alias("later_y")),
+        wedge_candidates(found.lists),
+        found.lists.select(F.col("x").alias("y"), F.col("later").alias("later_y")),
         ["y"],
-        hot,
+        None if found.hot is None else found.hot.withColumnRenamed("nodeid", "y"),
         [F.col("x")],
     )
     return met.select("x", "y", F.array_intersect("rest", "later_y").alias("closing")).where(
@@ -118,8 +150,7 @@ def closed_wedges(simple: DataFrame, degrees: DataFrame, hot_rows: int = HOT_ROW
 
 def triangles(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row ``x, y, z`` per triangle, in rank order."""
-    simple = simple_edges(edges)
-    closed = closed_wedges(simple, simple_degrees(simple), hot_rows)
+    closed = closed_wedges(neighbours(simple_edges(edges), hot_rows))
     return closed.select("x", "y", F.explode("closing").alias("z"))
 
 
@@ -140,15 +171,13 @@ def _count_triangles(closed: DataFrame) -> DataFrame:
 
 def triangle_counts(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``nodeid, triangles`` for the nodes of at least one triangle."""
-    simple = simple_edges(edges)
-    return _count_triangles(closed_wedges(simple, simple_degrees(simple), hot_rows))
+    return _count_triangles(closed_wedges(neighbours(simple_edges(edges), hot_rows)))
 
 
 def local_clustering(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``nodeid, degree, triangles, cc``; nodes of no triangle have ``cc`` 0."""
-    simple = simple_edges(edges)
-    degrees = simple_degrees(simple)
-    counted = _count_triangles(closed_wedges(simple, degrees, hot_rows))
+    found = neighbours(simple_edges(edges), hot_rows)
+    degrees, counted = found.degrees, _count_triangles(closed_wedges(found))
     pairs = F.lit(0.5) * F.col("degree") * (F.col("degree") - 1)
     return (
         degrees.join(counted, "nodeid", "left")

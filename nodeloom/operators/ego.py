@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.operators.clustering import closed_wedges
-from nodeloom.operators.edges import simple_degrees
-from nodeloom.operators.skew import HOT_ROWS, PART, PARTS, hot_keys
+from nodeloom.operators.clustering import closed_wedges, neighbours
+from nodeloom.operators.skew import HOT_ROWS, PART, PARTS
+from nodeloom.runtime import store_table
 
 
 def ego_nets(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -16,12 +17,18 @@ def ego_nets(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     An edge row of the ego net touches the node itself, or is opposite to it in a triangle.
     Opposite pairs count once per triangle, plus the surplus of the pairs with several rows.
     """
-    counted = edges.groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(
-        F.count(F.lit(1)).alias("copies")
+    counted = (
+        edges.groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"))
+        .agg(F.count(F.lit(1)).alias("copies"))
+        .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    simple = counted.select("u", "v")
-    degrees = simple_degrees(simple)
-    found = closed_wedges(simple, degrees, hot_rows).select("x", "y", F.explode("closing").alias("z"))
+    known = neighbours(counted.select("u", "v"), hot_rows)
+    repeated = store_table(
+        counted.where("copies > 1").select("u", "v", (F.col("copies") - 1).alias("surplus"))
+    )
+    counted.unpersist()
+    degrees = known.degrees
+    found = closed_wedges(known).select("x", "y", F.explode("closing").alias("z"))
 
     incident = (
         edges.select(F.explode(F.array("src", "dst")).alias("nodeid"))
@@ -39,20 +46,23 @@ def ego_nets(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     ).select("o.*")
     # A pair faces at most as many nodes as its smaller end has neighbours, so only pairs of
     # two hot nodes can be hot.
-    hot = hot_keys(degrees, ["nodeid"], "degree", hot_rows)
+    keys = ["u", "v"]
+    if known.hot is not None:
 
-    def with_parts(pairs: DataFrame) -> DataFrame:
-        for end in ("u", "v"):
-            named = hot.select(F.col("nodeid").alias(end), F.col(PARTS).alias(f"_parts_{end}"))
-            pairs = pairs.join(F.broadcast(named), end, "left")
-        both = F.when(F.col("_parts_u").isNull() | F.col("_parts_v").isNull(), F.lit(1))
-        return pairs.withColumn(PARTS, both.otherwise(F.least("_parts_u", "_parts_v"))).drop("_parts_u", "_parts_v")
+        def with_parts(pairs: DataFrame) -> DataFrame:
+            for end in ("u", "v"):
+                named = known.hot.select(F.col("nodeid").alias(end), F.col(PARTS).alias(f"_parts_{end}"))
+                pairs = pairs.join(F.broadcast(named), end, "left")
+            both = F.when(F.col("_parts_u").isNull() | F.col("_parts_v").isNull(), F.lit(1))
+            return pairs.withColumn(PARTS, both.otherwise(F.least("_parts_u", "_parts_v")))
 
-    repeated = counted.where("copies > 1").select("u", "v", (F.col("copies") - 1).alias("surplus"))
-    repeated = with_parts(repeated).withColumn(PART, F.explode(F.sequence(F.lit(0), F.col(PARTS) - 1))).drop(PARTS)
-    opposite = with_parts(opposite).withColumn(PART, F.pmod(F.xxhash64("nodeid"), F.col(PARTS)).cast("int")).drop(PARTS)
+        every = F.explode(F.sequence(F.lit(0), F.col(PARTS) - 1))
+        repeated = with_parts(repeated).select("u", "v", "surplus", every.alias(PART))
+        one = F.pmod(F.xxhash64("nodeid"), F.col(PARTS)).cast("int")
+        opposite = with_parts(opposite).select("nodeid", "u", "v", one.alias(PART))
+        keys.append(PART)
     among = (
-        opposite.join(repeated, ["u", "v", PART], "left")
+        opposite.join(repeated, keys, "left")
         .groupBy("nodeid")
         .agg(F.sum(F.coalesce("surplus", F.lit(0)) + 1).alias("among"))
     )

@@ -205,9 +205,7 @@ def _(spark, d):
 
 @query("g5_wedge_candidates")
 def _(spark, d):
-    simple = edges.simple_edges(tables.edges(spark, d))
-    annotated = clustering.annotate_degrees(simple, edges.simple_degrees(simple))
-    found = clustering.wedge_candidates(clustering.later_neighbours(clustering.orient(annotated)))
+    found = clustering.wedge_candidates(clustering.neighbours(edges.simple_edges(tables.edges(spark, d))).lists)
     return found.select("x", "y", F.size("rest").alias("n"), F.aggregate("rest", F.lit(0).cast("bigint"), lambda a, z: a + z).alias("id_sum"))
 
 

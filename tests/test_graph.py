@@ -101,8 +101,7 @@ def test_triangles_and_ego_nets_against_brute_force(graph, hot):
 
 def test_candidates_do_not_depend_on_the_piece_size(graph):
     pairs = [(a, b) for a in range(1, 12) for b in range(a + 1, 12)]
-    simple = C.simple_edges(graph(pairs))
-    lists = C.later_neighbours(C.orient(C.annotate_degrees(simple, C.simple_degrees(simple)))).cache()
+    lists = C.neighbours(C.simple_edges(graph(pairs))).lists
     one, many = (sorted((r.x, r.y, tuple(r.rest)) for r in C.wedge_candidates(lists, p).collect()) for p in (256, 2))
     assert one == many and len(one) == 45
 
