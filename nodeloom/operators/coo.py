@@ -14,6 +14,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nodeloom.functions.vectors import to_dense
 from nodeloom.operators.skew import hot_keys, join_hot_both
 
 # Widest matrix that is turned into one vector per row.
@@ -261,6 +262,11 @@ def to_sparse_rows(coo: DataFrame, n_cols: int) -> DataFrame:
     )
 
 
+def to_dense_rows(coo: DataFrame, n_cols: int) -> DataFrame:
+    """``i, row`` with dense vectors, for the rows that store a position; drop ``i`` for a plain row matrix."""
+    return to_sparse_rows(coo, n_cols).select("i", to_dense(F.col("row")).alias("row"))
+
+
 def from_sparse_rows(rows: DataFrame) -> DataFrame:
     """Sparse rows (``i, row``) to coordinates, stored zeros included."""
     entries = F.explode(F.arrays_zip("row.indices", "row.values"))

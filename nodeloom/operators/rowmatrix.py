@@ -94,8 +94,10 @@ def gramian(rows: DataFrame, row: str = "row", n_cols: int | None = None) -> Dat
     return _cells(square_of_rows(rows, row, n_cols))
 
 
-def square_of_rows(rows: DataFrame, row: str = "row", n_cols: int | None = None) -> DataFrame:
-    """AᵀA as rows ``i, part``."""
+def square_of_rows(
+    rows: DataFrame, row: str = "row", n_cols: int | None = None, centre: np.ndarray | None = None
+) -> DataFrame:
+    """AᵀA as rows ``i, part``; ``centre`` is subtracted from every row first."""
     n = width(rows, row) if n_cols is None else n_cols
     check_width(n)
 
@@ -104,6 +106,7 @@ def square_of_rows(rows: DataFrame, row: str = "row", n_cols: int | None = None)
         for batch in batches:
             if batch.num_rows:
                 x = _block(batch.column(0), n)
+                x = x if centre is None else x - centre
                 square = x.T @ x if square is None else square + x.T @ x
         if square is not None:
             yield from _square_rows(square)
@@ -172,9 +175,8 @@ def covariance(rows: DataFrame, row: str = "row", n_cols: int | None = None) ->
     ).first()
     if facts.n < 2:
         raise ValueError("covariance needs at least two rows")
-    centre = F.array(*[F.lit(m) for m in facts.mean])
-    centred = rows.select(F.zip_with(F.col(row).cast("array<double>"), centre, lambda x, m: x - m).alias("row"))
-    return gramian(centred, "row", n).withColumn("v", F.col("v") / (facts.n - 1))
+    square = square_of_rows(rows, row, n, np.array(facts.mean))
+    return _cells(square).withColumn("v", F.col("v") / (facts.n - 1))
 
 
 def multiply_local(rows: DataFrame, matrix: np.ndarray, row: str = "row") -> DataFrame:

@@ -265,6 +265,14 @@ def _(spark, d):
     return embedding.svd_embedding(tables.edges(spark, d))
 
 
+@query("g13_embedding_gramian")
+def _(spark, d):
+    """VᵀV of the embedding: the identity."""
+    vectors = embedding.svd_embedding(tables.edges(spark, d))
+    block = vectors.select(F.array(*[f"v_{c}" for c in range(1, 11)]).alias("row"))
+    return rounded(rowmatrix.gramian(block), SUM_DIGITS, "v")
+
+
 def combined_core(spark: SparkSession, d: str) -> DataFrame:
     """The combined table without the embedding, bins taken on rounded ranks."""
     options = report.ReportOptions(svd=False)
@@ -376,6 +384,12 @@ def _(spark, d):
     return factor.similar_columns(tables.vectors(spark, d), 0.05)
 
 
+@query("m8_zero_threshold_cosines")
+def _(spark, d):
+    """Without a threshold nothing is sampled."""
+    return rounded(factor.similar_columns(tables.vectors(spark, d), 0.0), SUM_DIGITS, "v")
+
+
 @query("m9_qr_r")
 def _(spark, d):
     return factor.local_rows(spark, factor.qr(tables.vectors(spark, d)).r)
@@ -469,6 +483,11 @@ def _(spark, d):
     return coo.from_sparse_rows(coo.to_sparse_rows(tables.measure(spark, d, "l_quantity"), GROUPS))
 
 
+@query("m17_dense_rows")
+def _(spark, d):
+    return coo.from_rows(coo.to_dense_rows(tables.measure(spark, d, "l_quantity").where("v > 600"), GROUPS))
+
+
 @query("m18_block_violations")
 def _(spark, d):
     m = _coo(spark, d)

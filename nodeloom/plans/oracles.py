@@ -211,6 +211,9 @@ FROM m CROSS JOIN range(8) c GROUP BY i, c.range""",
 CAST(i % 128 AS INTEGER) AS r, CAST(j % 16 AS INTEGER) AS c, v FROM m""",
     "m17_dense_blocks_round_trip": f"WITH {M} SELECT i, j, v FROM m",
     "m17_sparse_rows_round_trip": f"WITH {QUANTITY} SELECT i, j, v FROM a",
+    "m17_dense_rows": f"""WITH {QUANTITY}, k AS (SELECT * FROM a WHERE v > 600)
+SELECT r.i, c.range AS j, coalesce(k.v, 0) AS v FROM (SELECT DISTINCT i FROM k) r CROSS JOIN range(50) c
+LEFT JOIN k ON k.i = r.i AND k.j = c.range""",
     "m18_block_violations": f"""WITH {M}, b AS (SELECT DISTINCT CAST(i // 100 AS INTEGER) AS bi, CAST(j // 24 AS INTEGER) AS bj FROM m)
 SELECT bi, bj, 'duplicate block' AS problem FROM b WHERE bi = 1 AND bj = 0
 UNION ALL SELECT CAST(1000000 AS INTEGER), bj, 'outside the matrix' FROM b WHERE bi = 0
@@ -253,3 +256,6 @@ t_{column} AS (SELECT {column}, b AS {column}_bin, round({_center('b', 64)}, 6)
 ORACLES["b3_value_bins"] = f"""WITH {_bin_of('l_extendedprice')}, {_bin_of('l_discount')}
 SELECT l_orderkey, l_linenumber, l_extendedprice, l_discount, l_extendedprice_bin, l_discount_bin, l_extendedprice_t, l_discount_t
 FROM lineitem JOIN t_l_extendedprice USING (l_extendedprice) JOIN t_l_discount USING (l_discount)"""
+
+ORACLES["m8_zero_threshold_cosines"] = ORACLES["m7_column_cosines"]
+ORACLES["g13_embedding_gramian"] = ORACLES["m10_svd_left_gramian"]

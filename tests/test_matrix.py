@@ -165,6 +165,8 @@ def test_sparse_rows_and_grids(spark):
     rows = {r.i: (r.row.size, r.row.indices, r.row["values"]) for r in coo.to_sparse_rows(a, 5).collect()}
     assert rows == {0: (5, [0], [1.2]), 6: (5, [1, 4], [0.0, 2.1])}
     assert cells(coo.from_sparse_rows(coo.to_sparse_rows(a, 5))) == cells(a)
+    full = {r.i: r.row for r in coo.to_dense_rows(a, 5).collect()}
+    assert full == {0: [1.2, 0, 0, 0, 0], 6: [0, 0, 0, 0, 2.1]}
     assert coo.fill_zeros(a, coo.Shape(7, 5)).count() == 35
     with pytest.raises(ValueError):
         coo.to_sparse_rows(a, 10**6)
