@@ -160,6 +160,23 @@ def test_blocks(spark):
     assert blocks.to_dense_blocks(entries(spark, (0, 4, 2.0)), dims, 3, 2).first().cells == [2.0, 0.0, 0.0]
 
 
+def test_block_arithmetic_of_fixed_values(spark):
+    schema = "bi int, bj int, n_rows int, n_cols int, cells array<double>"
+
+    def made(n_rows, n_cols, *parts):
+        rows = [(bi, bj, n_rows, n_cols, [float(x) for x in range(start, start + n_rows * n_cols)]) for bi, bj, start in parts]
+        return blocks.from_dense_blocks(spark.createDataFrame(rows, schema), n_rows, n_cols)
+
+    tall = made(3, 2, (0, 0, 1), (1, 0, 7))
+    wide = made(2, 3, (0, 0, 1), (0, 1, 7))
+    doubled = dense(coo.add(tall, tall), 6, 2).ravel(order="F").tolist()
+    assert doubled == [2, 4, 6, 14, 16, 18, 8, 10, 12, 20, 22, 24]
+    turned = dense(coo.transpose(tall), 2, 6).ravel(order="F").tolist()
+    assert turned == [1, 4, 2, 5, 3, 6, 7, 10, 8, 11, 9, 12]
+    assert dense(coo.multiply(wide, tall), 2, 2).ravel(order="F").tolist() == [242, 272, 350, 398]
+    assert np.allclose(dense(blocks.multiply_dense(wide, tall, 2), 2, 2).ravel(order="F"), [242, 272, 350, 398])
+
+
 def test_sparse_rows_and_grids(spark):
     a = entries(spark, (0, 0, 1.2), (6, 4, 2.1), (6, 1, 0.0))
     rows = {r.i: (r.row.size, r.row.indices, r.row["values"]) for r in coo.to_sparse_rows(a, 5).collect()}
