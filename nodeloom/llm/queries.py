@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodeloom.llm import chat, quality, secret_scan
+from nodeloom.llm import chat, decontaminate, mixing, quality, secret_scan, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,3 +69,26 @@ def _(spark, d):
         F.sha2(secret_scan.written(base, rules), 256).alias("base_sha256"),
         secret_scan.written(F.col("secrets"), rules).alias("spans"),
     )
+
+
+@query("op8_token_counts")
+def _(spark, d):
+    return token_counts.count_tokens(table(spark, d, "documents"), token_counts.read_ranks())
+
+
+@query("op9_source_mixing")
+def _(spark, d):
+    mixed = mixing.mix(table(spark, d, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "rate", "copies")
+
+
+@query("op10_decontamination")
+def _(spark, d):
+    found = decontaminate.find_overlaps(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_words", hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
