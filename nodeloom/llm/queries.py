@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodeloom.llm import chat, decontaminate, mixing, quality, secret_scan, token_counts
+from nodeloom.llm import chat, decontaminate, mixing, near_dedup, quality, secret_scan, suffix_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -92,3 +92,14 @@ def _(spark, d):
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
     )
+
+
+@query("op6_near_dedup")
+def _(spark, d):
+    return near_dedup.find_components(table(spark, d, "documents"))
+
+
+@query("op7_suffix_dedup")
+def _(spark, d):
+    cut = suffix_dedup.remove_repeats(table(spark, d, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
