@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodeloom.llm import chat, decontaminate, mixing, near_dedup, quality, secret_scan, suffix_dedup, token_counts
+from nodeloom.llm import chat, decontaminate, hidden_markov, language_id, mixing, near_dedup, quality, secret_scan, suffix_dedup, token_counts
+from nodeloom.llm.columns import fold_number
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -103,3 +104,23 @@ def _(spark, d):
 def _(spark, d):
     cut = suffix_dedup.remove_repeats(table(spark, d, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op1_language_id")
+def _(spark, d):
+    docs = table(spark, d, "documents")
+    held_out = fold_number(F.col("doc_id"), 4) == 2
+    network = language_id.train(docs.where(~held_out).select("lang", "text"))
+    return language_id.predict(docs.select("doc_id", "text"), network).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_lm_scoring")
+def _(spark, d):
+    docs = table(spark, d, "documents")
+    held_out = fold_number(F.col("doc_id"), 7) == 2
+    trained = hidden_markov.train(docs.where(~held_out).select("text"))
+    scored = hidden_markov.score(docs, trained)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known",
+        F.lit(trained.tokens).cast("long").alias("train_tokens"), "base_score", "score",
+    )
