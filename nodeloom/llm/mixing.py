@@ -62,7 +62,8 @@ def targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     )
     level = (F.col("_all") - F.col("_full")) / F.col("_weight")
     opened = filled.withColumn("_level", level).withColumn("_open", F.col("_level") * F.col("weight") <= F.col("source_size") * most)
-    first = F.min(F.when(F.col("_open"), F.col("_level"))).over(everything)
+    # Past the first source that is not full, levels only fall, so the greatest is the one.
+    first = F.max(F.when(F.col("_open"), F.col("_level"))).over(everything)
     return opened.select("source", "n", "source_size", F.coalesce(F.least(first * F.col("weight"), F.col("source_size") * most), F.col("source_size") * most).alias("target"))
 
 

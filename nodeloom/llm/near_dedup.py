@@ -88,7 +88,7 @@ def bucket_keys(values: np.ndarray) -> np.ndarray:
 
 def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        out = {"doc_id": batch["doc_id"].astype("Int64"), "n": [], "class": [], "values": [], "keys": []}
+        out = {"doc_id": batch["doc_id"].astype("Int64"), "row": batch["row"], "n": [], "class": [], "values": [], "keys": []}
         for text in batch["text"]:
             found = shingles(text)
             values = signature(found) if len(found) else None
@@ -126,8 +126,19 @@ def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: in
 
 def find_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``."""
-    docs = docs.select("doc_id", "text")
-    shape = "doc_id bigint, n bigint, class binary, values array<bigint>, keys array<bigint>"
+    return _components(docs, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, with all columns, that have their component's id; repeated rows once."""
+    row = F.xxhash64("doc_id", "text")
+    kept = _components(docs, percent).where("kept").select("row").distinct()
+    return docs.join(kept.withColumnRenamed("row", "_row"), row == F.col("_row"), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+def _components(docs: DataFrame, percent: int) -> DataFrame:
+    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    shape = "doc_id bigint, row bigint, n bigint, class binary, values array<bigint>, keys array<bigint>"
     signed = store_table(docs.mapInPandas(_signed, shape).withColumn("values", F.col("values").cast("array<int>")))
     first = signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("values").alias("values"), F.first("keys").alias("keys"))
     classes = store_table(first.withColumn("id", F.monotonically_increasing_id()))
@@ -165,9 +176,9 @@ def find_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rooted = classes.select("id", "class", "least").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("class", "component_id")
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "class").join(named, "class", "left")
+    out = signed.select("doc_id", "row", F.col("n").alias("n_shingles"), "class").join(named, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "row", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def _places(members: DataFrame) -> DataFrame:

@@ -96,13 +96,13 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the measurements of each text, as longs."""
+def _measured(docs: DataFrame) -> DataFrame:
+    """``doc``, the whole row, and the measurements of its text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    cut = docs.select("doc_id", text.alias("_text"), words(text).alias("_words"), lines.alias("_lines"))
+    cut = docs.select(F.struct("*").alias("doc"), text.alias("_text"), words(text).alias("_words"), lines.alias("_lines"))
     return cut.select(
-        "doc_id",
+        "doc",
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.concat_ws("", "_words")).cast("long").alias("word_chars"),
         (F.length("_text") - F.length(F.regexp_replace("_text", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
@@ -112,12 +112,21 @@ def measure(docs: DataFrame) -> DataFrame:
     )
 
 
-def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The measurements with ``failures``, the bits of the rules that each document fails."""
+def _judged(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     bits = F.lit(0).cast("long")
     for rule in rules:
         bits = bits.bitwiseOR(F.when(rule.fails(), F.lit(1 << rule.bit)).otherwise(F.lit(0)).cast("long"))
-    return measure(docs).withColumn("failures", bits)
+    return _measured(docs).withColumn("failures", bits)
+
+
+def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``doc_id``, the measurements and ``failures``, the bits of the rules that the document fails."""
+    return _judged(docs.select("doc_id", "text"), rules).select("doc.doc_id", *MEASUREMENTS, "failures")
+
+
+def keep_passing(docs: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that pass the policy."""
+    return _judged(docs, rules).where(passes(policy)).select("doc.*")
 
 
 def passes(policy: Policy) -> Column:

@@ -187,7 +187,7 @@ def written(spans: Column, rules: Sequence[Rule]) -> Column:
 
 def redact(docs: DataFrame, rules: Sequence[Rule] = RULES, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every found span replaced by ``mark``; overlapping spans give one mark."""
-    found = find_secrets(docs, rules)
+    found = find_secrets(docs.select("doc_id", "text", F.struct("*").alias("doc")), rules)
     text, spans = F.col("text"), F.col("secrets")
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("kept"))
 
@@ -200,4 +200,4 @@ def redact(docs: DataFrame, rules: Sequence[Rule] = RULES, mark: str = "[secret]
 
     rest = lambda a: F.concat_ws("", a["kept"], F.array(F.substring(text, a["at"] + 1, F.length(text))))
     clean = F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, empty, step, rest))
-    return found.withColumn("text", clean).drop("secrets")
+    return found.select(F.col("doc").withField("text", clean).alias("doc")).select("doc.*")

@@ -127,6 +127,15 @@ def test_mixing_meets_targets(spark):
     assert sum(r.copies * r.size for r in got) == pytest.approx(1.5 * sum(size.values()), rel=0.02)
 
 
+def test_targets_fill_small_sources_first(spark):
+    rng = random.Random(6)
+    for n in range(4):
+        size = {f"s{i:02d}": rng.choice([1, 5, 40, 300, 2000]) for i in range(rng.randint(1, 14))}
+        sized = spark.createDataFrame([(s, x) for s, x in size.items()], "source string, size bigint")
+        got = {r.source: r.target for r in mixing.targets(sized).collect()}
+        assert got == pytest.approx(shares(size)), n
+
+
 def test_mixing_of_few_rows(spark):
     shape = "doc_id bigint, text string, source string"
     assert mixing.mix(spark.createDataFrame([], shape)).count() == 0
