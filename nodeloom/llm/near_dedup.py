@@ -2,16 +2,22 @@
 
 A document's set holds 64-bit hashes of its three-word shingles. Its signature is ``VALUES`` MinHash
 values of ``BITS`` bits. Two sets of similarity J differ in a value with probability about 1 - J, so at
-0.85 more than ``DISTANCE`` of 48 values differ once in about 1e8 pairs. The signature is cut into
+0.85 more than ``DISTANCE`` of 60 values differ once in about 1e6 pairs. The signature is cut into
 chunks; by the pigeonhole principle two signatures at most ``DISTANCE`` apart have a chunk with at
 most one difference. Every chunk is therefore indexed once per place that may differ, with the other
 places as key: each pair under the distance meets in some bucket, without exception.
 
 Texts with equal sets are one class, found by a 128-bit digest, so that copies never meet in pairs.
-Within a bucket a first member is tried against all, then eight, then 64 and so on, and only
-against members of other components: a group that hangs together costs pairs in proportion to
-its size, and no pair of different components is left out. Pairs are filtered by signature distance and
-confirmed on the full sets. Components are found without collecting anything.
+A bucket's hub, the member with the least share of shingles that no other candidate has, is tried
+against all members. Two exact bounds then close members without pairs. A set of n shingles, u of them its own,
+is similar to none if n - u < 0.85 n. And with D(x) the shingles in which x and the hub differ,
+two members differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| shingles, of which the common ones are none of
+u(x) and u(y); with t = 15 / 185 similar ones differ in at most t (n(x) + n(y)), so that x is open only while
+|D(x)| - t n(x) is at most the greatest |D(y)| - 2 u(y) + t n(y) of its bucket. Members that stay open and are not in
+the hub's component are a query set against all members met around that component, in blocks: a task
+takes two blocks of ``BLOCK_MEMBERS`` sets, compares them in memory and puts out links only, so
+that no row per pair is ever made. Links are confirmed on the full sets. Components are found without
+collecting anything.
 
 Fewer words than a shingle count as one shingle. Empty and NULL texts have an empty set and are linked with
 nothing: they are their own component. Repeated rows share a class. Among NULL and other ids the
@@ -33,10 +39,11 @@ from nodeloom.runtime import store_table
 
 SHINGLE = 3
 PERCENT = 85
-CHUNKS, PLACES = 12, 4
+CHUNKS, PLACES = 12, 5
 VALUES = CHUNKS * PLACES
 DISTANCE = 2 * CHUNKS - 1
-WIDER = 8
+BLOCK_MEMBERS = 1024
+LARGER = 1.25
 
 _RANDOM = np.random.Generator(np.random.PCG64(20240601))
 _MULTIPLY = _RANDOM.integers(0, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -109,19 +116,20 @@ def _distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: the pairs whose full sets are similar enough."""
+def _common(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, near_only: bool = True) -> DataFrame:
+    """``a, b, n_a, n_b, common, linked`` of the pairs, or of those with near signatures only."""
+    near_enough = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (_distance(F.col("v_a"), F.col("v_b")) <= DISTANCE)
     side = lambda n: classes.select(F.col("id").alias(n), F.col("n").alias(f"n_{n}"), F.col("values").alias(f"v_{n}"))
     near = (
         pairs.join(side("a"), "a")
         .join(side("b"), "b")
-        .where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (_distance(F.col("v_a"), F.col("v_b")) <= DISTANCE))
+        .where(near_enough if near_only else F.lit(True))
         .select("a", "b", "n_a", "n_b")
     )
     full = lambda n: sets.select(F.col("id").alias(n), F.col("found").alias(f"set_{n}"))
     common = F.size(F.array_intersect("set_a", "set_b"))
-    both = near.join(full("b"), "b").join(full("a"), "a").select("a", "b", common.alias("common"), (F.col("n_a") + F.col("n_b")).alias("total"))
-    return both.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b")
+    both = near.join(full("b"), "b").join(full("a"), "a").select("a", "b", "n_a", "n_b", common.alias("common"))
+    return both.withColumn("linked", 100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common")))
 
 
 def find_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -143,35 +151,27 @@ def _components(docs: DataFrame, percent: int) -> DataFrame:
     first = signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("values").alias("values"), F.first("keys").alias("keys"))
     classes = store_table(first.withColumn("id", F.monotonically_increasing_id()))
 
+    # Only buckets of two or more matter, and of them only members that are not mostly their own.
     entries = classes.select(F.explode("keys").alias("key"), "id")
-    shared = entries.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
-    members = store_table(entries.join(shared, "key"))
-    wanted = members.select("id").distinct().join(classes, "id").select("id", "class", "least")
+    shared = entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
+    met = store_table(entries.join(shared, "key"))
+    wanted = met.select("id").distinct().join(classes.select("id", "class", "least"), "id")
     texts = docs.join(wanted.select(F.col("least").alias("l")), F.col("doc_id").eqNullSafe(F.col("l")), "left_semi")
     sets = store_table(texts.mapInPandas(_sets, "class binary, found array<bigint>").dropDuplicates(["class"]).join(wanted, "class").select("id", "found"))
+    single = sets.select("id", F.explode("found").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("id")).where("k = 1")
+    own = single.groupBy("id").agg(F.count(F.lit(1)).alias("u"))
+    able = store_table(
+        sets.select("id").join(own, "id", "left").join(classes.select("id", "n"), "id").select("id", "n", F.coalesce("u", F.lit(0)).alias("u")).where(100 * (F.col("n") - F.col("u")) >= percent * F.col("n"))
+    )
+    members = store_table(met.join(able, "id").withColumn("order", F.struct((F.col("u") / F.col("n")).alias("share"), F.col("id").alias("i"))))
+
+    hubs = members.groupBy("key").agg(F.min("order").alias("hub"), F.max("order").alias("last")).where("hub < last").select("key", F.col("hub.i").alias("hub"))
+    around = store_table(members.join(hubs, "key").select("key", "hub", "id", "n", "u", "order"))
+    tried = store_table(_common(around.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), classes, sets, percent, near_only=False))
+    roots = components(tried.where("linked"))
+    open_ = _open(around, tried, percent)
 
-    pairs = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    links = store_table(_verified(pairs, classes, sets, percent))
-    roots = components(links)
-    ranked = None
-    done = 1
-    while True:
-        rooted = (members if ranked is None else ranked).drop("root").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        apart = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("n_key")).where(f"r0 < r1 and n_key > {done + 1}").select("key")
-        open_ = rooted.join(apart, "key")
-        if ranked is None:
-            # Places within a bucket; those before ``done`` have been tried against all.
-            ranked = store_table(_places(open_.select("key", "id", "root")))
-        else:
-            ranked = store_table(open_)
-        if not ranked.limit(1).count():
-            break
-        hubs = ranked.where((F.col("place") >= done) & (F.col("place") < done * WIDER)).select("key", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("place").alias("pa"))
-        tried = hubs.join(ranked.select("key", F.col("id").alias("b"), F.col("root").alias("rb"), "place"), "key").where("place > pa and ra <> rb")
-        more = store_table(_verified(tried.select("a", "b").distinct(), classes, sets, percent))
-        done *= WIDER
-        if more.limit(1).count():
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_block_links(open_, roots, sets, percent)))
 
     rooted = classes.select("id", "class", "least").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -181,6 +181,64 @@ def _components(docs: DataFrame, percent: int) -> DataFrame:
     return out.select("doc_id", "row", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _places(members: DataFrame) -> DataFrame:
-    """Number the members of each bucket by id, from 0."""
-    return members.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("id")) - 1)
+def _open(around: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+    """Members that may be similar to another member than the hub, and all hubs.
+
+    By the triangle inequality only partners y with |D(y)| - t n(y) <= |D(x)| + t n(x) count. In units of the
+    hub's size that is a range of the bucket's members in the order of |D| - t n, for all x that
+    are at most ``LARGER`` times the hub; larger ones stay open.
+    """
+    t = (100 - percent) / (100 + percent)
+    sizes = F.col("a").alias("hub"), F.col("n_a").alias("n_hub"), F.col("b").alias("id"), (F.col("n_a") + F.col("n_b") - 2 * F.col("common")).alias("d")
+    known = around.where("id <> hub").join(tried.select(*sizes), ["hub", "id"])
+    least = (F.col("d") - t * F.col("n")) / F.col("n_hub")
+    reach = (F.col("d") - 2 * F.col("u") + t * F.col("n")) / F.col("n_hub")
+    within = Window.partitionBy("key").orderBy("scale").rangeBetween(Window.unboundedPreceding, int(2e6 * t * LARGER) + 2)
+    widest = known.select("key", "hub", "id", "n", "n_hub", least.alias("least"), reach.alias("reach"), F.floor(least * 1_000_000).alias("scale")).withColumn("widest", F.max("reach").over(within))
+    kept = (F.col("least") <= F.col("widest") + 1e-6) | (F.col("n") > LARGER * F.col("n_hub"))
+    left = widest.where(kept).select("key", "hub", "id").unionByName(around.where("id = hub").select("key", "hub", "id"))
+    # Two members are the hub and one that it was tried against.
+    several = left.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 2").select("key")
+    return left.join(several, "key").select("hub", "id").distinct()
+
+
+def _block_links(open_: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: links between open members around a hub's component, one of them outside of it."""
+    rooted = lambda df, name: df.join(roots.withColumnsRenamed({"node": name, "root": f"{name}_root"}), name, "left").withColumn(f"{name}_root", F.coalesce(f"{name}_root", name))
+    met = rooted(rooted(open_, "hub"), "id").select(F.col("hub_root").alias("g"), "id", "id_root").distinct().withColumn("out", F.col("id_root") != F.col("g"))
+    sizes = met.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.count_if("out").alias("k_out")).where("k_out > 0 and k > 2")
+    blocks = lambda k: F.ceil(F.col(k) / BLOCK_MEMBERS).cast("int")
+    placed = met.join(sizes, "g").select(
+        "g", "id", "id_root", "out", blocks("k_out").alias("rows"), blocks("k").alias("columns"),
+        F.pmod(F.xxhash64("id"), blocks("k_out")).cast("int").alias("row"), F.pmod(F.xxhash64("id"), blocks("k")).cast("int").alias("column"),
+    )
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    asking = placed.where("out").select("g", "id", "id_root", "row", every("columns").alias("column"), F.lit(True).alias("asks"))
+    asked = placed.select("g", "id", "id_root", every("rows").alias("row"), "column", F.lit(False).alias("asks"))
+    filled = store_table(asking.unionByName(asked)).join(sets, "id")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        ask, all_ = rows[rows["asks"]], rows[~rows["asks"]]
+        pairs = _similar(ask["found"].tolist(), all_["found"].tolist(), percent)
+        a, b = ask.iloc[pairs[:, 0]], all_.iloc[pairs[:, 1]]
+        links = pd.DataFrame({"a": a["id"].to_numpy(), "b": b["id"].to_numpy()})
+        return links[a["id_root"].to_numpy() != b["id_root"].to_numpy()]
+
+    return filled.groupBy("g", "row", "column").applyInPandas(compare, "a bigint, b bigint")
+
+
+def _similar(ask: list[np.ndarray], all_: list[np.ndarray], percent: int) -> np.ndarray:
+    """Positions (in ``ask``, in ``all_``) of sets similar enough."""
+    sizes = np.array([len(x) for x in all_], np.int64)
+    flat = np.concatenate(all_) if all_ else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(all_)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    found = []
+    for n, own in enumerate(ask):
+        low, high = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+        count = high - low
+        at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+        common = np.bincount(owner[at], minlength=len(all_))
+        found += [(n, m) for m in np.flatnonzero(100 * common >= percent * (len(own) + sizes - common))]
+    return np.array(found, np.int64).reshape(-1, 2)
