@@ -11,12 +11,12 @@ anchor string is unique in the corpus are dropped by a count; the others are sor
 * a part merges its runs with a loser tree that compares known common prefixes first and bytes only
   beyond them, so that it puts out every suffix with the length of its prefix in common with the last;
 * suffixes that share their anchor string are neighbours. A context equal to another is repeated as
-  a whole. Another one asks its partners in the order of bytes in common on the left and stops at the
-  first whose common prefix is the longest possible: later ones cannot cover more.
+  a whole. Another one asks its partners in turns by most bytes in common on the left and by longest common
+  prefix, and stops when the partners not yet asked cannot cover more than is covered.
 
-Both extents are exact, so is the result. Equal contexts travel as one with a count, and what they
-cover is joined back to their places by a 128-bit digest, so that copies never gather in a task; a part
-holds distinct contexts only. Matches never cross documents.
+Both extents are exact, so is the result. Of equal contexts, told by the anchor string's and the context's hashes, one
+is sorted with their count, and what it covers is joined back to all their places, so that copies
+never gather in a task; a part holds distinct contexts only. Matches never cross documents.
 
 NULL and empty texts have no bytes; texts shorter than ``LENGTH`` keep all. Repeated rows repeat each
 other. Long texts are scanned in steps with an overlap.
@@ -24,7 +24,6 @@ other. Long texts are scanned in steps with an overlap.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -162,11 +161,48 @@ def front_code(suffixes: list[bytes]) -> list[tuple[int, bytes]]:
     return out
 
 
+class RangeLeast:
+    """Least value of any range of a list, by a table of powers of two for long lists."""
+
+    def __init__(self, values: list[int]):
+        self.values, self.table = values, []
+        if len(values) > 64:
+            row, size = np.array(values), 1
+            while len(row):
+                self.table.append(row)
+                row = np.minimum(row[:-size], row[size:]) if len(row) > size else row[:0]
+                size *= 2
+
+    def __call__(self, low: int, high: int) -> int:
+        """Of ``values[low:high]``, which is not empty."""
+        if not self.table:
+            return min(self.values[low:high])
+        level = (high - low).bit_length() - 1
+        row = self.table[level]
+        return int(min(row[low], row[high - (1 << level)]))
+
+
+def _outward(at: int, shared: list[int]) -> Iterator[tuple[int, int]]:
+    """Places around ``at`` in the order of falling bytes in common, with these bytes."""
+    up, down = at, at + 1
+    above, below = shared[up], shared[down]
+    while up > 0 or down < len(shared) - 1:
+        if up > 0 and (above >= below or down >= len(shared) - 1):
+            up -= 1
+            yield up, above
+            above = min(above, shared[up])
+        else:
+            yield down, below
+            down += 1
+            below = min(below, shared[down])
+
+
 def _covers(group: list[tuple[bytes, bytes, int, object]], common: list[int]) -> Iterator[tuple[object, int, int]]:
     """For contexts (suffix, left, count, name) in suffix order: ranges of starts that occur elsewhere.
 
     ``common[n]`` bytes are shared by suffixes n - 1 and n. A range is (name, least, most) bytes
-    that its starts lie before the anchor.
+    that its starts lie before the anchor: a partner with L bytes in common on the left and R on the
+    right covers the starts from LENGTH - R to L.
     """
     for suffix, left, count, name in group:
         if count > 1:
@@ -176,141 +212,141 @@ def _covers(group: list[tuple[bytes, bytes, int, object]], common: list[int]) ->
         return
     order = sorted(range(n), key=lambda x: group[x][1][::-1])
     backwards = [group[x][1][::-1] for x in order]
-    shared = [0] + [common_prefix(backwards[i - 1], backwards[i]) for i in range(1, n)] + [0]
+    lefts = [0, *(common_prefix(backwards[i - 1], backwards[i]) for i in range(1, n)), 0]
+    rights = [0, *common[1:], 0]
+    left_least, right_least = RangeLeast(lefts), RangeLeast(rights)
     at = [0] * n
     for i, x in enumerate(order):
         at[x] = i
     for x, (suffix, left, count, name) in enumerate(group):
         if count > 1:
             continue
-        least, longest = LENGTH - len(suffix), max(common[x] if x else 0, common[x + 1] if x + 1 < n else 0)
-        up, down = at[x], at[x] + 1
-        up_left, down_left = shared[up], shared[down]
-        while True:
-            if up > 0 and (up_left >= down_left or down >= n):
-                partner, lefts = order[up - 1], up_left
-                up -= 1
-                up_left = min(up_left, shared[up])
-            elif down < n:
-                partner, lefts = order[down], down_left
-                down += 1
-                down_left = min(down_left, shared[down])
-            else:
+        least = LENGTH - len(suffix)
+        by_left, by_right = _outward(at[x], lefts), _outward(x, rights)
+        most_left, most_right = len(left), len(suffix)  # of partners not yet asked
+        covered: list[tuple[int, int]] = []
+
+        def ask(partner: int, l: int | None, r: int | None) -> None:
+            if l is None:
+                l = left_least(min(at[x], at[partner]) + 1, max(at[x], at[partner]) + 1)
+            if r is None:
+                r = right_least(min(x, partner) + 1, max(x, partner) + 1)
+            low = max(least, LENGTH - r)
+            if low <= l and not any(a <= low and l <= b for a, b in covered):
+                covered[:] = [(a, b) for a, b in covered if not (low <= a and b <= l)]
+                covered.append((low, l))
+
+        def settled() -> bool:
+            """Whether all that unasked partners could cover is covered."""
+            low = max(least, LENGTH - most_right)
+            for a, b in sorted(covered):
+                if a <= low <= b:
+                    low = b + 1
+            return low > most_left
+
+        while not settled():
+            step = next(by_left, None)
+            if step is None:
                 break
-            if lefts < LENGTH - longest:
+            most_left = step[1]
+            ask(order[step[0]], step[1], None)
+            if settled():
                 break
-            low, high = min(x, partner), max(x, partner)
-            rights = min(common[low + 1 : high + 1])
-            if max(least, LENGTH - rights) <= lefts:
-                yield name, max(least, LENGTH - rights), lefts
-            if rights == longest:
+            step = next(by_right, None)
+            if step is None:
                 break
+            most_right = step[1]
+            ask(step[0], None, step[1])
+        for low, high in covered:
+            yield name, low, high
 
 
 def merge_part(rows: pd.DataFrame) -> pd.DataFrame:
     """Merge the runs of one part and tell what each context covers."""
-    runs = [list(zip(r["common"], r["rest"], zip(r["left"], r["n"], r["context"]))) for _, r in rows.sort_values(["run", "seq"]).groupby("run", sort=False)]
+    names = zip(rows["kmer"], rows["context"])
+    rows = rows.assign(payload=list(zip(rows["left"], rows["n"], names))).sort_values(["run", "seq"])
+    runs = [list(zip(r["common"], r["rest"], r["payload"])) for _, r in rows.groupby("run", sort=False)]
     out: list[tuple] = []
     group: list[tuple] = []
     common: list[int] = []
-
-    def close() -> None:
-        out.extend(_covers(group, common))
-        group.clear()
-        common.clear()
-
-    same: dict[bytes, int] = {}
     for shared, suffix, (left, n, name) in LoserTree(runs):
         if shared < KMER and group:
-            close()
-        if not group or shared < len(suffix) or len(group[-1][0]) != len(suffix):
-            same.clear()
-        if left in same:  # equal in suffix and left side
-            at = same[left]
-            group[at] = (suffix, left, group[at][2] + n, name)
-            continue
-        same[left] = len(group)
+            out.extend(_covers(group, common))
+            group, common = [], []
         common.append(shared)
         group.append((suffix, left, n, name))
-    close()
-    return pd.DataFrame(out, columns=["context", "least", "most"])
+    out.extend(_covers(group, common))
+    return pd.DataFrame([(*name, low, high) for name, low, high in out], columns=["kmer", "context", "least", "most"])
 
 
 def _sorted_runs(parts: int):
+    """Sort and front-code the wanted contexts of a task: one run per part and ``RUN_BYTES`` of contexts."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, flushed = TaskContext.get().partitionId(), 0
-        held: dict[tuple[int, bytes, bytes], list[tuple[int, int]]] = {}
+        number = TaskContext.get().partitionId() << 24
+        held: list[tuple] = []
         size = 0
 
-        def flush() -> Iterator[pd.DataFrame]:
-            order = sorted(held)
-            for at in range(0, len(order), 20_000):
-                block = order[at : at + 20_000]
-                coded = []
-                for n, (part, suffix, left) in enumerate(block):  # a block is a run of its own
-                    if n and block[n - 1][0] == part:
-                        shared = common_prefix(block[n - 1][1], suffix)
-                    else:
-                        shared = 0
-                    coded.append((part, (task << 24) + flushed + at // 20_000, n, shared, suffix[shared:], left))
-                out = pd.DataFrame(coded, columns=["part", "run", "seq", "common", "rest", "left"])
-                out["context"] = [hashlib.blake2b(s + b"|" + l, digest_size=16, salt=len(l).to_bytes(4, "big")).digest() for _, s, l in block]
-                out["places"] = [[{"row": r, "anchor": p} for r, p in held[x]] for x in block]
-                yield out
+        def flush() -> pd.DataFrame:
+            held.sort()
+            coded, last = [], (None, b"")
+            for seq, (part, suffix, left, kmer, context, n) in enumerate(held):
+                shared = common_prefix(last[1], suffix) if last[0] == part else 0
+                coded.append((part, number, seq, shared, suffix[shared:], left, kmer, context, n))
+                last = part, suffix
+            return pd.DataFrame(coded, columns=["part", "run", "seq", "common", "rest", "left", "kmer", "context", "n"])
 
         for batch in batches:
-            for row, text, kmers in zip(batch["row"], batch["text"], batch["kmers"]):
+            for text, wanted in zip(batch["text"], batch["wanted"]):
                 data = text.encode("utf-8", "surrogatepass")
-                anchor, first, last, kmer = contexts(data)
-                hit = np.isin(kmer, kmers)
-                for p, s, e, k in zip(anchor[hit].tolist(), first[hit].tolist(), last[hit].tolist(), kmer[hit].tolist()):
-                    key = (k % parts, data[p : e + LENGTH], data[s:p])
-                    if key in held:
-                        held[key].append((row, p))
-                    else:
-                        held[key] = [(row, p)]
+                anchors = {w["anchor"]: w["n"] for w in wanted}
+                for p, s, e, k in zip(*(x.tolist() for x in contexts(data))):
+                    if p in anchors:
+                        suffix, left = data[p : e + LENGTH], data[s:p]
+                        held.append((k % parts, suffix, left, k, _context_hash(data, p, s, e), anchors[p]))
                         size += e + LENGTH - s + 200
                 if size > RUN_BYTES:
-                    yield from flush()
-                    flushed += len(held) // 20_000 + 1
-                    held.clear()
-                    size = 0
-        yield from flush()
+                    yield flush()
+                    held, size, number = [], 0, number + 1
+        yield flush()
 
     return run
 
 
+def _context_hash(data: bytes, anchor: int, first: int, last: int) -> int:
+    return xxhash.xxh3_64_intdigest(data[first : last + LENGTH], anchor - first) - (1 << 63)
+
+
 def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows, kmers = [], []
+        out: list[tuple] = []
         for row, text in zip(batch["row"], batch["text"]):
-            kmer = contexts(text.encode("utf-8", "surrogatepass"))[3]
-            kmers.append(kmer)
-            rows.append(np.full(len(kmer), row, np.int64))
-        if kmers:
-            yield pd.DataFrame({"row": np.concatenate(rows), "kmer": np.concatenate(kmers).astype(np.int64)})
+            data = text.encode("utf-8", "surrogatepass")
+            for p, s, e, k in zip(*(x.tolist() for x in contexts(data))):
+                out.append((row, p, k, _context_hash(data, p, s, e)))
+        yield pd.DataFrame(out, columns=["row", "anchor", "kmer", "context"])
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """``row, begin, end``: byte ranges of repeated strings; ``row`` is :func:`row_key`."""
     texts = docs.select(row_key().alias("row"), "text").where(F.octet_length("text") >= LENGTH)
-    anchors = store_table(texts.mapInPandas(_anchor_rows, "row bigint, kmer bigint"))
-    twice = anchors.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kmer")
-    flagged = store_table(anchors.join(twice, "kmer").groupBy("row").agg(F.collect_set("kmer").alias("kmers")))
-    total = flagged.agg(F.coalesce(F.sum(F.size("kmers")), F.lit(0))).first()[0]
+    anchors = store_table(texts.mapInPandas(_anchor_rows, "row bigint, anchor bigint, kmer bigint, context bigint"))
+    twice = anchors.groupBy("kmer").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("kmer")
+    places = store_table(anchors.join(twice, "kmer"))
+    one = places.groupBy("kmer", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "anchor")).alias("first"))
+    wanted = one.groupBy("first.row").agg(F.collect_list(F.struct("first.anchor", "n")).alias("wanted"))
+    total = one.count()
     parts = max(shuffle_partitions(docs.sparkSession), -(-total // CONTEXTS_PER_PART))
-    shape = "part bigint, run bigint, seq bigint, common int, rest binary, left binary, context binary, places array<struct<row:bigint,anchor:bigint>>"
-    runs = store_table(texts.join(flagged, "row").mapInPandas(_sorted_runs(parts), shape))
+    shape = "part bigint, run bigint, seq bigint, common int, rest binary, left binary, kmer bigint, context bigint, n bigint"
     covered = (
-        runs.select("part", "run", "seq", "common", "rest", "left", "context", F.size("places").alias("n"))
+        texts.join(wanted, "row")
+        .mapInPandas(_sorted_runs(parts), shape)
         .repartition(parts, "part")
         .groupBy("part")
-        .applyInPandas(merge_part, "context binary, least bigint, most bigint")
+        .applyInPandas(merge_part, "kmer bigint, context bigint, least bigint, most bigint")
     )
-    places = runs.select("context", F.explode("places").alias("p"))
-    return (
-        places.join(covered, "context")
-        .select(F.col("p.row").alias("row"), (F.col("p.anchor") - F.col("most")).alias("begin"), (F.col("p.anchor") - F.col("least") + LENGTH).alias("end"))
+    return places.join(covered, ["kmer", "context"]).select(
+        "row", (F.col("anchor") - F.col("most")).alias("begin"), (F.col("anchor") - F.col("least") + LENGTH).alias("end")
     )
 
 
