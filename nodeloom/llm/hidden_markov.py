@@ -1,6 +1,6 @@
 """A hidden Markov language model over words, trained by Baum-Welch over all training documents.
 
-Symbols are the ``symbols`` most frequent training words, one class of all other words, and the end.
+Symbols are up to ``symbols`` most frequent training words, one class of all other words, and the end.
 A word of that class is drawn from it in proportion to its count plus one, so that the model gives
 every text a probability. Training starts from a guess made on a bounded sample
 (``guess_docs`` documents, a block of ``guess_chars`` characters of each) and then makes ``passes`` over all training
@@ -34,6 +34,7 @@ PASSES = 2
 GUESS_DOCS, GUESS_CHARS, GUESS_PASSES = 600, 2_000, 20
 BLOCK = 128
 BATCH_TOKENS = 400_000
+SCORED_TOKENS = 1_000_000
 COUNTED_WORDS = 400_000
 PRIOR = 0.1
 
@@ -231,12 +232,28 @@ class Trained:
     other_kinds: int
 
 
+def frequent(counts: DataFrame, symbols: int) -> dict[bytes, int]:
+    """At most ``symbols`` words: all those above the least bin of counts for which they are not too many.
+
+    Bins are sixteenths of a power of two, so that there are about a thousand for any corpus, and
+    no more words come to the driver than are kept.
+    """
+    short = counts.where(F.octet_length("word") <= SYMBOL_BYTES).withColumn("bin", F.floor(16 * F.log2("c")))
+    least, seen = None, 0
+    for r in short.groupBy("bin").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("bin")).collect():
+        seen += r.k
+        if seen > symbols:
+            break
+        least = r.bin
+    found = [] if least is None else short.where(F.col("bin") >= least).select("word", "c").collect()
+    return {w: c for c, w in sorted(((r.c, bytes(r.word)) for r in found), key=lambda x: (-x[0], x[1]))}
+
+
 def train(docs: DataFrame, states: int = STATES, symbols: int = SYMBOLS, passes: int = PASSES) -> Trained:
     counts = store_table(word_counts(docs))
     n_docs = docs.count()
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.count(F.lit(1)).alias("k")).first()
-    top = counts.where(F.octet_length("word") <= SYMBOL_BYTES).orderBy(F.desc("c"), "word").limit(symbols).collect()
-    common = {bytes(r.word): r.c for r in top}
+    common = frequent(counts, symbols)
     seen = sum(common.values())
     usual = np.array([*common.values(), sums.c - seen, n_docs], float) + 1e-3
     usual /= usual.sum()
@@ -258,28 +275,40 @@ def score(docs: DataFrame, trained: Trained) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, base = held.value
-        for batch in batches:
-            numbers, rare = [], []
-            for text in batch["text"]:
-                words = cut(text)
-                found = model.numbers(words)
-                numbers.append(found)
-                rare.append(Counter(words[n] for n in np.flatnonzero(found == model.other).tolist()))
-            yield pd.DataFrame(
+
+        def rows(ids: list, numbers: list[np.ndarray], rare: list[Counter]) -> pd.DataFrame:
+            return pd.DataFrame(
                 {
-                    "doc_id": batch["doc_id"].astype("Int64"),
+                    "doc_id": pd.array(ids, "Int64"),
                     "n_tokens": [len(x) for x in numbers],
                     "known": [int((x < model.other).sum()) + end_known for x in numbers],
                     "base": [float(base[x].sum()) for x in numbers],
                     "forward": model.scores(numbers) / np.log(10),
-                    "rare": [[{"word": w, "n": n} for w, n in r.items()] for r in rare],
+                    "words": [list(r.keys()) for r in rare],
+                    "times": [list(r.values()) for r in rare],
                 }
             )
 
-    shape = "doc_id bigint, n_tokens bigint, known bigint, base double, forward double, rare array<struct<word:binary,n:bigint>>"
+        for batch in batches:
+            ids, numbers, rare, size = [], [], [], 0
+            for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"]):
+                words = cut(text)
+                found = model.numbers(words)
+                ids.append(doc_id)
+                numbers.append(found)
+                rare.append(Counter(words[n] for n in np.flatnonzero(found == model.other).tolist()))
+                size += len(found)
+                if size >= SCORED_TOKENS:
+                    yield rows(ids, numbers, rare)
+                    ids, numbers, rare, size = [], [], [], 0
+            if ids:
+                yield rows(ids, numbers, rare)
+
+    shape = "doc_id bigint, n_tokens bigint, known bigint, base double, forward double, words array<binary>, times array<bigint>"
     # Row numbers are fixed by writing the table.
     scored = store_table(docs.select("doc_id", "text").mapInPandas(run, shape).withColumn("row", F.monotonically_increasing_id()))
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
+    pairs = F.arrays_zip("words", "times")
+    rare = scored.select("row", F.explode(pairs).alias("r")).select("row", F.col("r.words").alias("word"), F.col("r.times").alias("n"))
     log = lambda of: F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(of)))
     more = (
         rare.join(trained.counts, "word", "left")
@@ -290,7 +319,7 @@ def score(docs: DataFrame, trained: Trained) -> DataFrame:
             F.sum(F.col("n") * log(over_other)).alias("more_score"),
         )
     )
-    joined = scored.drop("rare").join(more, "row", "left")
+    joined = scored.drop("words", "times").join(more, "row", "left")
     plus = lambda a, b, zero: (F.col(a) + F.coalesce(F.col(b), F.lit(zero)))
     return joined.select(
         "doc_id", "n_tokens", plus("known", "more_known", 0).alias("n_known"),

@@ -135,6 +135,11 @@ def test_base_scores_match_brute_force(spark):
     assert len(got) == len(rows) and sum(s for s, _ in better) > sum(b for _, b in better)
 
 
+def test_frequent_words(spark):
+    counts = spark.createDataFrame([(bytearray(w.encode()), c) for w, c in {"a": 9, "b": 4, "c": 4, "d": 1, "x" * 70: 50}.items()], "word binary, c bigint")
+    assert [list(hm.frequent(counts, n)) for n in (0, 1, 2, 3, 9)] == [[], [b"a"], [b"a"], [b"a", b"b", b"c"], [b"a", b"b", b"c", b"d"]]
+
+
 def test_scores_of_odd_texts(spark):
     docs = frame(spark, ODD)
     trained = hm.train(docs, states=2, symbols=1)
