@@ -174,15 +174,18 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def first_guess(docs: DataFrame, symbols: dict[bytes, int], usual: np.ndarray, states: int) -> Model:
-    """Baum-Welch on a bounded sample, from sticky moves and disturbed usual symbols."""
+def first_guess(docs: DataFrame, n_docs: int, symbols: dict[bytes, int], usual: np.ndarray, states: int) -> Model:
+    """Baum-Welch on a bounded sample, from sticky moves and disturbed usual symbols.
+
+    A text belongs to the sample when its hash falls below the share that makes ``GUESS_DOCS`` of all.
+    """
     rng = np.random.default_rng(1)
     emit = usual[:, None] * rng.gamma(1.0, 1.0, (len(usual), states)) + 1e-12
     move = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
     model = Model(symbols, np.full(states, 1 / states), move, emit / emit.sum(0))
-    draw = F.xxhash64("text", F.lit(3))
+    draw = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     at = F.pmod(F.xxhash64("text", F.lit(4)), F.greatest(F.lit(1), F.length("text") - GUESS_CHARS)).cast("int") + 1
-    sample = docs.where(F.length("text") > 0).orderBy(draw).limit(GUESS_DOCS).select(F.substring(F.col("text"), at, F.lit(GUESS_CHARS)).alias("t"))
+    sample = docs.where((F.length("text") > 0) & (draw * n_docs < GUESS_DOCS)).select(F.substring(F.col("text"), at, F.lit(GUESS_CHARS)).alias("t"))
     texts = [model.numbers(cut(t)) for t in sorted(r.t for r in sample.collect())]
     for _ in range(GUESS_PASSES if texts else 0):
         counts = Expected.none(len(usual), states)
@@ -257,7 +260,7 @@ def train(docs: DataFrame, states: int = STATES, symbols: int = SYMBOLS, passes:
     seen = sum(common.values())
     usual = np.array([*common.values(), sums.c - seen, n_docs], float) + 1e-3
     usual /= usual.sum()
-    model = first_guess(docs, {w: n for n, w in enumerate(common)}, usual, states)
+    model = first_guess(docs, n_docs, {w: n for n, w in enumerate(common)}, usual, states)
     for _ in range(passes if n_docs else 0):
         model = model.updated(expected_counts(docs, model), usual)
     return Trained(model, counts, common, sums.c + n_docs, sums.k + bool(n_docs), n_docs, sums.c - seen, sums.k - len(common))

@@ -29,7 +29,7 @@ class Rule:
 
     bit: int
     name: str
-    fails: Callable[[], Column]
+    fails: Callable[[Column], Column]
 
 
 @dataclass(frozen=True)
@@ -40,17 +40,13 @@ class Policy:
     mask: int
 
 
-def _c(name: str) -> Column:
-    return F.col(name)
-
-
 RULES = (
-    Rule(0, "few_words", lambda: _c("n_words") < 50),
-    Rule(1, "repeated_windows", lambda: 100 * _c("n_repeat_words") > 50 * _c("n_words")),
-    Rule(2, "symbols", lambda: 100 * _c("n_symbols") > 20 * _c("word_chars")),
-    Rule(3, "short_words", lambda: _c("word_chars") < 2 * _c("n_words")),
-    Rule(4, "long_words", lambda: _c("word_chars") > 20 * _c("n_words")),
-    Rule(5, "repeated_lines", lambda: (_c("n_dup_lines") > 2) & (100 * _c("n_dup_lines") > 40 * _c("n_lines"))),
+    Rule(0, "few_words", lambda m: m["n_words"] < 50),
+    Rule(1, "repeated_windows", lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"]),
+    Rule(2, "symbols", lambda m: 100 * m["n_symbols"] > 20 * m["word_chars"]),
+    Rule(3, "short_words", lambda m: m["word_chars"] < 2 * m["n_words"]),
+    Rule(4, "long_words", lambda m: m["word_chars"] > 20 * m["n_words"]),
+    Rule(5, "repeated_lines", lambda m: (m["n_dup_lines"] > 2) & (100 * m["n_dup_lines"] > 40 * m["n_lines"])),
 )
 BASE = Policy("base-1", 0b000011)
 STRICT = Policy("strict-1", 0b111111)
@@ -96,37 +92,39 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _measured(docs: DataFrame) -> DataFrame:
-    """``doc``, the whole row, and the measurements of its text."""
+def _judged(rules: tuple[Rule, ...]) -> Column:
+    """The measurements of ``text`` and ``failures`` as one struct.
+
+    One expression with its parts bound to names: a filter on it can be moved by the optimizer
+    without words being cut again for every use of them.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    cut = docs.select(F.struct("*").alias("doc"), text.alias("_text"), words(text).alias("_words"), lines.alias("_lines"))
-    return cut.select(
-        "doc",
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(F.concat_ws("", "_words")).cast("long").alias("word_chars"),
-        (F.length("_text") - F.length(F.regexp_replace("_text", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        _repeated_words(F.col("_words")).cast("long").alias("n_repeat_words"),
-    )
+    cut = F.struct(text.alias("text"), words(text).alias("words"), lines.alias("lines"))
+
+    def measured(c: Column) -> Column:
+        w, held = c["words"], c["lines"]
+        symbols = F.length(c["text"]) - F.length(F.regexp_replace(c["text"], r"[#*$%&|<>]+", ""))
+        found = (F.size(w), F.length(F.concat_ws("", w)), symbols, F.size(held), F.size(held) - F.size(F.array_distinct(held)), _let(w, _repeated_words))
+        return F.struct(*(x.cast("long").alias(n) for n, x in zip(MEASUREMENTS, found)))
 
+    def judged(m: Column) -> Column:
+        bits = F.lit(0).cast("long")
+        for rule in rules:
+            bits = bits.bitwiseOR(F.when(rule.fails(m), F.lit(1 << rule.bit)).otherwise(F.lit(0)).cast("long"))
+        return F.struct(*(m[n].alias(n) for n in MEASUREMENTS), bits.alias("failures"))
 
-def _judged(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    bits = F.lit(0).cast("long")
-    for rule in rules:
-        bits = bits.bitwiseOR(F.when(rule.fails(), F.lit(1 << rule.bit)).otherwise(F.lit(0)).cast("long"))
-    return _measured(docs).withColumn("failures", bits)
+    return _let(_let(cut, measured), judged)
 
 
 def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``doc_id``, the measurements and ``failures``, the bits of the rules that the document fails."""
-    return _judged(docs.select("doc_id", "text"), rules).select("doc.doc_id", *MEASUREMENTS, "failures")
+    return docs.select("doc_id", _judged(rules).alias("_judged")).select("doc_id", "_judged.*")
 
 
 def keep_passing(docs: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs``, with all their columns, that pass the policy."""
-    return _judged(docs, rules).where(passes(policy)).select("doc.*")
+    return docs.where(_judged(rules)["failures"].bitwiseAND(F.lit(policy.mask)) == 0)
 
 
 def passes(policy: Policy) -> Column:
