@@ -126,8 +126,9 @@ def _tile_products(left: DataFrame, right: DataFrame, upper: bool) -> DataFrame:
         pairs = pairs.where("bi <= bj")
 
     def tile(at: np.ndarray, v) -> np.ndarray:
+        # Several entries of one position add up.
         out = np.zeros(TILE * TILE)
-        out[at] = v
+        np.add.at(out, at, v)
         return out.reshape(TILE, TILE)
 
     def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -138,7 +138,8 @@ def scatter(at: pa.Array, x: pa.Array, n: int) -> np.ndarray:
     sizes = at.value_lengths().to_numpy(zero_copy_only=False)
     block = np.zeros((len(sizes), n))
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    block[owner, at.flatten().to_numpy(zero_copy_only=False)] = x.flatten().to_numpy(zero_copy_only=False)
+    # Several entries of one position add up.
+    np.add.at(block, (owner, at.flatten().to_numpy(zero_copy_only=False)), x.flatten().to_numpy(zero_copy_only=False))
     return block
 
 

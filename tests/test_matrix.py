@@ -276,3 +276,8 @@ def test_sparse_construction_and_text(spark):
             value(V.parse_dense(F.lit(bad)))
     with pytest.raises(Exception):
         value(V.parse_sparse(F.lit("(4,[0,1],[1.0])")))
+
+
+def test_repeated_positions_add_up_in_products(spark):
+    twice = entries(spark, (0, 0, 1), (0, 0, 2), (1, 0, 4))
+    assert cells(coo.multiply(twice, entries(spark, (0, 0, 10), (0, 1, 1), (0, 1, 1)))) == {(0, 0): 30, (0, 1): 6, (1, 0): 40, (1, 1): 8}
