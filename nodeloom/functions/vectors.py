@@ -2,6 +2,7 @@
 
 A dense vector is ``ARRAY<DOUBLE>``. A sparse vector is
 ``STRUCT<size INT, indices ARRAY<INT>, values ARRAY<DOUBLE>>`` with strictly increasing indices.
+A NULL vector or text gives NULL.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def _unless_null(given: Column, value: Column) -> Column:
+    return F.when(given.isNotNull(), value)
+
+
 def _same_size(a: Column, b: Column, value: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), F.lit(None)).otherwise(
         _checked(F.size(a) == F.size(b), "vectors differ in size", value)
@@ -53,7 +58,7 @@ def norm(v: Column, p: float) -> Column:
 
 
 def nonzeros(v: Column) -> Column:
-    return F.size(F.filter(v, lambda x: x != 0))
+    return _unless_null(v, F.size(F.filter(v, lambda x: x != 0)))
 
 
 def elementwise(a: Column, b: Column, op: Callable[[Column, Column], Column]) -> Column:
@@ -80,7 +85,7 @@ def element(v: Column, index: int) -> Column:
     """The element at ``index``, from the end when negative; out of range is an error."""
     n = F.size(v)
     at = F.lit(index) if index >= 0 else n + F.lit(index)
-    return _checked((at >= 0) & (at < n), "vector index out of range", F.get(v, at))
+    return _unless_null(v, _checked((at >= 0) & (at < n), "vector index out of range", F.get(v, at)))
 
 
 def zeros(n: int) -> Column:
@@ -102,9 +107,10 @@ def sparse(size: Column, indices: Column, values: Column) -> Column:
         values.cast("array<double>").alias("values"),
     )
     same = F.size(indices) == F.size(values)
-    return _checked(
+    checked = _checked(
         same & rising & inside, "indices must match the values, rise strictly and lie in the vector", built
     )
+    return F.when(size.isNotNull() & indices.isNotNull() & values.isNotNull(), checked)
 
 
 def sparse_from_pairs(size: Column, pairs: Column) -> Column:
@@ -130,11 +136,12 @@ def to_sparse(v: Column) -> Column:
     indexed = F.filter(
         F.transform(v, lambda x, i: F.struct(i.alias("index"), x.alias("value"))), lambda e: e["value"] != 0
     )
-    return F.struct(
+    built = F.struct(
         F.size(v).alias("size"),
         F.transform(indexed, lambda e: e["index"]).cast("array<int>").alias("indices"),
         F.transform(indexed, lambda e: e["value"]).cast("array<double>").alias("values"),
     )
+    return _unless_null(v, built)
 
 
 def to_dense(s: Column) -> Column:
@@ -144,7 +151,8 @@ def to_dense(s: Column) -> Column:
     gaps = F.zip_with(indices, earlier, lambda i, before: i - before - 1)
     padded = F.zip_with(s["values"], gaps, lambda x, gap: F.concat(F.array_repeat(F.lit(0.0), gap), F.array(x)))
     tail = s["size"] - 1 - F.coalesce(F.array_max(indices), F.lit(-1))
-    return F.concat(F.flatten(padded), F.array_repeat(F.lit(0.0), tail))
+    dense = F.concat(F.flatten(padded), F.array_repeat(F.lit(0.0), tail))
+    return _unless_null(s, _checked(F.forall(gaps, lambda gap: gap >= 0), "indices must rise strictly", dense))
 
 
 def _merged(a: Column, b: Column) -> Column:
@@ -171,7 +179,8 @@ def _fold_merged(a: Column, b: Column, paired: Callable, alone: Callable) -> Col
         )
 
     folded = F.aggregate(_merged(a, b), start, step, lambda acc: acc["sum"] + alone(acc["x"]))
-    return _checked(a["size"] == b["size"], "vectors differ in size", folded)
+    both = a.isNotNull() & b.isNotNull()
+    return F.when(both, _checked(a["size"] == b["size"], "vectors differ in size", folded))
 
 
 def sparse_dot(a: Column, b: Column) -> Column:
@@ -184,11 +193,12 @@ def sparse_squared_distance(a: Column, b: Column) -> Column:
 
 def mixed_dot(s: Column, v: Column) -> Column:
     """Dot product of a sparse and a dense vector."""
-    return sparse_dot(s, to_sparse(v))
+    met = _total(F.zip_with(s["indices"], s["values"], lambda i, x: x * F.get(v, i)))
+    return F.when(s.isNotNull() & v.isNotNull(), _checked(s["size"] == F.size(v), "vectors differ in size", met))
 
 
 def mixed_squared_distance(s: Column, v: Column) -> Column:
-    return sparse_squared_distance(s, to_sparse(v))
+    return squared_distance(to_dense(s), v)
 
 
 def same_vector(a: Column, b: Column) -> Column:
@@ -205,7 +215,7 @@ def same_vector(a: Column, b: Column) -> Column:
 
 
 def format_dense(v: Column) -> Column:
-    return F.concat(F.lit("["), F.concat_ws(",", v.cast("array<string>")), F.lit("]"))
+    return _unless_null(v, F.concat(F.lit("["), F.concat_ws(",", v.cast("array<string>")), F.lit("]")))
 
 
 def format_sparse(s: Column) -> Column:
@@ -229,7 +239,8 @@ def _numbers(body: Column, kind: str) -> Column:
 def parse_dense(text: Column) -> Column:
     """``[1.0, 2.0]`` to a dense vector; spaces around the parts are allowed."""
     pattern = r"^\s*\[([^\[\]]*)\]\s*$"
-    return _checked(text.rlike(pattern), "not a dense vector", _numbers(F.regexp_extract(text, pattern, 1), "double"))
+    found = _numbers(F.regexp_extract(text, pattern, 1), "double")
+    return _unless_null(text, _checked(text.rlike(pattern), "not a dense vector", found))
 
 
 def parse_sparse(text: Column) -> Column:
@@ -240,7 +251,7 @@ def parse_sparse(text: Column) -> Column:
         _numbers(F.regexp_extract(text, pattern, 2), "int"),
         _numbers(F.regexp_extract(text, pattern, 3), "double"),
     )
-    return F.when(text.rlike(pattern), built).otherwise(F.raise_error(F.lit("not a sparse vector")))
+    return _unless_null(text, _checked(text.rlike(pattern), "not a sparse vector", built))
 
 
 # -- ML vector columns ---------------------------------------------------------------------

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nodeloom.functions import vectors
-from nodeloom.operators.coo import Shape
+from nodeloom.operators.coo import Shape, summed
 from nodeloom.operators.skew import HOT_ROWS, hot_keys, join_hot
 
 # Fixed value: the block edge used when none is given.
@@ -46,12 +46,12 @@ def block_counts(dims: Shape, rows_per_block: int = BLOCK, cols_per_block: int =
 
 
 def to_dense_blocks(coo: DataFrame, dims: Shape, rows_per_block: int = BLOCK, cols_per_block: int = BLOCK) -> DataFrame:
-    """One column-major array per block that stores a position."""
+    """One column-major array per block that stores a position; repeated positions add up."""
     if rows_per_block * cols_per_block > MAX_CELLS:
         raise ValueError(f"a block may hold at most {MAX_CELLS} cells")
     n_rows = F.least(F.lit(rows_per_block), F.lit(dims.rows) - F.col("bi") * F.lit(rows_per_block)).cast("int")
     n_cols = F.least(F.lit(cols_per_block), F.lit(dims.cols) - F.col("bj") * F.lit(cols_per_block)).cast("int")
-    placed = to_blocks(coo, rows_per_block, cols_per_block).withColumns({"n_rows": n_rows, "n_cols": n_cols})
+    placed = to_blocks(summed(coo), rows_per_block, cols_per_block).withColumns({"n_rows": n_rows, "n_cols": n_cols})
     at = (F.col("c") * F.col("n_rows") + F.col("r")).alias("at")
     grouped = placed.groupBy("bi", "bj", "n_rows", "n_cols").agg(
         F.array_sort(F.collect_list(F.struct(at, "v"))).alias("e")
@@ -129,6 +129,8 @@ def multiply_dense(
             (F.col("j") % strip).cast("int").alias("c"),
             "v",
         )
+        .groupBy("k", "bj", "c")
+        .agg(F.sum("v").alias("v"))
         .groupBy("k", "bj")
         .agg(entries.alias("e"))
         .withColumn(

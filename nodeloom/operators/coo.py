@@ -1,6 +1,7 @@
 """Matrices as coordinate tables ``i BIGINT, j BIGINT, v DOUBLE``, one row per stored position.
 
-Positions without a row are zero; stored zeros are kept until :func:`drop_zeros`.
+Positions without a row are zero; stored zeros are kept until :func:`drop_zeros`. Several rows of one
+position add up wherever a cell is needed as one value; :func:`summed` does it beforehand.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 from nodeloom.functions.vectors import to_dense
 from nodeloom.operators.skew import hot_keys, join_hot_both
 
-# Widest matrix that is turned into one vector per row.
-MAX_VECTOR = 65_535
+# Most columns of a covariance, and longest array that a row can hold.
+MAX_COLUMNS = 65_535
+MAX_ARRAY = 2**31 - 16
 # Edge of the tiles that a task multiplies, and most tiles a side that meet in one part.
 TILE = 32
 TILES_PER_PART = 64
@@ -56,6 +58,11 @@ def shape(coo: DataFrame, rows: int | None = None, cols: int | None = None) -> S
     return Shape(rows if rows is not None else found.n_rows, cols if cols is not None else found.n_cols)
 
 
+def summed(coo: DataFrame) -> DataFrame:
+    """One row per stored position."""
+    return coo.groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
 def transpose(coo: DataFrame) -> DataFrame:
     return coo.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
 
@@ -171,10 +178,14 @@ def mirror_upper(upper: DataFrame) -> DataFrame:
     return upper.select(F.explode(cells).alias("c")).select("c.*")
 
 
-def column_summary(coo: DataFrame, n_rows: int) -> DataFrame:
-    """Per column ``j``: mean, sample variance, count, nnz, max, min, l1, l2 over all ``n_rows`` rows."""
+def column_summary(coo: DataFrame, dims: Shape) -> DataFrame:
+    """Per column ``j``: mean, sample variance, count, nnz, max, min, l1, l2 over all rows of the matrix.
+
+    Every column of ``dims`` has a row, those without a stored position too.
+    """
+    n_rows = dims.rows
     n = F.lit(float(n_rows))
-    stored = coo.groupBy("j").agg(
+    found = summed(coo).groupBy("j").agg(
         F.sum("v").alias("total"),
         F.sum(F.col("v") * F.col("v")).alias("squares"),
         F.sum(F.abs("v")).alias("l1"),
@@ -185,10 +196,13 @@ def column_summary(coo: DataFrame, n_rows: int) -> DataFrame:
         F.var_samp("v").alias("var_stored"),
         F.avg("v").alias("avg_stored"),
     )
+    columns = coo.sparkSession.range(dims.cols).select(F.col("id").alias("j"))
+    zero = {"total": 0.0, "squares": 0.0, "l1": 0.0, "nnz": 0, "top": 0.0, "bottom": 0.0, "stored": 0, "avg_stored": 0.0}
+    stored = columns.join(found, "j", "left").fillna(zero)
     mean = F.col("total") / n
     held, absent = F.col("stored"), n - F.col("stored")
     # Sum of squared deviations: those of the stored values, plus the shift to the common mean.
-    within = F.coalesce("var_stored", F.lit(0.0)) * (held - 1)
+    within = F.coalesce("var_stored", F.lit(0.0)) * F.greatest(held - 1, F.lit(0))
     between = held * F.pow(F.col("avg_stored") - mean, 2) + absent * F.pow(mean, 2)
     return stored.select(
         "j",
@@ -218,8 +232,8 @@ def covariance(coo: DataFrame, dims: Shape) -> DataFrame:
     """Sample covariance of the columns; columns that share no row have one too, so all pairs are returned."""
     if dims.rows < 2:
         raise ValueError("covariance needs at least two rows")
-    if dims.cols > MAX_VECTOR:
-        raise ValueError(f"{dims.cols} columns exceed the limit of {MAX_VECTOR}")
+    if dims.cols > MAX_COLUMNS:
+        raise ValueError(f"{dims.cols} columns exceed the limit of {MAX_COLUMNS}")
     n = F.lit(float(dims.rows))
     means = coo.groupBy("j").agg((F.sum("v") / n).alias("mean"))
     found = fill_zeros(gramian(coo), Shape(dims.cols, dims.cols))
@@ -241,19 +255,19 @@ def fill_zeros(coo: DataFrame, dims: Shape) -> DataFrame:
     # Whole-number division: the quotient of two doubles is not exact for many cells.
     row = ((F.col("id") - F.col("id") % width) / width).cast("bigint")
     grid = coo.sparkSession.range(cells).select(row.alias("i"), (F.col("id") % width).alias("j"))
-    return grid.join(coo, ["i", "j"], "left").select("i", "j", F.coalesce("v", F.lit(0.0)).alias("v"))
+    return grid.join(summed(coo), ["i", "j"], "left").select("i", "j", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
 def to_sparse_rows(coo: DataFrame, n_cols: int) -> DataFrame:
     """``i, row`` with sparse vectors, for the rows that store a position.
 
-    A row of the matrix becomes one value, hence the limit on the width; use
+    A row of the matrix becomes one value, so the width is limited by the longest array; use
     :func:`nodeloom.operators.blocks.to_blocks` beyond it.
     """
-    if n_cols > MAX_VECTOR:
-        raise ValueError(f"{n_cols} columns are too many for one vector per row (limit {MAX_VECTOR}); use blocks")
+    if n_cols > MAX_ARRAY:
+        raise ValueError(f"{n_cols} columns are too many for one vector per row (limit {MAX_ARRAY}); use blocks")
     entries = F.array_sort(F.collect_list(F.struct("j", "v")))
-    return coo.groupBy("i").agg(entries.alias("e")).select(
+    return summed(coo).groupBy("i").agg(entries.alias("e")).select(
         "i",
         F.struct(
             F.lit(n_cols).cast("int").alias("size"),
@@ -292,5 +306,6 @@ def to_local(coo: DataFrame, dims: Shape, max_cells: int = 4_000_000) -> np.ndar
 
 def from_local(spark: SparkSession, matrix) -> DataFrame:
     """A small numpy matrix as a coordinate table, zeros included."""
-    cells = [(int(i), int(j), float(x)) for i, line in enumerate(matrix) for j, x in enumerate(line)]
-    return spark.createDataFrame(cells, "i bigint, j bigint, v double")
+    held = np.asarray(matrix, dtype=float)
+    i, j = (at.ravel() for at in np.indices(held.shape))
+    return spark.createDataFrame(pa.table({"i": i, "j": j, "v": held.ravel()}))

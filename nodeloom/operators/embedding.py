@@ -7,6 +7,7 @@ of vectors is widened as a distributed table and only squares of its width reach
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -29,7 +30,7 @@ from nodeloom.operators.rowmatrix import (
     square_of_rows,
 )
 from nodeloom.operators.skew import HOT_ROWS, hot_keys, join_hot
-from nodeloom.runtime import cut_lineage, store_table
+from nodeloom.runtime import cut_lineage, drop_stored, store_table
 
 COMPONENTS = 10
 
@@ -68,7 +69,7 @@ def _project_lists(lists: DataFrame, matrix: np.ndarray) -> DataFrame:
 def _from_lists(lists: DataFrame, m: int, k: int) -> RightVectors:
     """From the columns as lists ``j, at, x`` over a short row side of length ``m``."""
     lists = lists.persist(StorageLevel.MEMORY_AND_DISK)
-    s, u = eigen_of_square(local_square(square_of_lists(lists, m), m), k, 0.0)
+    s, u = eigen_of_square(local_square(square_of_lists(lists, m), m), k, NOISE)
     v = _signed(cut_lineage(_project_lists(lists, u / s if len(s) else u)), len(s))
     lists.unpersist()
     return RightVectors(s, v)
@@ -103,7 +104,7 @@ def block_krylov(
     k: int,
     tolerance: float = 1e-9,
     max_rounds: int = 100,
-    max_width: int = 80,
+    max_width: int | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> RightVectors:
     """Leading right singular vectors when both sides are long.
@@ -112,10 +113,12 @@ def block_krylov(
     ``q = [b | r]`` per column of the matrix. A round finds the best vectors within the basis
     (Rayleigh-Ritz on a small square), and widens the basis by the residuals of those that have
     not converged, which costs one multiplication by A and one by Aᵀ: two joins with pre-summed
-    products. A basis that becomes too wide is restarted from its best vectors. It stops when
-    the relative residual of every wanted vector is at most ``tolerance``.
+    products. A basis wider than ``max_width`` (a few blocks when not given) is restarted from its best vectors. It
+    stops when the relative residual of every wanted vector is at most ``tolerance``, or after ``max_rounds``
+    with the best vectors so far and a warning that states their residual. Tables of earlier rounds are removed.
     """
     p = min(k + 2, *dims)
+    max_width = max(80, 6 * p) if max_width is None else max_width
     coo = coo.persist(StorageLevel.MEMORY_AND_DISK)
 
     def hot(side: str) -> DataFrame:
@@ -140,6 +143,7 @@ def block_krylov(
     start = store_table(_start_block(coo, p))
     turn = orthonormaliser(_square(start, p))
     fresh, added = store_table(multiply_local(start, turn, "q")), turn.shape[1]
+    drop_stored(start)
     table, w = None, 0
     for _ in range(max_rounds):
         images = applied_twice(fresh, added).withColumnRenamed("q", "image")
@@ -149,7 +153,10 @@ def block_krylov(
         else:
             b, r = F.slice("q", 1, w), F.slice("q", w + 1, w)
             grown = table.join(grown, "j").select("j", F.concat(b, "x", r, "image").alias("q"))
-        table, w = store_table(grown), w + added
+        past, table, w = (fresh, table), store_table(grown), w + added
+        for stored in past:
+            if stored is not None:
+                drop_stored(stored)
         square = _square(table, 2 * w)
 
         # Best vectors within the basis; the Cholesky factor absorbs its rounding errors.
@@ -161,7 +168,9 @@ def block_krylov(
         if w + tried > max_width:
             kept = np.ascontiguousarray(turn[:, : 2 * p])
             none = np.zeros_like(kept)
-            table, w = store_table(multiply_local(table, np.block([[kept, none], [none, kept]]), "q")), kept.shape[1]
+            wide, table = table, store_table(multiply_local(table, np.block([[kept, none], [none, kept]]), "q"))
+            drop_stored(wide)
+            w = kept.shape[1]
             turn = np.eye(w)
         error = np.vstack([-turn * theta[: turn.shape[1]], turn])[:, :tried]
 
@@ -183,10 +192,14 @@ def block_krylov(
         combine[:w], combine[spread] = -overlap @ turn_new, turn_new
         fresh = store_table(multiply_local(with_error, combine, "q"))
     else:
-        raise RuntimeError(f"no convergence after {max_rounds} rounds")
+        worst = max((sizes[c] / theta[c] for c in wanted), default=0.0)
+        warnings.warn(f"relative residual {worst:.1e} after {max_rounds} rounds", stacklevel=2)
+        drop_stored(fresh)
     keep = len(wanted)
     best = np.vstack([turn[:, :keep], np.zeros((w, keep))])
-    v = store_table(multiply_local(table, best, "q")).withColumnRenamed("q", "v")
+    v = store_table(multiply_local(table, best, "q"))
+    drop_stored(table)
+    v = v.withColumnRenamed("q", "v")
     for stored in (coo, *hot_of.values()):
         stored.unpersist()
     return RightVectors(np.sqrt(theta[:keep]), _signed(v, keep))
@@ -206,7 +219,7 @@ def right_vectors(coo: DataFrame, dims: Shape, k: int, dense_side: int = MAX_DEN
     if dims.rows <= dims.cols:
         return _from_lists(lists("j", "i"), dims.rows, k)
     square = local_square(square_of_lists(lists("i", "j"), dims.cols), dims.cols)
-    s, v = eigen_of_square(square, k, 0.0)
+    s, v = eigen_of_square(square, k, NOISE)
     cells = [(j, [float(x) for x in line]) for j, line in enumerate(v)]
     return RightVectors(s, _signed(coo.sparkSession.createDataFrame(cells, "j bigint, v array<double>"), len(s)))
 

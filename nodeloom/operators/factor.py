@@ -67,18 +67,20 @@ def qr(rows: DataFrame, row: str = "row", compute_q: bool = False) -> Qr:
 
 
 def eigen_of_square(square: np.ndarray, k: int, r_cond: float) -> tuple[np.ndarray, np.ndarray]:
-    """Leading singular values and right vectors from a Gramian, noise dropped."""
+    """Leading singular values and right vectors from a Gramian, those up to ``r_cond`` of the largest dropped."""
     values, vectors = np.linalg.eigh(square)
     s = np.sqrt(np.maximum(values[::-1], 0.0))
-    keep = min(k, int(np.sum(s > max(r_cond, NOISE) * s[0])) if len(s) and s[0] > 0 else 0)
+    keep = min(k, int(np.sum(s > r_cond * s[0])) if len(s) and s[0] > 0 else 0)
     v = vectors[:, ::-1][:, :keep]
     return s[:keep], v
 
 
-def svd(rows: DataFrame, k: int, row: str = "row", compute_u: bool = False, r_cond: float = 1e-9) -> Svd:
+def svd(rows: DataFrame, k: int, row: str = "row", compute_u: bool = False, r_cond: float = NOISE) -> Svd:
     """Leading ``k`` singular triplets, fewer when the matrix has lower rank.
 
-    ``u`` keeps the other columns of ``rows``. The largest entry of each right vector is positive.
+    ``u`` keeps the other columns of ``rows``. The largest entry of each right vector is positive. Values up to
+    ``r_cond`` times the largest are dropped. As they come from the square, a value below about 1e-8 of the
+    largest holds rounding only: a smaller ``r_cond`` than the default may return such components.
     """
     n = width(rows, row)
     check_width(n)

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nodeloom.functions import vectors as V
 from nodeloom.operators import adjacency, binning, blocks, clustering, coo, degrees, edges, ego, embedding, factor, rowmatrix
 from nodeloom.operators.pagerank import pagerank
 from nodeloom.plans import report, tables
-from nodeloom.runtime import work_path
+from nodeloom.runtime import cut_lineage, work_path
 from nodeloom.sources import edge_lists, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -184,7 +184,7 @@ def _(spark, d):
 
 @query("g1_pagerank_node_count")
 def _(spark, d):
-    return rounded(pagerank(tables.edges(spark, d), iterations=3, n_mode="count"), RANK_DIGITS, "pagerank")
+    return rounded(pagerank(tables.edges(spark, d), n_mode="count"), RANK_DIGITS, "pagerank")
 
 
 @query("g2_weighted_pagerank")
@@ -273,6 +273,28 @@ def _(spark, d):
     return rounded(rowmatrix.gramian(block), SUM_DIGITS, "v")
 
 
+@query("g13_embedding_values")
+def _(spark, d):
+    """Per component v of the embedding: the greatest entry of AᵀAv - s²v with s² = |Av|², the length of v, and whether s falls."""
+    e = tables.edges(spark, d).select("src", "dst").distinct()
+    names = [f"v_{c}" for c in range(1, 11)]
+    vectors = cut_lineage(embedding.svd_embedding(tables.edges(spark, d)))
+    turned = e.join(vectors.withColumnRenamed("nodeid", "dst"), "dst").groupBy("src").agg(*[F.sum(n).alias(n) for n in names])
+    turned = cut_lineage(turned)
+    back = e.join(turned, "src").groupBy(F.col("dst").alias("nodeid")).agg(*[F.sum(n).alias(n) for n in names])
+
+    def long(df, value):
+        cells = [F.struct(F.lit(c).alias("component"), F.col(n).alias(value)) for c, n in enumerate(names, 1)]
+        return df.select(*[c for c in df.columns if c == "nodeid"], F.explode(F.array(*cells)).alias("c")).select("*", "c.*").drop("c")
+
+    s = long(turned, "u").groupBy("component").agg(F.sum(F.col("u") * F.col("u")).alias("s2"))
+    s = s.withColumn("next", F.lead("s2", 1, 0.0).over(Window.orderBy("component")))
+    both = long(vectors, "v").join(long(back, "image"), ["nodeid", "component"], "left").join(s, "component")
+    off = F.abs(F.coalesce("image", F.lit(0.0)) - F.col("s2") * F.col("v"))
+    per = both.groupBy("component", "s2", "next").agg(F.max(off).alias("residual"), F.sum(F.col("v") * F.col("v")).alias("length"))
+    return rounded(per.select("component", "residual", "length", (F.col("s2") >= F.col("next")).alias("falling")), SUM_DIGITS, "residual", "length")
+
+
 def combined_core(spark: SparkSession, d: str) -> DataFrame:
     """The combined table without the embedding, bins taken on rounded ranks."""
     options = report.ReportOptions(svd=False)
@@ -349,8 +371,9 @@ def _(spark, d):
 
 @query("m4_coordinate_column_summary")
 def _(spark, d):
-    m = tables.measure(spark, d, "l_quantity").where("v > 600")
-    return rounded(coo.column_summary(m, coo.shape(m).rows), SUM_DIGITS, "mean", "variance", "max", "min", "l1", "l2")
+    """Three more columns than the table stores positions in."""
+    m = tables.order_lines(spark, d, "l_quantity")
+    return rounded(coo.column_summary(m, coo.Shape(coo.shape(m).rows, GROUPS + 3)), SUM_DIGITS, "mean", "variance", "max", "min", "l1", "l2")
 
 
 @query("m5_covariance")
@@ -360,7 +383,7 @@ def _(spark, d):
 
 @query("m5_coordinate_covariance")
 def _(spark, d):
-    m = tables.measure(spark, d, "l_quantity").where("v > 600")
+    m = tables.order_lines(spark, d, "l_quantity")
     return rounded(coo.covariance(m, coo.Shape(coo.shape(m).rows, GROUPS)), 4, "v")
 
 
@@ -395,6 +418,20 @@ def _(spark, d):
     return factor.local_rows(spark, factor.qr(tables.vectors(spark, d)).r)
 
 
+@query("m9_qr_square")
+def _(spark, d):
+    """RᵀR, which is the Gramian, with what R holds below its diagonal."""
+    r = factor.qr(tables.vectors(spark, d)).r
+    square, below = factor.local_rows(spark, r.T @ r), factor.local_rows(spark, np.tril(r, -1)).withColumnRenamed("v", "below")
+    return rounded(square.join(below, ["i", "j"]), SUM_DIGITS, "v", "below")
+
+
+@query("m9_qr_orthonormal")
+def _(spark, d):
+    """QᵀQ: the identity."""
+    return rounded(rowmatrix.gramian(factor.qr(tables.vectors(spark, d), compute_q=True).q), SUM_DIGITS, "v")
+
+
 @query("m9_qr_product")
 def _(spark, d):
     found = factor.qr(tables.vectors(spark, d), compute_q=True)
@@ -406,6 +443,23 @@ def _(spark, d):
     return factor.triplets(factor.svd(tables.vectors(spark, d), 10), spark)
 
 
+@query("m10_singular_triplets")
+def _(spark, d):
+    """Per component: whether AᵀAv = s²v, the length of v, whether values fall, and the sum of all s²."""
+    rows = tables.vectors(spark, d)
+    n = rowmatrix.width(rows)
+    found = factor.svd(rows, n)
+    image = coo.multiply(rowmatrix.gramian(rows), coo.from_local(spark, found.v)).withColumnRenamed("v", "image")
+    cells = coo.from_local(spark, found.v).join(image, ["i", "j"]).withColumn("component", F.col("j") + 1)
+    s = factor.triplets(found, spark).withColumn("next", F.lead("s", 1, 0.0).over(Window.orderBy("component")))
+    total = s.agg(F.sum(F.col("s") * F.col("s"))).scalar()
+    per = cells.join(s, "component").groupBy("component", "s", "next").agg(
+        F.max(F.abs(F.col("image") - F.col("s") * F.col("s") * F.col("v"))).alias("residual"), F.sum(F.col("v") * F.col("v")).alias("length")
+    )
+    checked = per.select("component", "residual", "length", (F.col("s") >= F.col("next")).alias("falling"), total.alias("total"))
+    return rounded(checked, 4, "residual", "length", "total")
+
+
 @query("m10_svd_product")
 def _(spark, d):
     found = factor.svd(tables.vectors(spark, d), 64, compute_u=True)
@@ -424,6 +478,17 @@ def _(spark, d):
     return factor.local_rows(spark, factor.principal_components(tables.vectors(spark, d), 10).vectors)
 
 
+@query("m11_turned_covariance")
+def _(spark, d):
+    """Covariance of the rows turned into all components: zero off the diagonal, and falling along it."""
+    rows = tables.vectors(spark, d)
+    turned = rowmatrix.covariance(rowmatrix.multiply_local(rows, factor.principal_components(rows, rowmatrix.width(rows)).vectors))
+    after = turned.where("i = j").select((F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j"), F.col("v").alias("after"))
+    falling = F.when(F.col("i") == F.col("j"), F.col("v") >= F.coalesce("after", F.lit(0.0))).otherwise(F.lit(True))
+    off = F.when(F.col("i") == F.col("j"), 0.0).otherwise(F.col("v")).alias("off")
+    return rounded(turned.join(after, ["i", "j"], "left").select("i", "j", off, falling.alias("falling")), SUM_DIGITS, "off")
+
+
 @query("m11_component_variance")
 def _(spark, d):
     """Total variance, from the covariance of the rows turned into all components."""
@@ -460,6 +525,14 @@ def _(spark, d):
     return rounded(coo.multiply(a, coo.transpose(tables.measure(spark, d, "l_tax"))), 4, "v")
 
 
+@query("m16_multiply_repeated")
+def _(spark, d):
+    """Supplier by part times part by line number, one row per order line on both sides."""
+    lines = tables.table(spark, d, "lineitem")
+    a = coo.coordinate_table(lines, "l_suppkey", "l_partkey", "l_quantity")
+    return rounded(coo.multiply(a, coo.coordinate_table(lines, "l_partkey", "l_linenumber", "l_tax")), 4, "v")
+
+
 @query("m16_multiply_dense")
 def _(spark, d):
     a, b = coo.transpose(tables.measure(spark, d, "l_quantity")), tables.measure(spark, d, "l_tax")
@@ -485,7 +558,15 @@ def _(spark, d):
 
 @query("m17_dense_rows")
 def _(spark, d):
-    return coo.from_rows(coo.to_dense_rows(tables.measure(spark, d, "l_quantity").where("v > 600"), GROUPS))
+    return coo.from_rows(coo.to_dense_rows(tables.order_lines(spark, d, "l_quantity"), GROUPS))
+
+
+@query("m17_blocks_repeated")
+def _(spark, d):
+    """Order lines through dense blocks, lines of one position added up."""
+    lines = tables.order_lines(spark, d, "l_quantity")
+    dense = blocks.to_dense_blocks(lines, coo.Shape(coo.shape(lines).rows, GROUPS), 100, 24)
+    return rounded(coo.drop_zeros(blocks.from_dense_blocks(dense, 100, 24)), SUM_DIGITS, "v")
 
 
 @query("m18_block_violations")
@@ -507,7 +588,7 @@ def _(spark, d):
 
 @query("m21_fill_zeros")
 def _(spark, d):
-    m = tables.measure(spark, d, "l_quantity").where("v > 600")
+    m = tables.order_lines(spark, d, "l_quantity")
     return coo.fill_zeros(m, coo.Shape(coo.shape(m).rows, GROUPS))
 
 
@@ -567,7 +648,8 @@ def _(spark, d):
 
 @query("v5_elementwise")
 def _(spark, d):
-    p = _pairs(spark, d).where(F.forall("b", lambda x: x != 0))
+    """Quotients by zero are NULL."""
+    p = _pairs(spark, d)
     a, b = F.col("a"), F.col("b")
     parts = p.select(
         "vec_id",
@@ -576,7 +658,7 @@ def _(spark, d):
                 V.elementwise(a, b, lambda x, y: x + y).alias("plus"),
                 V.elementwise(a, b, lambda x, y: x - y).alias("minus"),
                 V.elementwise(a, b, lambda x, y: x * y).alias("times"),
-                V.elementwise(a, b, lambda x, y: x / y).alias("over"),
+                V.elementwise(a, b, lambda x, y: F.try_divide(x, y)).alias("over"),
                 V.scale_by(a, lambda x: F.lit(2.0) - x).alias("from_two"),
                 V.negate(a).alias("negated"),
             )

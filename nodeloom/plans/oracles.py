@@ -60,6 +60,8 @@ def _measure(name: str, column: str) -> str:
 
 QUANTITY, TAX = _measure("a", "l_quantity"), _measure("b", "l_tax")
 
+CELLS = "k AS (SELECT l_orderkey AS i, l_partkey % 50 AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)"
+
 
 def _ranks(rounds: int = 10, weighted: bool = False, size: str = "max(nodeid)") -> str:
     """PageRank as one chained step per round; the last one is ``ranks``."""
@@ -150,7 +152,7 @@ min(degree) AS min_degree, max(degree) AS max_degree FROM deg""",
 x AS (SELECT nodeid, degree, {_bin('degree', 100)} AS b, lo, hi FROM deg, lim)
 SELECT nodeid, degree, b AS degree_bin, round({_center('b', 100)}, 9) AS degree_t FROM x""",
     "g1_pagerank": f"WITH {E}, {_ranks()} SELECT nodeid, pagerank FROM ranks",
-    "g1_pagerank_node_count": f"WITH {E}, {_ranks(3, size='count(*)')} SELECT nodeid, pagerank FROM ranks",
+    "g1_pagerank_node_count": f"WITH {E}, {_ranks(size='count(*)')} SELECT nodeid, pagerank FROM ranks",
     "g2_weighted_pagerank": f"WITH {E}, {_ranks(weighted=True)} SELECT nodeid, pagerank FROM ranks",
     "g3_neighbour_degrees": f"""WITH {E}, {SIMPLE} SELECT u AS nodeid, v AS neighbour, degree AS neighbour_degree FROM s JOIN sd ON nodeid = v
 UNION ALL SELECT v, u, degree FROM s JOIN sd ON nodeid = u""",
@@ -180,13 +182,13 @@ SELECT nodeid, degree + 1 AS ego_size, CAST(c AS BIGINT) AS ego_edges FROM sd JO
     "m3_dimensions": f"WITH {M} SELECT max(i) + 1 AS n_rows, max(j) + 1 AS n_cols FROM m",
     "m4_column_summary": f"""WITH {M}, x AS (SELECT j, avg(v) AS mean, var_samp(v) AS variance, CAST(count(*) AS BIGINT) AS n,
 CAST(count(*) FILTER (v <> 0) AS BIGINT) AS nnz, max(v) AS hi, min(v) AS lo, sum(abs(v)) AS l1, sqrt(sum(v * v)) AS l2 FROM m GROUP BY j) {_SUMMARY}""",
-    "m4_coordinate_column_summary": f"""WITH {QUANTITY}, k AS (SELECT * FROM a WHERE v > 600),
-g AS (SELECT r.range AS i, c.j FROM range((SELECT max(i) + 1 FROM k)) r CROSS JOIN (SELECT DISTINCT j FROM k) c),
+    "m4_coordinate_column_summary": f"""WITH {CELLS},
+g AS (SELECT r.range AS i, c.range AS j FROM range((SELECT max(i) + 1 FROM k)) r CROSS JOIN range(53) c),
 f AS (SELECT g.j, coalesce(k.v, 0) AS v FROM g LEFT JOIN k ON k.i = g.i AND k.j = g.j),
 x AS (SELECT j, avg(v) AS mean, var_samp(v) AS variance, CAST(count(*) AS BIGINT) AS n,
 CAST(count(*) FILTER (v <> 0) AS BIGINT) AS nnz, max(v) AS hi, min(v) AS lo, sum(abs(v)) AS l1, sqrt(sum(v * v)) AS l2 FROM f GROUP BY j) {_SUMMARY}""",
     "m5_covariance": f"WITH {M} SELECT a.j AS i, b.j AS j, round(covar_samp(a.v, b.v), 6) + 0.0::DOUBLE AS v FROM m a JOIN m b ON a.i = b.i GROUP BY a.j, b.j",
-    "m5_coordinate_covariance": f"""WITH {QUANTITY}, k AS (SELECT * FROM a WHERE v > 600),
+    "m5_coordinate_covariance": f"""WITH {CELLS},
 g AS (SELECT r.range AS i, c.range AS j FROM range((SELECT max(i) + 1 FROM k)) r CROSS JOIN range(50) c),
 f AS (SELECT g.i, g.j, coalesce(k.v, 0) AS v FROM g LEFT JOIN k ON k.i = g.i AND k.j = g.j)
 SELECT p.j AS i, q.j AS j, round(covar_samp(p.v, q.v), 4) + 0.0::DOUBLE AS v FROM f p JOIN f q ON p.i = q.i GROUP BY p.j, q.j""",
@@ -197,6 +199,15 @@ SELECT g.i, g.j, round(g.v / (p.n * q.n), 6) + 0.0::DOUBLE AS v
 FROM (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM m a JOIN m b ON a.i = b.i AND a.j < b.j GROUP BY a.j, b.j) g
 JOIN n p ON p.j = g.i JOIN n q ON q.j = g.j""",
     "m9_qr_product": f"WITH {M} SELECT i, j, round(v, 6) + 0.0::DOUBLE AS v FROM m",
+    "m9_qr_square": f"WITH {M} SELECT a.j AS i, b.j AS j, round(sum(a.v * b.v), 6) + 0.0::DOUBLE AS v, 0.0::DOUBLE AS below FROM m a JOIN m b ON a.i = b.i GROUP BY a.j, b.j",
+    "m9_qr_orthonormal": f"""WITH {M}, c AS (SELECT DISTINCT j FROM m)
+SELECT a.j AS i, b.j AS j, CASE WHEN a.j = b.j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM c a CROSS JOIN c b""",
+    "m10_singular_triplets": f"""WITH {M} SELECT CAST(c.j + 1 AS BIGINT) AS component, 0.0::DOUBLE AS residual, 1.0::DOUBLE AS length, true AS falling,
+(SELECT round(sum(v * v), 4) FROM m) AS total FROM (SELECT DISTINCT j FROM m) c""",
+    "m11_turned_covariance": f"""WITH {M}, c AS (SELECT DISTINCT j FROM m)
+SELECT a.j AS i, b.j AS j, 0.0::DOUBLE AS off, true AS falling FROM c a CROSS JOIN c b""",
+    "g13_embedding_values": f"""WITH {E} SELECT CAST(range AS INTEGER) AS component, 0.0::DOUBLE AS residual, 1.0::DOUBLE AS length, true AS falling
+FROM range(1, (SELECT least(count(DISTINCT src), 10) + 1 FROM e))""",
     "m10_svd_product": f"WITH {M} SELECT i, j, round(v, 6) + 0.0::DOUBLE AS v FROM m",
     "m10_svd_left_gramian": "SELECT a.range AS i, b.range AS j, CASE WHEN a.range = b.range THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM range(10) a CROSS JOIN range(10) b",
     "m11_component_variance": f"WITH {M} SELECT round(sum(s), 6) AS variance FROM (SELECT var_samp(v) AS s FROM m GROUP BY j)",
@@ -206,12 +217,15 @@ FROM m CROSS JOIN range(8) c GROUP BY i, c.range""",
     "m14_add": f"WITH {QUANTITY}, {TAX} SELECT i, j, round(sum(v), 6) AS v FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY i, j",
     "m15_subtract": f"WITH {QUANTITY}, {TAX} SELECT i, j, round(sum(v), 6) AS v FROM (SELECT * FROM a UNION ALL SELECT i, j, -v FROM b) GROUP BY i, j",
     "m16_multiply": f"WITH {QUANTITY}, {TAX} SELECT a.i AS i, b.i AS j, round(sum(a.v * b.v), 4) AS v FROM a JOIN b ON a.j = b.j GROUP BY a.i, b.i",
+    "m16_multiply_repeated": """SELECT a.l_suppkey AS i, CAST(b.l_linenumber AS BIGINT) AS j, round(sum(a.l_quantity * b.l_tax), 4) AS v
+FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey GROUP BY 1, 2""",
     "m16_multiply_dense": f"WITH {QUANTITY}, {TAX} SELECT a.j AS i, b.j AS j, round(sum(a.v * b.v), 4) AS v FROM a JOIN b ON a.i = b.i GROUP BY a.j, b.j",
     "m17_to_blocks": f"""WITH {M} SELECT CAST(i // 128 AS INTEGER) AS bi, CAST(j // 16 AS INTEGER) AS bj,
 CAST(i % 128 AS INTEGER) AS r, CAST(j % 16 AS INTEGER) AS c, v FROM m""",
     "m17_dense_blocks_round_trip": f"WITH {M} SELECT i, j, v FROM m",
     "m17_sparse_rows_round_trip": f"WITH {QUANTITY} SELECT i, j, v FROM a",
-    "m17_dense_rows": f"""WITH {QUANTITY}, k AS (SELECT * FROM a WHERE v > 600)
+    "m17_blocks_repeated": f"WITH {CELLS} SELECT i, j, round(v, 6) AS v FROM k",
+    "m17_dense_rows": f"""WITH {CELLS}
 SELECT r.i, c.range AS j, coalesce(k.v, 0) AS v FROM (SELECT DISTINCT i FROM k) r CROSS JOIN range(50) c
 LEFT JOIN k ON k.i = r.i AND k.j = c.range""",
     "m18_block_violations": f"""WITH {M}, b AS (SELECT DISTINCT CAST(i // 100 AS INTEGER) AS bi, CAST(j // 24 AS INTEGER) AS bj FROM m)
@@ -219,7 +233,7 @@ SELECT bi, bj, 'duplicate block' AS problem FROM b WHERE bi = 1 AND bj = 0
 UNION ALL SELECT CAST(1000000 AS INTEGER), bj, 'outside the matrix' FROM b WHERE bi = 0
 UNION ALL SELECT bi, bj, 'wrong block size' FROM b WHERE bi = 2 AND bj = 1""",
     "m21_drop_zeros": f"WITH {M} SELECT i, j, v FROM m WHERE abs(v) >= 0.05::DOUBLE",
-    "m21_fill_zeros": f"""WITH {QUANTITY}, k AS (SELECT * FROM a WHERE v > 600)
+    "m21_fill_zeros": f"""WITH {CELLS}
 SELECT r.range AS i, c.range AS j, coalesce(k.v, 0) AS v FROM range((SELECT max(i) + 1 FROM k)) r CROSS JOIN range(50) c
 LEFT JOIN k ON k.i = r.range AND k.j = c.range""",
     "v1_dot": f"WITH {PAIRS} SELECT vec_id, round(sum(a * b), 6) + 0.0::DOUBLE AS v FROM pr GROUP BY vec_id",
@@ -229,10 +243,9 @@ round(pow(sum(pow(abs(v), 3)), 1.0::DOUBLE / 3), 6) AS l3, round(max(abs(v)), 6)
     "v3_squared_distance": f"""WITH {PAIRS} SELECT vec_id, round(sum((a - b) * (a - b)), 6) AS dense, round(sum((ta - tb) * (ta - tb)), 6) AS sparse,
 round(sum((ta - b) * (ta - b)), 6) AS mixed FROM pr GROUP BY vec_id""",
     "v4_nonzeros": f"WITH {THIN} SELECT vec_id, CAST(count(*) FILTER (t <> 0) AS BIGINT) AS n FROM th GROUP BY vec_id",
-    "v5_elementwise": f"""WITH {PAIRS}, ok AS (SELECT vec_id FROM pr GROUP BY vec_id HAVING bool_and(b <> 0))
-SELECT vec_id, position, round(a + b, 6) + 0.0::DOUBLE AS plus, round(a - b, 6) + 0.0::DOUBLE AS minus, round(a * b, 6) + 0.0::DOUBLE AS times,
-round(a / b, 3) + 0.0::DOUBLE AS over, round(2.0::DOUBLE - a, 6) + 0.0::DOUBLE AS from_two, round(-a, 6) + 0.0::DOUBLE AS negated
-FROM pr JOIN ok USING (vec_id)""",
+    "v5_elementwise": f"""WITH {PAIRS} SELECT vec_id, position, round(a + b, 6) + 0.0::DOUBLE AS plus, round(a - b, 6) + 0.0::DOUBLE AS minus, round(a * b, 6) + 0.0::DOUBLE AS times,
+round(a / nullif(b, 0), 3) + 0.0::DOUBLE AS over, round(2.0::DOUBLE - a, 6) + 0.0::DOUBLE AS from_two, round(-a, 6) + 0.0::DOUBLE AS negated
+FROM pr""",
     "v5_remainder": f"WITH {THIN}, w AS (SELECT vec_id, position, CAST(floor(v * 1000) AS BIGINT) AS w FROM th) SELECT vec_id, position, CAST(((w % 7) + 7) % 7 AS DOUBLE) AS v FROM w",
     "v6_element": """SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[6] AS DOUBLE) AS sixth,
 CAST(embedding[len(embedding)] AS DOUBLE) AS last FROM embeddings""",

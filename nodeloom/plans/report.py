@@ -14,6 +14,7 @@ from nodeloom.operators.degrees import degree_distribution, degrees
 from nodeloom.operators.edges import unit_weights
 from nodeloom.operators.embedding import COMPONENTS, svd_embedding
 from nodeloom.operators.pagerank import pagerank
+from nodeloom.operators.skew import hot_keys, join_hot
 from nodeloom.runtime import cut_lineage
 from nodeloom.sources.sinks import write_csv, write_tsv
 
@@ -79,9 +80,9 @@ def combined_table(
     stats = node_statistics(edges, options, ranks)
     if rank_digits is not None:
         stats = stats.withColumn("pagerank", F.round("pagerank", rank_digits))
-    # Distinct degrees are few: they sum to at most twice the edges, so there are at most
-    # 2 * sqrt(edges) of them. That bounds the broadcast.
-    counted = stats.join(F.broadcast(degree_distribution(stats)), "degree", "left")
+    # Most nodes share a few small degrees, so those keys are split.
+    counts = degree_distribution(stats)
+    counted = join_hot(stats, counts, ["degree"], hot_keys(counts, ["degree"], "count"), [F.col("nodeid")])
     binned = add_bins(counted, ["pagerank", "clusCoeff"], options.bins)
     binned = with_bin_counts(binned, "pagerank", "pagerank_t_count")
     binned = with_bin_counts(binned, "clusCoeff", "cc_t_count")

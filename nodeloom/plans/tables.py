@@ -54,13 +54,20 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vector_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """``vec_id, a, b``: each vector with the following one."""
+    """``vec_id, a, b``: each vector with the following one; the last has none and is not in the table."""
     v = vectors(spark, folder)
     return v.select(F.col("i").alias("vec_id"), F.col("row").alias("a")).join(
         v.select((F.col("i") - 1).alias("vec_id"), F.col("row").alias("b")), "vec_id"
     )
 
 
+def order_lines(spark: SparkSession, folder: str, column: str) -> DataFrame:
+    """``i, j, v``: a measure of each order line at its order and part group; positions can repeat, most have no row."""
+    return table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("i"), (F.col("l_partkey") % 50).alias("j"), F.col(column).alias("v")
+    )
+
+
 def measure(spark: SparkSession, folder: str, column: str) -> DataFrame:
     """``i, j, v``: a measure of the order lines by supplier and part group."""
     return (

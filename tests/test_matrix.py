@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from nodeloom.functions import vectors as V
 from nodeloom.operators import adjacency, blocks, coo, embedding, factor, rowmatrix
@@ -54,7 +55,7 @@ def test_summary_covariance_gramian_cosines(spark):
 def test_coordinate_summary_counts_absent_positions(spark):
     a = np.array([[0, 2.0, 0], [1, -3, 0], [0, 4, 5], [0, 1, 0]])
     stored = entries(spark, *[(i, j, a[i, j]) for i in range(4) for j in range(3) if a[i, j]])
-    got = coo.column_summary(stored, 4).orderBy("j").collect()
+    got = coo.column_summary(stored, coo.Shape(4, 3)).orderBy("j").collect()
     assert [r["mean"] for r in got] == pytest.approx(a.mean(0).tolist())
     assert [r["variance"] for r in got] == pytest.approx(a.var(0, ddof=1).tolist())
     assert [r["max"] for r in got] == a.max(0).tolist() and [r["min"] for r in got] == a.min(0).tolist()
@@ -185,8 +186,9 @@ def test_sparse_rows_and_grids(spark):
     full = {r.i: r.row for r in coo.to_dense_rows(a, 5).collect()}
     assert full == {0: [1.2, 0, 0, 0, 0], 6: [0, 0, 0, 0, 2.1]}
     assert coo.fill_zeros(a, coo.Shape(7, 5)).count() == 35
+    assert {r.i: r.row.size for r in coo.to_sparse_rows(a, 70_000).collect()} == {0: 70_000, 6: 70_000}
     with pytest.raises(ValueError):
-        coo.to_sparse_rows(a, 10**6)
+        coo.to_sparse_rows(a, coo.MAX_ARRAY + 1)
     with pytest.raises(ValueError):
         coo.to_local(a, coo.Shape(10**4, 10**4))
 
@@ -281,3 +283,47 @@ def test_sparse_construction_and_text(spark):
 def test_repeated_positions_add_up_in_products(spark):
     twice = entries(spark, (0, 0, 1), (0, 0, 2), (1, 0, 4))
     assert cells(coo.multiply(twice, entries(spark, (0, 0, 10), (0, 1, 1), (0, 1, 1)))) == {(0, 0): 30, (0, 1): 6, (1, 0): 40, (1, 1): 8}
+
+
+def test_repeated_positions_add_up(spark):
+    m = entries(spark, (0, 0, 1), (0, 0, 2), (1, 1, 4), (0, 1, 5), (0, 1, -1))
+    want = [[3.0, 4.0], [0.0, 4.0]]
+    assert {r.i: r.row for r in coo.to_dense_rows(m, 2).collect()} == dict(enumerate(want))
+    block = blocks.to_dense_blocks(m, coo.Shape(2, 2), 2, 2).collect()
+    assert [list(b.cells) for b in block] == [[3.0, 0.0, 4.0, 4.0]]
+    ten = entries(spark, (0, 0, 10), (1, 0, 1))
+    assert cells(coo.multiply(m, ten)) == {(0, 0): 34.0, (1, 0): 4.0}
+    assert cells(blocks.multiply_dense(ten.selectExpr("j i", "i j", "v"), m, 2)) == {(0, 0): 30.0, (0, 1): 44.0}
+    assert cells(coo.fill_zeros(m, coo.Shape(2, 2))) == {(0, 0): 3.0, (0, 1): 4.0, (1, 0): 0.0, (1, 1): 4.0}
+
+
+def test_summary_has_columns_without_entries(spark):
+    got = {r.j: r for r in coo.column_summary(entries(spark, (0, 1, 2), (0, 1, 2)), coo.Shape(2, 3)).collect()}
+    assert sorted(got) == [0, 1, 2]
+    assert (got[0]["mean"], got[0]["variance"], got[0]["count"], got[0]["nnz"], got[0]["max"]) == (0.0, 0.0, 2, 0, 0.0)
+    assert (got[1]["mean"], got[1]["variance"], got[1]["nnz"], got[1]["max"], got[1]["min"]) == (2.0, 8.0, 1, 4.0, 0.0)
+
+
+def test_null_vectors_give_null(spark):
+    df = spark.createDataFrame([([1.0, 0.0], None, None)], "a array<double>, b array<double>, t string")
+    a, b = F.col("a"), F.col("b")
+    sa, sb = V.to_sparse(a), V.to_sparse(b)
+    values = [
+        V.dot(a, b), V.sparse_dot(sa, sb), V.mixed_dot(sa, b), V.mixed_dot(sb, a), V.squared_distance(a, b),
+        V.sparse_squared_distance(sb, sa), V.mixed_squared_distance(sb, a), V.element(b, 0), sb, V.to_dense(sb),
+        V.parse_dense(F.col("t")), V.parse_sparse(F.col("t")), V.format_dense(b), V.nonzeros(b), V.norm(b, 2),
+    ]
+    assert list(df.select(*[v.alias(f"c{n}") for n, v in enumerate(values)]).first()) == [None] * len(values)
+
+
+def test_relative_condition_is_honoured(spark):
+    m = rows_of(spark, [1, 0], [0, 0.01])
+    assert len(factor.svd(m, 2).s) == 2
+    assert len(factor.svd(m, 2, r_cond=0.1).s) == 1
+
+
+def test_krylov_states_its_residual_when_rounds_end(spark):
+    m = entries(spark, *[(i, j, ((i * 7 + j * 3) % 11) - 4) for i in range(30) for j in range(25)])
+    with pytest.warns(UserWarning, match="relative residual"):
+        found = embedding.block_krylov(m, coo.Shape(30, 25), 4, tolerance=0.0, max_rounds=2)
+    assert found.v.count() == 25
