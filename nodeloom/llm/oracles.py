@@ -2,4 +2,92 @@
 
 from __future__ import annotations
 
+from nodeloom.llm.chat import CLOSE, CONTROL, OPEN
+
 ORACLES: dict[str, str] = {}
+
+ORACLES["op2_chat_formatting"] = rf"""
+WITH said AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL
+    SELECT -1, n, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS x(n, role)
+), escaped AS (
+    SELECT *,
+        replace(replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '<', '%3C'), '[', '%5B') AS shown_role,
+        regexp_replace(text, '([<\[])(\\*)({CONTROL})', '\1\\\2\3', 'g') AS shown
+    FROM said
+), whole AS (
+    SELECT conv_id, count(*) AS n_turns,
+        string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+        coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+        sum(length(shown_role) + length(shown) + {len(OPEN) + len(CLOSE) + 2}) AS size
+    FROM escaped GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
+    sha256(loss) AS loss_sha256, CAST(size AS BIGINT) AS formatted_chars
+FROM whole
+"""
+
+ORACLES["op3_quality_rules"] = r"""
+WITH cut AS (
+    SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+    FROM documents
+), windows AS (
+    SELECT row, p, [w[p], w[p + 1], w[p + 2]] AS three
+    FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS p FROM cut)
+), twice AS (
+    SELECT row, p, count(*) OVER (PARTITION BY row, three) AS k FROM windows
+), repeated AS (
+    SELECT row, count(DISTINCT p + o) AS n FROM twice, range(3) AS r(o) WHERE k > 1 GROUP BY row
+), measured AS (
+    SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+        length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+        len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+    FROM cut LEFT JOIN repeated USING (row)
+), ledger AS (
+    SELECT *,
+        (n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT
+        + 4 * (100 * n_symbols > 20 * word_chars)::INT + 8 * (word_chars < 2 * n_words)::INT
+        + 16 * (word_chars > 20 * n_words)::INT
+        + 32 * (n_dup_lines > 2 AND 100 * n_dup_lines > 40 * n_lines)::INT AS failures
+    FROM measured
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
+    CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+    CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+    failures & 3 <> 0 AS base_failed, failures = 0 AS kept, CAST(failures AS BIGINT) AS failures
+FROM ledger
+"""
+
+_CUT = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w"
+)
+
+ORACLES["op10_decontamination"] = f"""
+WITH docs AS (
+    SELECT row_number() OVER () AS row, doc_id, {_CUT} FROM documents
+), items AS (
+    SELECT item_id, w, least(len(w), 10) AS size FROM (SELECT item_id, {_CUT} FROM benchmark) WHERE len(w) > 0
+), asked AS (
+    SELECT DISTINCT item_id, size, array_to_string(w[p:p + size - 1], ' ') AS phrase
+    FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS p FROM items)
+), held AS (
+    SELECT row, p, size, array_to_string(w[p:p + size - 1], ' ') AS phrase
+    FROM (SELECT row, w, unnest(range(1, len(w) + 1)) AS p FROM docs), (SELECT DISTINCT size FROM asked)
+    WHERE p + size - 1 <= len(w)
+), met AS (
+    SELECT row, p, size, item_id FROM held JOIN asked USING (size, phrase)
+), hit AS (
+    SELECT row, count(DISTINCT place) AS n_hit
+    FROM (SELECT row, unnest(range(p, p + size)) AS place FROM (SELECT DISTINCT row, p, size FROM met)) GROUP BY row
+), named AS (
+    SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS item FROM met) GROUP BY row
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN hit USING (row) LEFT JOIN named USING (row)
+"""
