@@ -14,6 +14,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,8 @@ from nodeloom.operators.skew import HOT_ROWS, hot_keys, join_hot
 from nodeloom.runtime import cut_lineage, drop_stored, store_table
 
 COMPONENTS = 10
+# Vectors that a Krylov round adds: many, as a round costs its passes over the table more than its width.
+BLOCK = 64
 
 
 class RightVectors(NamedTuple):
@@ -106,6 +110,7 @@ def block_krylov(
     max_rounds: int = 100,
     max_width: int | None = None,
     hot_rows: int = HOT_ROWS,
+    block: int | None = None,
 ) -> RightVectors:
     """Leading right singular vectors when both sides are long.
 
@@ -117,7 +122,7 @@ def block_krylov(
     stops when the relative residual of every wanted vector is at most ``tolerance``, or after ``max_rounds``
     with the best vectors so far and a warning that states their residual. Tables of earlier rounds are removed.
     """
-    p = min(k + 2, *dims)
+    p = min(max(k + 2, block or 0), *dims)
     max_width = max(80, 6 * p) if max_width is None else max_width
     coo = coo.persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -126,13 +131,14 @@ def block_krylov(
 
     hot_of = {side: hot(side).persist(StorageLevel.MEMORY_AND_DISK) for side in ("i", "j")}
 
-    def apply(block: DataFrame, over: str, onto: str, width: int) -> DataFrame:
-        met = join_hot(coo, block, [over], hot_of[over], [F.col(onto)])
-        sums = [F.sum(F.col("v") * F.get("q", F.lit(c))) for c in range(width)]
-        return met.groupBy(onto).agg(F.array(*sums).alias("q"))
+    def apply(vectors: DataFrame, over: str, onto: str) -> DataFrame:
+        met = join_hot(coo, vectors, [over], hot_of[over], [F.col(onto)])
+        scaled = array_to_vector(F.transform("q", lambda x: x * F.col("v")))
+        sums = met.groupBy(onto).agg(Summarizer.sum(scaled).alias("q"))
+        return sums.select(onto, vector_to_array("q").alias("q"))
 
-    def applied_twice(block: DataFrame, width: int) -> DataFrame:
-        return apply(apply(block, "j", "i", width), "i", "j", width)
+    def applied_twice(vectors: DataFrame) -> DataFrame:
+        return apply(apply(vectors, "j", "i"), "i", "j")
 
     def orthonormaliser(square: np.ndarray) -> np.ndarray:
         scale = 1.0 / np.sqrt(np.diag(square))
@@ -146,7 +152,7 @@ def block_krylov(
     drop_stored(start)
     table, w = None, 0
     for _ in range(max_rounds):
-        images = applied_twice(fresh, added).withColumnRenamed("q", "image")
+        images = applied_twice(fresh).withColumnRenamed("q", "image")
         grown = fresh.withColumnRenamed("q", "x").join(images, "j")
         if table is None:
             grown = grown.select("j", F.concat("x", "image").alias("q"))
@@ -186,6 +192,14 @@ def block_krylov(
         ]
         overlap = np.linalg.solve(whole[:w, :w], whole[:w, spread])
         rest = whole[np.ix_(spread, spread)] - whole[spread, :w] @ overlap
+        outside = np.flatnonzero(np.diag(rest) > 1e-20 * np.diag(whole)[spread])
+        if not len(outside):
+            # The basis holds all residuals: what is left of them is rounding.
+            worst = max(sizes[c] / theta[c] for c in wanted)
+            warnings.warn(f"relative residual {worst:.1e} with a complete basis", stacklevel=2)
+            break
+        spread = [spread[c] for c in outside]
+        overlap, rest = overlap[:, outside], rest[np.ix_(outside, outside)]
         turn_new = orthonormaliser(rest)
         added = turn_new.shape[1]
         combine = np.zeros((2 * w + tried, added))
@@ -210,7 +224,7 @@ def right_vectors(coo: DataFrame, dims: Shape, k: int, dense_side: int = MAX_DEN
     if not 0 < k <= dims.cols:
         raise ValueError(f"k must lie between 1 and {dims.cols}")
     if min(dims) > dense_side:
-        return block_krylov(coo, dims, k)
+        return block_krylov(coo, dims, k, block=BLOCK)
 
     def lists(by: str, at: str) -> DataFrame:
         entries = F.collect_list(F.struct(F.col(at).cast("int").alias("at"), F.col("v").alias("x")))
@@ -251,7 +265,7 @@ def svd_embedding(edges: DataFrame, k: int = COMPONENTS, dense_side: int = MAX_D
         s, v = _from_lists(lists, m, wanted)
     else:
         coo = edges.select((F.col("src") - 1).alias("i"), (F.col("dst") - 1).alias("j")).distinct()
-        s, v = block_krylov(coo.withColumn("v", F.lit(1.0)), Shape(m, n), wanted)
+        s, v = block_krylov(coo.withColumn("v", F.lit(1.0)), Shape(m, n), wanted, block=BLOCK)
     held = len(s)
     columns = [
         (F.coalesce(F.get("v", F.lit(c)), F.lit(0.0)) if c < held else F.lit(None).cast("double")).alias(name)

@@ -273,12 +273,11 @@ def _(spark, d):
     return rounded(rowmatrix.gramian(block), SUM_DIGITS, "v")
 
 
-@query("g13_embedding_values")
-def _(spark, d):
+def _embedding_values(spark, d, **options):
     """Per component v of the embedding: the greatest entry of AᵀAv - s²v with s² = |Av|², the length of v, and whether s falls."""
     e = tables.edges(spark, d).select("src", "dst").distinct()
     names = [f"v_{c}" for c in range(1, 11)]
-    vectors = cut_lineage(embedding.svd_embedding(tables.edges(spark, d)))
+    vectors = cut_lineage(embedding.svd_embedding(tables.edges(spark, d), **options))
     turned = e.join(vectors.withColumnRenamed("nodeid", "dst"), "dst").groupBy("src").agg(*[F.sum(n).alias(n) for n in names])
     turned = cut_lineage(turned)
     back = e.join(turned, "src").groupBy(F.col("dst").alias("nodeid")).agg(*[F.sum(n).alias(n) for n in names])
@@ -295,6 +294,17 @@ def _(spark, d):
     return rounded(per.select("component", "residual", "length", (F.col("s2") >= F.col("next")).alias("falling")), SUM_DIGITS, "residual", "length")
 
 
+@query("g13_embedding_values")
+def _(spark, d):
+    return _embedding_values(spark, d)
+
+
+@query("g13_embedding_krylov")
+def _(spark, d):
+    """The same values of the way that is taken when both sides are long."""
+    return _embedding_values(spark, d, dense_side=0)
+
+
 def combined_core(spark: SparkSession, d: str) -> DataFrame:
     """The combined table without the embedding, bins taken on rounded ranks."""
     options = report.ReportOptions(svd=False)

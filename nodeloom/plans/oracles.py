@@ -272,3 +272,4 @@ FROM lineitem JOIN t_l_extendedprice USING (l_extendedprice) JOIN t_l_discount U
 
 ORACLES["m8_zero_threshold_cosines"] = ORACLES["m7_column_cosines"]
 ORACLES["g13_embedding_gramian"] = ORACLES["m10_svd_left_gramian"]
+ORACLES["g13_embedding_krylov"] = ORACLES["g13_embedding_values"]
