@@ -23,3 +23,13 @@ def fold_number(doc_id: Column, folds: int) -> Column:
 def id_and_text(docs: DataFrame) -> DataFrame:
     """Only ``doc_id`` and ``text``, so that further columns of any name do no harm."""
     return docs.select("doc_id", "text")
+
+
+def id_as_text(docs: DataFrame, name: str = "doc_id") -> DataFrame:
+    """The id as a string, for steps in Python: pandas gets a bigint column with a NULL as float64, which rounds ids above 2^53."""
+    return docs.withColumn(name, F.col(name).cast("string"))
+
+
+def id_as_number(df: DataFrame, name: str = "doc_id") -> DataFrame:
+    """The id that :func:`id_as_text` wrote, as bigint again."""
+    return df.withColumn(name, F.col(name).cast("bigint"))

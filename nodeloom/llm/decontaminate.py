@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nodeloom.llm.columns import id_as_number, id_as_text
+
 WINDOW = 10
 SAMPLE = 8
 ITEMS_PER_BLOCK = 20_000
@@ -171,19 +173,19 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     numbered = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("id"), "text")
     blocks = max(1, -(-benchmark.count() // items_per_block))
     of = F.pmod(F.xxhash64("id", "text"), F.lit(blocks))
-    shape = "doc_id bigint, n_words bigint, spans array<struct<start:int,end:int>>, items array<string>"
+    shape = "doc_id string, n_words bigint, spans array<struct<start:int,end:int>>, items array<string>"
     results = []
     if blocks > 1:
         from nodeloom.runtime import store_table
 
-        docs = store_table(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()))
+        docs = store_table(id_as_text(docs.select("doc_id", "text")).withColumn("row", F.monotonically_increasing_id()))
         shape += ", row bigint"
     else:
-        docs = docs.select("doc_id", "text")
+        docs = id_as_text(docs.select("doc_id", "text"))
     for block in range(blocks):
         items = [(r.id, split_words(r.text)) for r in numbered.where(of == block).toLocalIterator()]
         held = docs.sparkSession.sparkContext.broadcast(Phrases(items, window))
-        results.append(docs.mapInPandas(_searcher(held, blocks > 1), shape))
+        results.append(id_as_number(docs.mapInPandas(_searcher(held, blocks > 1), shape)))
     if blocks == 1:
         return results[0]
     merged = results[0]
@@ -221,12 +223,12 @@ def _searcher(held, with_row: bool):
             for m in marks:
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], m, [0]]).astype(np.int8))) if m.any() else ()
                 out["spans"].append([{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])])
-            frame = pd.DataFrame(out).astype({"doc_id": "Int64"})
+            frame = pd.DataFrame(out)
             return frame.assign(row=[r[1] for r in rows]) if with_row else frame
 
         rows, numbers, total = [], [], 0
         for batch in batches:
-            ids = batch["doc_id"].astype("Int64")
+            ids = batch["doc_id"]
             for n, text in enumerate(batch["text"]):
                 found = np.array([number(w, 0) for w in split_words(text)], np.int64)
                 rows.append((ids.iloc[n], int(batch["row"].iloc[n]) if with_row else 0))

@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nodeloom.llm.columns import id_as_number, id_as_text
 from nodeloom.runtime import store_table
 
 STATES = 8
@@ -282,7 +283,7 @@ def score(docs: DataFrame, trained: Trained) -> DataFrame:
         def rows(ids: list, numbers: list[np.ndarray], rare: list[Counter]) -> pd.DataFrame:
             return pd.DataFrame(
                 {
-                    "doc_id": pd.array(ids, "Int64"),
+                    "doc_id": pd.Series(ids, dtype=object),
                     "n_tokens": [len(x) for x in numbers],
                     "known": [int((x < model.other).sum()) + end_known for x in numbers],
                     "base": [float(base[x].sum()) for x in numbers],
@@ -294,7 +295,7 @@ def score(docs: DataFrame, trained: Trained) -> DataFrame:
 
         for batch in batches:
             ids, numbers, rare, size = [], [], [], 0
-            for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"]):
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 words = cut(text)
                 found = model.numbers(words)
                 ids.append(doc_id)
@@ -307,9 +308,9 @@ def score(docs: DataFrame, trained: Trained) -> DataFrame:
             if ids:
                 yield rows(ids, numbers, rare)
 
-    shape = "doc_id bigint, n_tokens bigint, known bigint, base double, forward double, words array<binary>, times array<bigint>"
+    shape = "doc_id string, n_tokens bigint, known bigint, base double, forward double, words array<binary>, times array<bigint>"
     # Row numbers are fixed by writing the table.
-    scored = store_table(docs.select("doc_id", "text").mapInPandas(run, shape).withColumn("row", F.monotonically_increasing_id()))
+    scored = store_table(id_as_number(id_as_text(docs.select("doc_id", "text")).mapInPandas(run, shape)).withColumn("row", F.monotonically_increasing_id()))
     pairs = F.arrays_zip("words", "times")
     rare = scored.select("row", F.explode(pairs).alias("r")).select("row", F.col("r.words").alias("word"), F.col("r.times").alias("n"))
     log = lambda of: F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(of)))

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nodeloom.llm.columns import id_as_number, id_as_text
+
 UNKNOWN = "und"
 WINDOW = 96
 HIDDEN = 8
@@ -223,10 +225,11 @@ def predict(docs: DataFrame, network: Network | None) -> DataFrame:
             p = model.documents(texts)
             yield pd.DataFrame(
                 {
-                    "doc_id": batch["doc_id"].astype("Int64"),
+                    "doc_id": batch["doc_id"],
                     "lang_pred": np.where(known, names[p.argmax(1)], UNKNOWN),
                     "score": np.where(known, np.minimum(p.max(1), 1.0), 0.0),
                 }
             )
 
-    return docs.select("doc_id", "text", letter.alias("letter")).mapInPandas(run, "doc_id bigint, lang_pred string, score double")
+    read = id_as_text(docs.select("doc_id", "text", letter.alias("letter")))
+    return id_as_number(read.mapInPandas(run, "doc_id string, lang_pred string, score double"))

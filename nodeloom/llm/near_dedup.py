@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nodeloom.llm.columns import id_as_number, id_as_text
 from nodeloom.llm.components import components
 from nodeloom.runtime import store_table
 
@@ -95,7 +96,7 @@ def bucket_keys(values: np.ndarray) -> np.ndarray:
 
 def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        out = {"doc_id": batch["doc_id"].astype("Int64"), "row": batch["row"], "n": [], "class": [], "values": [], "keys": []}
+        out = {"doc_id": batch["doc_id"], "row": batch["row"], "n": [], "class": [], "values": [], "keys": []}
         for text in batch["text"]:
             found = shingles(text)
             values = signature(found) if len(found) else None
@@ -146,8 +147,8 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def _components(docs: DataFrame, percent: int) -> DataFrame:
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
-    shape = "doc_id bigint, row bigint, n bigint, class binary, values array<bigint>, keys array<bigint>"
-    signed = store_table(docs.mapInPandas(_signed, shape).withColumn("values", F.col("values").cast("array<int>")))
+    shape = "doc_id string, row bigint, n bigint, class binary, values array<bigint>, keys array<bigint>"
+    signed = store_table(id_as_number(id_as_text(docs).mapInPandas(_signed, shape)).withColumn("values", F.col("values").cast("array<int>")))
     first = signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("values").alias("values"), F.first("keys").alias("keys"))
     classes = store_table(first.withColumn("id", F.monotonically_increasing_id()))
 

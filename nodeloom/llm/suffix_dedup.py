@@ -33,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nodeloom.llm.columns import id_as_number, id_as_text
 from nodeloom.runtime import shuffle_partitions, store_table
 
 LENGTH = 400
@@ -357,7 +358,7 @@ def row_key():
 
 def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        out = {"doc_id": batch["doc_id"].astype("Int64"), "n_bytes": [], "n_removed": [], "spans": [], "kept": []}
+        out = {"doc_id": batch["doc_id"], "n_bytes": [], "n_removed": [], "spans": [], "kept": []}
         for text, ranges in zip(batch["text"], batch["ranges"]):
             data = (text or "").encode("utf-8", "surrogatepass")
             spans: list[list[int]] = []
@@ -382,4 +383,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     ranges = repeated_ranges(docs).groupBy("row").agg(F.collect_set(F.struct("begin", "end")).alias("ranges"))
     joined = docs.withColumn("row", row_key()).join(ranges, "row", "left").select("doc_id", "text", "ranges")
-    return joined.mapInPandas(_kept, "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<begin:bigint,end:bigint>>, kept binary")
+    shape = "doc_id string, n_bytes bigint, n_removed bigint, spans array<struct<begin:bigint,end:bigint>>, kept binary"
+    return id_as_number(id_as_text(joined).mapInPandas(_kept, shape))

@@ -20,6 +20,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from nodeloom.llm.columns import id_as_number, id_as_text
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
@@ -104,10 +106,10 @@ def count_tokens(docs: DataFrame, tokens: list[bytes]) -> DataFrame:
             known = dict(zip(known, automaton.count([b" " + w for w in known]).tolist()))
             yield pd.DataFrame(
                 {
-                    "doc_id": batch["doc_id"].astype("Int64"),
+                    "doc_id": batch["doc_id"],
                     "n_words": [len(words) for words in cut],
                     "n_tokens": [sum(map(known.__getitem__, words)) for words in cut],
                 }
             )
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, n_words bigint, n_tokens bigint")
+    return id_as_number(id_as_text(docs.select("doc_id", "text")).mapInPandas(run, "doc_id string, n_words bigint, n_tokens bigint"))
