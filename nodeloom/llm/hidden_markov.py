@@ -2,11 +2,10 @@
 
 Symbols are up to ``symbols`` most frequent training words, one class of all other words, and the end.
 A word of that class is drawn from it in proportion to its count plus one, so that the model gives
-every text a probability. Training starts from a guess made on a bounded sample
-(``guess_docs`` documents, a block of ``guess_chars`` characters of each) and then makes ``passes`` over all training
-documents: every task computes expected counts with its own forward and backward recursions, and
-counts are summed per symbol by a shuffle. Training reads documents in blocks of ``BLOCK`` tokens, whose
-first state is only counted at a document's start. Scoring is the scaled forward recursion over
+every text a probability. Training starts from disturbed usual symbols and passes over all training
+documents until their likelihood settles: every task computes expected counts with its own forward and backward
+recursions, and counts are summed per symbol by a shuffle. The recursions run over whole texts, so that every move
+is counted; texts are numbered once in a stored table. Scoring is the scaled forward recursion over
 whole texts, which needs one state vector per document.
 
 Words of the large class need their counts: they are joined by word. Such a word is rarer than all
@@ -26,15 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nodeloom.llm.columns import id_as_number, id_as_text
-from nodeloom.runtime import store_table
+from nodeloom.runtime import drop_stored, store_table
 
 STATES = 8
 SYMBOLS = 32_768
 SYMBOL_BYTES = 64
-PASSES = 2
-GUESS_DOCS, GUESS_CHARS, GUESS_PASSES = 600, 2_000, 20
-BLOCK = 128
-BATCH_TOKENS = 400_000
+SETTLED = 1e-4
+BATCH_TOKENS = 1_000_000
 SCORED_TOKENS = 1_000_000
 COUNTED_WORDS = 400_000
 PRIOR = 0.1
@@ -91,68 +88,73 @@ class Model:
 
 @dataclass
 class Expected:
-    """Expected counts of first states, of moves, and of symbols by state."""
+    """Expected counts of first states, of moves, and of symbols by state, and the log likelihood."""
 
     start: np.ndarray
     move: np.ndarray
     emit: np.ndarray
+    likelihood: float = 0.0
 
     @classmethod
     def none(cls, symbols: int, states: int) -> Expected:
         return cls(np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states)))
 
-    def add(self, model: Model, blocks: list[np.ndarray], leads: list[bool]) -> None:
-        """Forward and backward over blocks of at most ``BLOCK`` numbers; ``leads``: at a text's start."""
-        order = np.argsort([-len(b) for b in blocks], kind="stable")
-        sizes = np.array([len(blocks[n]) for n in order])
+    def add(self, model: Model, texts: list[np.ndarray], leads: list[bool]) -> None:
+        """Forward and backward over whole sequences; ``leads``: at a text's start.
+
+        Step t of all sequences lies in one piece, longest first, so that nothing is padded.
+        """
+        order = np.argsort([-len(t) for t in texts], kind="stable")
+        sizes = np.array([len(texts[n]) for n in order])
         lead = np.array([leads[n] for n in order])
-        width, many, states = int(sizes[0]), len(blocks), len(model.start)
-        x = np.zeros((width, many), np.int32)
+        width, many, states = int(sizes[0]), len(texts), len(model.start)
+        active = np.searchsorted(-sizes, -np.arange(width), "left")
+        begin = np.concatenate([[0], np.cumsum(active)])
+        x = np.zeros(begin[-1], np.int32)
         for n, at in enumerate(order):
-            x[: sizes[n], n] = blocks[at]
-        active = [int(np.searchsorted(-sizes, -t, "left")) for t in range(width)]
+            x[begin[: sizes[n]] + n] = texts[at]
         usual = model.move.mean(0)
-        seen = model.emit[x].astype(np.float32)
-        alpha = np.empty((width, many, states), np.float32)
-        scale = np.ones((width, many), np.float32)
-        move = model.move.astype(np.float32)
+        emit, move = model.emit.astype(np.float32), model.move.astype(np.float32)
+        alpha = np.empty((len(x), states), np.float32)
+        scale = np.empty(len(x), np.float32)
+        now = np.where(lead[:, None], model.start, usual).astype(np.float32)
         for t in range(width):
-            n = active[t]
-            now = np.where(lead[:, None], model.start, usual).astype(np.float32) if t == 0 else alpha[t - 1, :n] @ move
-            now = now[:n] * seen[t, :n]
-            scale[t, :n] = now.sum(1)
-            alpha[t, :n] = now / scale[t, :n, None]
+            low, high = begin[t], begin[t + 1]
+            if t:
+                now = alpha[begin[t - 1] : begin[t - 1] + high - low] @ move
+            now = now * emit[x[low:high]]
+            scale[low:high] = now.sum(1)
+            alpha[low:high] = now / scale[low:high, None]
+        self.likelihood += float(np.log(scale, dtype=np.float64).sum())
         beta = np.ones((many, states), np.float32)
         moved = np.zeros((states, states))
         for t in range(width - 1, -1, -1):
-            n = active[t]
-            gamma = alpha[t, :n] * beta[:n]
-            behind = seen[t, :n] * beta[:n] / scale[t, :n, None]
+            low, high = begin[t], begin[t + 1]
+            n = high - low
+            gamma = alpha[low:high] * beta[:n]
+            total = gamma.sum(1)[:, None]  # 1 but for rounding, which long texts would add up
+            behind = emit[x[low:high]] * (beta[:n] / total) / scale[low:high, None]
             if t:
-                moved += alpha[t - 1, :n].T @ behind
+                moved += alpha[begin[t - 1] : begin[t - 1] + n].T @ behind
                 beta[:n] = behind @ move.T
-            alpha[t, :n] = gamma  # from here on the posterior
+            alpha[low:high] = gamma / total  # from here on the posterior
         self.move += moved * model.move
-        self.start += alpha[0][lead].sum(0)
-        real = np.arange(width)[:, None] < sizes[None, :]
-        symbols, weights = x[real], alpha[real]
+        self.start += alpha[:many][lead].sum(0)
         for k in range(states):
-            self.emit[:, k] += np.bincount(symbols, weights[:, k], len(self.emit))
+            self.emit[:, k] += np.bincount(x, alpha[:, k], len(self.emit))
 
 
-def _blocks(texts: Iterator[np.ndarray]) -> Iterator[tuple[list[np.ndarray], list[bool]]]:
-    """Batches of blocks of about ``BATCH_TOKENS`` numbers."""
-    blocks, leads, size = [], [], 0
+def _gathered(texts: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Whole texts together, of about ``BATCH_TOKENS`` numbers."""
+    held, size = [], 0
     for text in texts:
-        for at in range(0, len(text), BLOCK):
-            blocks.append(text[at : at + BLOCK])
-            leads.append(at == 0)
-            size += len(blocks[-1])
-            if size >= BATCH_TOKENS:
-                yield blocks, leads
-                blocks, leads, size = [], [], 0
-    if blocks:
-        yield blocks, leads
+        held.append(text)
+        size += len(text)
+        if size >= BATCH_TOKENS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -175,51 +177,52 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def first_guess(docs: DataFrame, n_docs: int, symbols: dict[bytes, int], usual: np.ndarray, states: int) -> Model:
-    """Baum-Welch on a bounded sample, from sticky moves and disturbed usual symbols.
-
-    A text belongs to the sample when its hash falls below the share that makes ``GUESS_DOCS`` of all.
-    """
+def first_model(symbols: dict[bytes, int], usual: np.ndarray, states: int) -> Model:
+    """Sticky moves and disturbed usual symbols."""
     rng = np.random.default_rng(1)
     emit = usual[:, None] * rng.gamma(1.0, 1.0, (len(usual), states)) + 1e-12
     move = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
-    model = Model(symbols, np.full(states, 1 / states), move, emit / emit.sum(0))
-    draw = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    at = F.pmod(F.xxhash64("text", F.lit(4)), F.greatest(F.lit(1), F.length("text") - GUESS_CHARS)).cast("int") + 1
-    sample = docs.where((F.length("text") > 0) & (draw * n_docs < GUESS_DOCS)).select(F.substring(F.col("text"), at, F.lit(GUESS_CHARS)).alias("t"))
-    texts = [model.numbers(cut(t)) for t in sorted(r.t for r in sample.collect())]
-    for _ in range(GUESS_PASSES if texts else 0):
-        counts = Expected.none(len(usual), states)
-        for blocks, leads in _blocks(iter(texts)):
-            counts.add(model, blocks, leads)
-        model = model.updated(counts, usual)
-    return model
-
-
-def expected_counts(docs: DataFrame, model: Model) -> Expected:
-    """Expected counts over all texts of ``docs``: by task, then summed per symbol.
-
-    What comes to the driver has one row per symbol, move source and start, whatever the input.
-    """
+    return Model(symbols, np.full(states, 1 / states), move, emit / emit.sum(0))
+
+
+def numbered(docs: DataFrame, model: Model) -> DataFrame:
+    """``numbers``: every text of ``docs`` as 32-bit numbers, stored for all passes."""
     held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = held.value
+        for batch in batches:
+            yield pd.DataFrame({"numbers": [own.numbers(cut(t)).tobytes() for t in batch["text"]]})
+
+    stored = store_table(docs.select("text").mapInPandas(run, "numbers binary"))
+    held.unpersist()
+    return stored
+
+
+def expected_counts(texts: DataFrame, model: Model) -> Expected:
+    """Expected counts over all of :func:`numbered`: by task, then summed per symbol.
+
+    What comes to the driver has one row per symbol, move source, start and likelihood, whatever the input.
+    """
+    held = texts.sparkSession.sparkContext.broadcast(model)
     size, states = len(model.emit), len(model.start)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = held.value
         counts = Expected.none(size, states)
-        for blocks, leads in _blocks(own.numbers(cut(t)) for batch in batches for t in batch["text"]):
-            counts.add(own, blocks, leads)
-        rows = np.concatenate([counts.emit, counts.move, counts.start[None]])
+        for some in _gathered(np.frombuffer(t, np.int32) for batch in batches for t in batch["numbers"]):
+            counts.add(own, some, [True] * len(some))
+        rows = np.concatenate([counts.emit, counts.move, counts.start[None], np.full((1, states), counts.likelihood)])
         used = np.flatnonzero(rows.any(1))
         yield pd.DataFrame({"place": used, **{f"s{k}": rows[used, k] for k in range(states)}})
 
     columns = [f"s{k}" for k in range(states)]
-    parts = docs.select("text").mapInPandas(run, "place bigint, " + ", ".join(f"{c} double" for c in columns))
-    rows = np.zeros((size + states + 1, states))
+    parts = texts.mapInPandas(run, "place bigint, " + ", ".join(f"{c} double" for c in columns))
+    rows = np.zeros((size + states + 2, states))
     for r in parts.groupBy("place").agg(*(F.sum(c).alias(c) for c in columns)).collect():
         rows[r["place"]] = [r[c] for c in columns]
     held.unpersist()
-    return Expected(rows[-1], rows[size:-1], rows[:size])
+    return Expected(rows[-2], rows[size:-2], rows[:size], float(rows[-1, 0]))
 
 
 @dataclass
@@ -253,7 +256,8 @@ def frequent(counts: DataFrame, symbols: int) -> dict[bytes, int]:
     return {w: c for c, w in sorted(((r.c, bytes(r.word)) for r in found), key=lambda x: (-x[0], x[1]))}
 
 
-def train(docs: DataFrame, states: int = STATES, symbols: int = SYMBOLS, passes: int = PASSES) -> Trained:
+def train(docs: DataFrame, states: int = STATES, symbols: int = SYMBOLS, settled: float = SETTLED) -> Trained:
+    """Passes over all of ``docs`` until one changes the log likelihood by at most ``settled`` of it."""
     counts = store_table(word_counts(docs))
     n_docs = docs.count()
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.count(F.lit(1)).alias("k")).first()
@@ -261,9 +265,15 @@ def train(docs: DataFrame, states: int = STATES, symbols: int = SYMBOLS, passes:
     seen = sum(common.values())
     usual = np.array([*common.values(), sums.c - seen, n_docs], float) + 1e-3
     usual /= usual.sum()
-    model = first_guess(docs, n_docs, {w: n for n, w in enumerate(common)}, usual, states)
-    for _ in range(passes if n_docs else 0):
-        model = model.updated(expected_counts(docs, model), usual)
+    model = first_model({w: n for n, w in enumerate(common)}, usual, states)
+    if n_docs:
+        texts = numbered(docs, model)
+        last, now = -np.inf, -np.finfo(float).max
+        while now - last > settled * abs(now):
+            found = expected_counts(texts, model)
+            model = model.updated(found, usual)
+            last, now = now, found.likelihood
+        drop_stored(texts)
     return Trained(model, counts, common, sums.c + n_docs, sums.k + bool(n_docs), n_docs, sums.c - seen, sums.k - len(common))
 
 
