@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodeloom.llm import chat, decontaminate, hidden_markov, language_id, mixing, near_dedup, quality, secret_scan, suffix_dedup, token_counts
+from nodeloom.llm import chat, decontaminate, hidden_markov, infill, language_id, mixing, near_dedup, quality, secret_scan, suffix_dedup, token_counts
 from nodeloom.llm.columns import fold_number
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,3 +124,14 @@ def _(spark, d):
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known",
         F.lit(trained.tokens).cast("long").alias("train_tokens"), "base_score", "score",
     )
+
+
+@query("op12_fill_in_middle")
+def _(spark, d):
+    cut = infill.transform(table(spark, d, "documents"))
+    back = infill.restored(F.col("output"), F.col("form"))
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(back, 256).alias("restored_sha256"),
+    )
