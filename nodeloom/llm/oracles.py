@@ -116,3 +116,19 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form,
     sha256(text) AS restored_sha256
 FROM parts
 """
+
+# Base32 of a SHA-1 in hex: five bits at a time out of two neighbouring hex digits.
+ORACLES["op13_warc"] = r"""
+WITH kept AS (
+    SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h,
+        row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id DESC NULLS LAST, url DESC NULLS LAST) AS place,
+        max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top
+    FROM pages
+)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        CAST(((CAST('0x' || substr(h, CAST(5 * i // 4 + 1 AS BIGINT), 2) AS BIGINT) >> CAST(3 - 5 * i % 4 AS BIGINT)) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+    CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN place > 1 THEN top END AS refers_to
+FROM kept
+"""

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodeloom.llm import chat, decontaminate, hidden_markov, infill, language_id, mixing, near_dedup, quality, secret_scan, suffix_dedup, token_counts
+from nodeloom.llm import chat, decontaminate, hidden_markov, infill, language_id, mixing, near_dedup, quality, secret_scan, suffix_dedup, token_counts, warc
 from nodeloom.llm.columns import fold_number
+from nodeloom.runtime import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -135,3 +136,14 @@ def _(spark, d):
         F.sha2("output", 256).alias("output_sha256"),
         F.sha2(back, 256).alias("restored_sha256"),
     )
+
+
+@query("op13_warc")
+def _(spark, d):
+    path = work_path(spark, "warc")
+    warc.write_archives(table(spark, d, "pages"), path)
+    found = warc.read_archives(spark, path, payloads=False).where("problem is null")
+    return found.select(
+        warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        warc.page_of(F.col("refers_to")).alias("refers_to"),
+    )
