@@ -38,6 +38,7 @@ VERSION_START, MEMBER_START = b"WARC/1.", b"\x1f\x8b\x08"
 RECORD_END = "\r\n\r\n"
 PADDING = "\x00"
 FIELD = re.compile(r"([!#$%&'*+\-.^_`|~0-9A-Za-z]+):[ \t]*([^\x00-\x1f\x7f]*?)[ \t]*")
+REPEATABLE = "warc-concurrent-to"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
 URN = "urn:page:"
@@ -181,7 +182,11 @@ def parse_record(data: bytes, at: int) -> tuple[Record, int] | str:
         field = FIELD.fullmatch(line)
         if field is None:
             return "header field"
-        fields.setdefault(field[1].lower(), field[2])
+        name = field[1].lower()
+        # A header cut off within a field would go on into the next record, which repeats fields.
+        if name in fields and name != REPEATABLE:
+            return "repeated field"
+        fields.setdefault(name, field[2])
     if not {"warc-type", "warc-record-id", "warc-date", "content-length"} <= fields.keys():
         return "mandatory field"
     if not re.fullmatch(r"[0-9]{1,18}", fields["content-length"]):
