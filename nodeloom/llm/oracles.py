@@ -132,3 +132,51 @@ SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
     CASE WHEN place > 1 THEN top END AS refers_to
 FROM kept
 """
+
+
+def _crc_steps() -> list[int]:
+    """What four zero bits add to a CRC-32 that ends in the given four bits, from its polynomial."""
+    out = list(range(16))
+    for _ in range(4):
+        out = [(c >> 1) ^ (0xEDB88320 if c & 1 else 0) for c in out]
+    return out
+
+
+# The checksum goes over four bits at a time, the lower ones of each byte first.
+ORACLES["op11_spelling_variants"] = rf"""
+WITH RECURSIVE runs AS (
+    SELECT doc, run, count(*) AS n, hex(encode(doc || ':' || run)) AS h FROM (
+        SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc,
+            translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{{7,}}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+        FROM documents
+    ) GROUP BY ALL
+), summed AS (
+    SELECT run, n, xor(4294967295, list_reduce(
+        list_concat([4294967295], list_transform(range(length(h)), lambda k: CAST('0x' || substr(h, CAST(k + 1 - 2 * (k % 2) + 1 AS BIGINT), 1) AS BIGINT))),
+        lambda c, b: xor(c >> 4, list_extract({_crc_steps()}, (xor(c, b) & 15) + 1)))) AS crc
+    FROM runs
+), words AS MATERIALIZED (
+    SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+        SELECT n, CASE WHEN crc % 31 = 0 THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word FROM summed
+    ) WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), cut AS MATERIALIZED (
+    SELECT word, k, substr(word, 1, k) || substr(word, k + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS k FROM words)
+), near AS (
+    SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.k = b.k AND a.rest = b.rest AND a.word <> b.word
+    UNION SELECT a.word, b.word FROM cut a JOIN words b ON a.rest = b.word
+    UNION SELECT b.word, a.word FROM cut a JOIN words b ON a.rest = b.word
+), best AS (
+    SELECT near.word, count(*) AS n_near, first(other ORDER BY w.n DESC, other) AS other, max(w.n) AS other_n
+    FROM near JOIN words w ON w.word = near.other GROUP BY near.word
+), formed AS MATERIALIZED (
+    SELECT words.word, n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near,
+        CASE WHEN other_n >= 10 * n THEN other END AS form, CASE WHEN other_n >= 10 * n THEN other_n END AS form_n
+    FROM words LEFT JOIN best ON best.word = words.word
+), chain AS (
+    SELECT word, word AS root FROM formed
+    UNION ALL
+    SELECT chain.word, formed.form FROM chain JOIN formed ON formed.word = chain.root WHERE formed.form IS NOT NULL
+)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n
+FROM formed f JOIN chain c ON c.word = f.word JOIN formed e ON e.word = c.root AND e.form IS NULL
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodeloom.llm import chat, decontaminate, hidden_markov, infill, language_id, mixing, near_dedup, quality, secret_scan, suffix_dedup, token_counts, warc
+from nodeloom.llm import chat, decontaminate, hidden_markov, infill, language_id, mixing, near_dedup, quality, secret_scan, spelling, suffix_dedup, token_counts, warc
 from nodeloom.llm.columns import fold_number
 from nodeloom.runtime import work_path
 
@@ -147,3 +147,8 @@ def _(spark, d):
         warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         warc.page_of(F.col("refers_to")).alias("refers_to"),
     )
+
+
+@query("op11_spelling_variants")
+def _(spark, d):
+    return spelling.group_variants(table(spark, d, "documents"))

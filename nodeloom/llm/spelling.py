@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nodeloom.llm.columns import LOWER, UPPER
-from nodeloom.runtime import cut_lineage, drop_stored, store_table
+from nodeloom.runtime import drop_stored, store_table
 
 # Fixed values of the query contract: letters, shortest word, least count, how often more a form has, misspelled share.
 LETTERS = r"A-Za-zÀ-ÿ"
@@ -133,18 +133,24 @@ def compose(machine: Acceptor, open_end: bool) -> Iterator[tuple[int, int]]:
                 yield from both(to, at + on, state, at, symbol)
 
 
-def near_in_partition(words: list[str], counts: list[int], open_end: bool) -> Iterator[tuple[int, int, int]]:
+def near_in_partition(words: list[str], counts: list[int], shorter: int, open_end: bool) -> Iterator[tuple[int, int, int]]:
     """``place, number of near words, place of the best`` for each word (window contents, sorted) that has one.
 
-    The best has the largest count; among equal counts it is the smallest word, which comes first.
+    One of each pair has ``shorter`` code points; two words of one more meet in the partition of their own size.
+    The best has the largest count; among equal counts it is the smallest word.
     """
     near, best = [0] * len(words), [-1] * len(words)
+    short = [len(w) == shorter for w in words]
+    if not any(short):
+        return
     for pair in compose(Acceptor(words), open_end):
+        if not (short[pair[0]] or short[pair[1]]):
+            continue
         for one, other in (pair, pair[::-1]):
             near[one] += 1
             if best[one] < 0 or (counts[other], -other) > (counts[best[one]], -best[one]):
                 best[one] = other
-    return ((k, near[k], best[k]) for k in range(len(words)) if near[k])
+    yield from ((k, near[k], best[k]) for k in range(len(words)) if near[k])
 
 
 # -- partitions ----------------------------------------------------------------------------
@@ -186,10 +192,10 @@ def _middles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             members = sorted((m["word"], m["n"]) for m in columns["members"][at].as_py())
             after = max(size - stop, 0)
             inner = [w[begin : len(w) - after] for w, _ in members]
-            # Equal heads and tails: the order of the words is mostly that of their inner parts.
             order = sorted(range(len(inner)), key=inner.__getitem__)
             open_end = stop > size
-            found = near_in_partition([inner[k] for k in order], [members[k][1] for k in order], open_end)
+            shorter = size - begin - after
+            found = near_in_partition([inner[k] for k in order], [members[k][1] for k in order], shorter, open_end)
             for one, near, best in found:
                 word, other = members[order[one]], members[order[best]]
                 rows.append((word[0], near, other[1], other[0]))
