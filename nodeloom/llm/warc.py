@@ -116,50 +116,80 @@ def label(pages: DataFrame, revisit_from: int = 0, hot_rows: int = HOT_PAYLOAD)
     return met.drop("body").withColumn("lead", small | (F.col("name") == F.col("lead_name"))).withColumn("small", small)
 
 
-def records(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """``kind, name, url, sha1, n_bytes, payload, refers``: one row per record to write.
+def _urn(name: Column, copy: Column) -> Column:
+    return F.concat(F.lit(URN), F.concat_ws(":", name, copy.cast("string")))
 
-    Payloads are shuffled once, copies of a page reduced beforehand, and only those of responses go on.
-    """
-    bodies = keyed_pages(pages).select("name", "payload").groupBy("name").agg(F.max("payload").alias("payload"))
-    numbered = lambda first, last: F.explode(F.sequence(first, last)).alias("copy")
-    urn = lambda name, copy: F.concat(F.lit(URN), F.concat_ws(":", name, copy.cast("string")))
-    one = F.lit(1).cast("long")
-    leading = labels.where("lead").select("name", "url", "sha1", "n_bytes", numbered(one, F.when(F.col("small"), F.col("copies")).otherwise(one)))
-    responses = leading.join(bodies, "name").select(
-        F.lit("response").alias("kind"), urn(F.col("name"), F.col("copy")).alias("name"), "url", "sha1", "n_bytes", "payload", F.lit(None).cast("string").alias("refers")
-    )
-    begin = F.when(F.col("lead"), 2).otherwise(1).cast("long")
-    rest = labels.where("not small and (not lead or copies > 1)").select("name", "url", "sha1", "n_bytes", "lead_name", numbered(begin, F.col("copies")))
-    revisits = rest.select(
-        F.lit("revisit").alias("kind"), urn(F.col("name"), F.col("copy")).alias("name"), "url", "sha1", "n_bytes",
-        F.lit(None).cast("binary").alias("payload"), urn(F.col("lead_name"), one).alias("refers"),
+
+def _copies(rows: DataFrame, first: int | Column, *columns: str) -> DataFrame:
+    """A row per copy from ``first`` to ``copies``."""
+    return rows.select(*columns, F.explode(F.sequence(F.lit(first) if isinstance(first, int) else first, F.col("copies"))).alias("copy"))
+
+
+def response_rows(pages: DataFrame) -> DataFrame:
+    """``name, kind, urn, url, sha1, n_bytes, payload, refers`` of each page, as if it were a response."""
+    return keyed_pages(pages).select(
+        "name", F.lit("response").alias("kind"), _urn(F.col("name"), F.lit(1)).alias("urn"), "url", "sha1", "n_bytes", "payload",
+        F.lit(None).cast("string").alias("refers"),
     )
-    return responses.unionByName(revisits)
 
 
-def write_archives(pages: DataFrame, path: str, compress: bool = True, revisit_from: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Write a record per row of ``page_id, url, html`` to archives below ``path``."""
-    labels = store_table(label(pages, revisit_from))
-    size = labels.agg(F.sum(F.when(F.col("lead"), F.col("n_bytes")).otherwise(0) + 800 * F.col("copies"))).first()[0] or 0
+def revisit_rows(labels: DataFrame) -> DataFrame:
+    """The same columns of the records without a payload."""
+    first = F.when(F.col("lead"), 2).otherwise(1).cast("long")
+    rest = _copies(labels.where("not small and (not lead or copies > 1)"), first, "name", "url", "sha1", "n_bytes", "lead_name")
+    return rest.select(
+        "name", F.lit("revisit").alias("kind"), _urn(F.col("name"), F.col("copy")).alias("urn"), "url", "sha1", "n_bytes",
+        F.lit(None).cast("binary").alias("payload"), _urn(F.col("lead_name"), F.lit(1)).alias("refers"),
+    )
+
+
+def further_responses(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """The same columns of the second and further copies of pages whose payload is too small to be revisited."""
+    again = _copies(labels.where("small and copies > 1"), F.lit(2).cast("long"), "name", "copy")
+    return response_rows(pages).dropDuplicates(["name"]).join(again, "name").withColumn("urn", _urn(F.col("name"), F.col("copy"))).drop("copy")
+
+
+def build_records(rows: DataFrame, compress: bool) -> DataFrame:
+    """``name, record``: the bytes of each row's record. Rows of one ``urn`` in a batch are built once."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, made, held = [], [], 0
+            names, made, held, seen = [], [], 0, set()
             for row in range(batch.num_rows):
-                kind, name, url, sha1, n, payload, refers = (batch.column(k)[row].as_py() for k in range(7))
-                written = record_bytes(kind, name, url, base64.b32encode(bytes.fromhex(sha1)).decode(), n, payload, refers)
-                made.append(member(written + RECORD_END.encode()) if compress else written)
-                names.append(name)
-                held += len(made[-1])
+                name, kind, urn, url, sha1, n, payload, refers = (batch.column(k)[row].as_py() for k in range(8))
+                if urn not in seen:
+                    seen.add(urn)
+                    written = record_bytes(kind, urn, url, base64.b32encode(bytes.fromhex(sha1)).decode(), n, payload, refers)
+                    made.append(member(written + RECORD_END.encode()) if compress else written)
+                    names.append(name)
+                    held += len(made[-1])
                 if held >= BATCH_BYTES or row + 1 == batch.num_rows:
                     yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(made, type=pa.binary())], names=["name", "record"])
                     names, made, held = [], [], 0
 
-    built = records(pages, labels).mapInArrow(build, "name string, record binary")
-    built = built.repartition(max(1, -(-size // archive_bytes)), "name")
+    columns = ("name", "kind", "urn", "url", "sha1", "n_bytes", "payload", "refers")
+    return rows.select(*columns).mapInArrow(build, "name string, record binary")
+
+
+def write_archives(pages: DataFrame, path: str, compress: bool = True, revisit_from: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write a record per row of ``page_id, url, html`` to archives below ``path``.
+
+    Every page is built as a response where it is read and shuffled once, compressed, to its archive; there the
+    records of pages that do not lead, and those of copies, are left out.
+    """
+    labels = store_table(label(pages, revisit_from))
+    sizes = labels.agg(
+        F.sum(F.when(F.col("lead"), F.col("n_bytes") + 800)).alias("leading"),
+        F.sum(F.when(~F.col("small"), F.lit(1000) * F.col("copies"))).alias("others"),
+    ).first()
+    archives = lambda size: max(1, -(-(size or 0) // archive_bytes))
+    built = build_records(response_rows(pages), compress).repartition(archives(sizes.leading), "name")
+    leading = built.join(labels.where("lead").select("name"), "name").dropDuplicates(["name"])
+    whole = leading.unionByName(build_records(revisit_rows(labels), compress).repartition(archives(sizes.others), "record"))
+    if revisit_from > 0:
+        whole = whole.unionByName(build_records(further_responses(pages, labels), compress))
     # The bytes of a record are carried as a string, which the text writer puts out unread.
-    lines = built.select(F.col("record").cast("string").alias("value"))
+    lines = whole.select(F.col("record").cast("string").alias("value"))
     lines.write.option("lineSep", PADDING if compress else RECORD_END).text(path)
 
 
@@ -322,5 +352,5 @@ def gaps(found: DataFrame) -> DataFrame:
 
 
 def page_of(record: Column) -> Column:
-    """The page_id within a record id that :func:`records` made."""
+    """The page_id within a record id that this module made."""
     return F.regexp_extract(record, f"^{URN}(-?[0-9]*):", 1).try_cast("bigint")
