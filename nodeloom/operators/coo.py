@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nodeloom.functions.vectors import to_dense
-from nodeloom.operators.skew import hot_keys, join_hot_both
+from nodeloom.operators.skew import hot_keys, join_hot, join_hot_both
 
 # Most columns of a covariance, and longest array that a row can hold.
 MAX_COLUMNS = 65_535
@@ -95,11 +95,21 @@ def multiply(
     return _tile_products(left, _tiles(b, "j", "i", "bj", "b"), upper=False)
 
 
+def upper_gramian(coo: DataFrame) -> DataFrame:
+    """The cells ``i <= j`` of AᵀA over stored positions."""
+    left = _tiles(coo, "j", "i", "bi", "a")
+    return _tile_products(left, _tiles(coo, "j", "i", "bj", "b"), upper=True).where("i <= j")
+
+
 def gramian(coo: DataFrame) -> DataFrame:
     """AᵀA over stored positions. Only the upper triangle is formed, then mirrored."""
-    left = _tiles(coo, "j", "i", "bi", "a")
-    upper = _tile_products(left, _tiles(coo, "j", "i", "bj", "b"), upper=True)
-    return mirror_upper(upper.where("i <= j"))
+    return mirror_upper(upper_gramian(coo))
+
+
+def join_columns(coo: DataFrame, facts: DataFrame) -> DataFrame:
+    """Each entry with the row of ``facts`` of its column ``j``; columns of very many entries are split."""
+    hot = hot_keys(coo.groupBy("j").agg(F.count(F.lit(1)).alias("n")), ["j"], "n")
+    return join_hot(coo, facts, ["j"], hot, [F.col("i")])
 
 
 def _tiles(coo: DataFrame, outer: str, inner: str, block: str, name: str) -> DataFrame:

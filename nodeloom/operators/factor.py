@@ -1,25 +1,36 @@
-"""Factorisations of tall row matrices: QR, SVD, principal components, sampled similarities.
+"""Factorisations of row matrices: QR, SVD, principal components, sampled similarities.
 
-Only squares of the checked width reach the driver; everything with one row per matrix row
-stays distributed.
+SVD and principal components come from a randomised range finder: a block of vectors, one number per
+column each, is multiplied by AᵀA in one pass over the rows, and the driver holds as many such vectors as the
+wanted components need, never a square over the columns. Everything with one row per matrix row stays
+distributed.
 """
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.ml.feature import PCA
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nodeloom.functions.vectors import ml_vectors, older_vectors
-from nodeloom.operators.coo import from_local
-from nodeloom.operators.rowmatrix import check_width, local_square, multiply_local, square_of_rows, width
+from nodeloom.operators import coo as coordinates
+from nodeloom.operators.rowmatrix import CELLS_PER_BATCH, _block, check_width, column_means, local_square, multiply_local, square_of_rows, width
 
 # Components below this share of the largest singular value are noise of the squared matrix.
 NOISE = 1e-7
+# Columns whose rest after taking out earlier columns is below this share of their length depend on those.
+DEPENDENT = 1e-12
+# Vectors beside the wanted ones in a block, and most cells of all vectors that the driver holds (twice, with their images).
+OVERSAMPLE = 12
+BASIS_CELLS = 16_777_216
 
 
 class Qr(NamedTuple):
@@ -48,22 +59,154 @@ def _row_matrix(rows: DataFrame, row: str) -> RowMatrix:
     return RowMatrix(older_vectors(ml_vectors(rows.select(row), row), row))
 
 
-def similar_columns(rows: DataFrame, threshold: float, row: str = "row") -> DataFrame:
-    """Column cosines ``i < j`` by sampling; those above ``threshold`` are estimated well."""
-    check_width(width(rows, row))
-    found = _row_matrix(rows, row).columnSimilarities(threshold).entries
-    return rows.sparkSession.createDataFrame(
-        found.map(lambda e: (int(e.i), int(e.j), float(e.value))), "i bigint, j bigint, v double"
-    )
+def sampled_entries(coo: DataFrame, threshold: float, n_cols: int, seed: int = 42) -> DataFrame:
+    """The entries of ``i, j, v`` that take part in sampled cosines, scaled so that their Gramian estimates these.
+
+    With gamma = 10 ln(n_cols) / threshold, an entry of a column of length ``|c|`` is kept with probability
+    min(1, sqrt(gamma) / |c|) and divided by min(sqrt(gamma), |c|). Columns are first scaled to entries of at most
+    1, which changes no cosine and bounds the error. The draw is a hash of position and ``seed``, so that a
+    rerun and a recomputed task draw alike. Without a threshold all entries are kept.
+    """
+    stored = coordinates.drop_zeros(coordinates.summed(coo))
+    peaks = stored.groupBy("j").agg(F.max(F.abs("v")).alias("peak"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    scaled = coordinates.join_columns(stored, peaks.select("j", "peak", (F.col("norm") / F.col("peak")).alias("norm")))
+    root = F.lit(float("inf") if threshold <= 0 else float(np.sqrt(10 * np.log(max(n_cols, 2)) / threshold)))
+    draw = F.shiftrightunsigned(F.xxhash64("i", "j", F.lit(seed)), 11).cast("double") / F.lit(float(2**53))
+    kept = scaled.where(draw < root / F.col("norm"))
+    return kept.select("i", "j", (F.col("v") / F.col("peak") / F.least(root, F.col("norm"))).alias("v"))
+
+
+def similar_columns(rows: DataFrame, threshold: float, row: str = "row", index: str = "i", seed: int = 42) -> DataFrame:
+    """Column cosines ``i < j`` by sampling; those above ``threshold`` are estimated well, pairs never drawn have no row.
+
+    ``index`` numbers the rows, each with a number of its own.
+    """
+    entries = rows.select(F.col(index).alias("i"), F.posexplode(row).alias("j", "v"))
+    return similar_columns_of(coordinates.coordinate_table(entries), threshold, width(rows, row), seed)
+
+
+def similar_columns_of(coo: DataFrame, threshold: float, n_cols: int, seed: int = 42) -> DataFrame:
+    """The same of a coordinate table."""
+    return coordinates.upper_gramian(sampled_entries(coo, threshold, n_cols, seed)).where("i < j")
+
+
+def _columns_in_order(r: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """R of the columns of ``r`` taken in order, with zero rows for those that depend on earlier ones, and the others' numbers."""
+    n = r.shape[1]
+    q, out, free = np.zeros((r.shape[0], n)), np.zeros((n, n)), []
+    for j in range(n):
+        rest, size = r[:, j].copy(), np.linalg.norm(r[:, j])
+        for _ in range(2):
+            part = q.T @ rest
+            rest -= q @ part
+            out[:, j] += part
+        if size > 0 and np.linalg.norm(rest) > DEPENDENT * size:
+            out[j, j] = np.linalg.norm(rest)
+            q[:, j] = rest / out[j, j]
+            free.append(j)
+    return out, free
 
 
 def qr(rows: DataFrame, row: str = "row", compute_q: bool = False) -> Qr:
-    """Tall-skinny QR with a non-negative diagonal of R; Q keeps the other columns of ``rows``."""
-    check_width(width(rows, row))
-    r = _row_matrix(rows, row).tallSkinnyQR(False).R.toArray()
-    r = r * np.where(np.diag(r) < 0, -1.0, 1.0)[:, None]
-    q = multiply_local(rows, np.linalg.inv(r), row) if compute_q else None
-    return Qr(q, r)
+    """QR of rows with a non-negative diagonal of R; Q keeps the other columns of ``rows``.
+
+    A column that depends on earlier ones has a zero row in R and a zero column in Q: QR is the matrix at any rank,
+    and QᵀQ the identity but for zeros there. Q is made in two passes, the second of which takes out what the
+    first leaves of ill-conditioned columns.
+    """
+    n = width(rows, row)
+    check_width(n)
+    r, free = _columns_in_order(_row_matrix(rows, row).tallSkinnyQR(False).R.toArray())
+    if not compute_q:
+        return Qr(None, r)
+    turn = np.zeros((n, n))
+    at = np.ix_(free, free)
+    turn[at] = np.linalg.inv(r[at])
+    first = multiply_local(rows, turn, row)
+    again = np.linalg.cholesky(local_square(square_of_rows(first, row, n), n)[at]).T
+    turn[at] = np.linalg.inv(again)
+    r[free] = again @ r[free]
+    return Qr(multiply_local(first, turn, row), r)
+
+
+def _apply_square(rows: DataFrame, q: np.ndarray, mean: np.ndarray | None, row: str) -> np.ndarray:
+    """(A - 1 meanᵀ)ᵀ (A - 1 meanᵀ) q in one pass, without forming the difference: a rank-one correction."""
+    n, k = q.shape
+    spark = rows.sparkSession
+    # The last line adds up the products themselves, for the correction.
+    shared = spark.sparkContext.broadcast(np.ascontiguousarray(q))
+    offset = None if mean is None else mean @ q
+    step = max(1, CELLS_PER_BATCH // n)
+
+    def accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                x = _block(batch.column(0).slice(start, step), n)
+                y = x @ shared.value
+                y = y if offset is None else y - offset
+                part = np.vstack([x.T @ y, y.sum(axis=0)])
+                total = part if total is None else np.add(total, part, out=total)
+        if total is not None:
+            lines = max(1, CELLS_PER_BATCH // k)
+            for start in range(0, n + 1, lines):
+                part = total[start : start + lines]
+                offsets = np.arange(0, part.size + 1, k, dtype=np.int32)
+                ids = pa.array(np.arange(start, start + len(part), dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(offsets, part.ravel())], names=["i", "part"])
+
+    dense = rows.select(F.col(row).cast("array<double>").alias("row"))
+    sums = dense.mapInArrow(accumulate, "i bigint, part array<double>").groupBy("i").agg(Summarizer.sum(array_to_vector("part")).alias("part"))
+    found = sums.select("i", vector_to_array("part").alias("part")).toArrow().combine_chunks()
+    shared.destroy()
+    out = np.zeros((n + 1, k))
+    if found.num_rows:
+        out[found["i"].to_numpy()] = found["part"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+    return out[:n] if mean is None else out[:n] - np.outer(mean, out[n])
+
+
+def range_finder(
+    rows: DataFrame, k: int, row: str = "row", mean: np.ndarray | None = None, tolerance: float = 1e-11, max_passes: int = 100, n_cols: int | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` largest eigenvalues of AᵀA, and their vectors, of rows less ``mean``.
+
+    A random block is multiplied by AᵀA, made orthonormal to the blocks before it, and multiplied again. The
+    best vectors within all blocks are exact when their residual, which the driver can take from the blocks and
+    their images, is at most ``tolerance`` of the largest value. When the blocks fill ``BASIS_CELLS`` the best of
+    them go on alone. After ``max_passes`` a warning states the residual.
+    """
+    n = width(rows, row) if n_cols is None else n_cols
+    block = min(n, k + OVERSAMPLE)
+    if n * block > BASIS_CELLS:
+        raise ValueError(f"{k} components of {n} columns exceed {BASIS_CELLS} cells on the driver")
+    most = max(3 * block, BASIS_CELLS // n)
+    fresh = np.linalg.qr(np.random.default_rng(7).standard_normal((n, block)))[0]
+    basis, images = np.zeros((n, 0)), np.zeros((n, 0))
+    for _ in range(max_passes):
+        image = _apply_square(rows, fresh, mean, row)
+        basis, images = np.hstack([basis, fresh]), np.hstack([images, image])
+        small = basis.T @ images
+        values, turn = np.linalg.eigh((small + small.T) / 2)
+        values, turn = np.maximum(values[::-1], 0.0), turn[:, ::-1]
+        vectors = basis @ turn[:, :k]
+        rest = images @ turn[:, :k] - vectors * values[:k]
+        worst = float(np.linalg.norm(rest, axis=0).max(initial=0.0))
+        if basis.shape[1] == n or worst <= tolerance * max(values[0], np.finfo(float).tiny):
+            break
+        for _ in range(2):
+            image = image - basis @ (basis.T @ image)
+        u, size, _ = np.linalg.svd(image, full_matrices=False)
+        left = min(int(np.sum(size > 1e-13 * max(values[0], np.finfo(float).tiny))), n - basis.shape[1])
+        if not left:
+            break
+        fresh = np.linalg.qr(u[:, :left] - basis @ (basis.T @ u[:, :left]))[0]
+        # The next block holds what the best vectors lack, also when only these go on.
+        if basis.shape[1] + left > most:
+            kept = turn[:, : 2 * block]
+            basis, images = basis @ kept, images @ kept
+    else:
+        warnings.warn(f"residual {worst / values[0]:.1e} of the largest value after {max_passes} passes", stacklevel=2)
+    return values[:k], vectors
 
 
 def eigen_of_square(square: np.ndarray, k: int, r_cond: float) -> tuple[np.ndarray, np.ndarray]:
@@ -83,27 +226,32 @@ def svd(rows: DataFrame, k: int, row: str = "row", compute_u: bool = False, r_co
     largest holds rounding only: a smaller ``r_cond`` than the default may return such components.
     """
     n = width(rows, row)
-    check_width(n)
     if not 0 < k <= n:
         raise ValueError(f"k must lie between 1 and {n}")
-    square = local_square(square_of_rows(rows, row, n), n)
-    s, v = eigen_of_square(square, k, r_cond)
-    v = v * positive_peak(v) if len(s) else v
-    u = multiply_local(rows, v / s, row) if compute_u and len(s) else None
+    values, v = range_finder(rows, k, row, n_cols=n)
+    s = np.sqrt(values)
+    keep = int(np.sum(s > r_cond * s[0])) if len(s) and s[0] > 0 else 0
+    s, v = s[:keep], v[:, :keep]
+    v = v * positive_peak(v) if keep else v
+    u = multiply_local(rows, v / s, row) if compute_u and keep else None
     return Svd(u, s, v)
 
 
 def principal_components(rows: DataFrame, k: int, row: str = "row") -> Components:
-    """The ``k`` leading principal components as columns, largest entry positive."""
-    check_width(width(rows, row))
-    model = PCA(k=k, inputCol=row, outputCol="projected").fit(ml_vectors(rows.select(row), row))
-    vectors = model.pc.toArray()
-    return Components(vectors * positive_peak(vectors), np.array(model.explainedVariance))
+    """The ``k`` leading principal components as columns, largest entry positive, and their shares of the variance."""
+    n = width(rows, row)
+    if not 0 < k <= n:
+        raise ValueError(f"k must lie between 1 and {n}")
+    count, mean, variance = column_means(rows, row)
+    values, vectors = range_finder(rows, k, row, mean, n_cols=n)
+    total = float(variance.sum()) * (count - 1)
+    explained = values / total if total > 0 else np.zeros(k)
+    return Components(vectors * positive_peak(vectors), explained)
 
 
 def local_rows(spark, matrix: np.ndarray) -> DataFrame:
     """A small local factor as ``i, j, v``."""
-    return from_local(spark, matrix)
+    return coordinates.from_local(spark, matrix)
 
 
 def triplets(result: Svd, spark) -> DataFrame:

@@ -1,8 +1,9 @@
 """Matrices as dense rows: ``row ARRAY<DOUBLE>`` with any id columns beside it.
 
-Tall matrices of moderate width. Products of columns are accumulated block-wise inside each
-task (one matrix product per Arrow batch), so a Gramian shuffles one small square per task and
-never a pair of entries.
+Products of columns are accumulated block-wise inside each task (one matrix product per Arrow
+batch), so a Gramian shuffles no pair of entries. Its upper triangle is cut into bands of rows of
+at most ``BAND_CELLS`` cells; a task accumulates one band, however many columns there are, and
+reads only the columns from the band on.
 """
 
 from __future__ import annotations
@@ -16,16 +17,22 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.operators.coo import Shape
+from nodeloom.operators.coo import Shape, mirror_upper
 
-# Widest matrix whose square is accumulated in a task: 4096 * 4096 doubles are 128 MiB.
+# Widest matrix whose square may stand on the driver: 4096 * 4096 doubles are 128 MiB.
 MAX_DENSE = 4096
+# Cells of the upper triangle that a task accumulates, those it multiplies at a time, and the longest array of a result.
+BAND_CELLS = 16_777_216
 CELLS_PER_BATCH = 1_000_000
+PIECE = 8_192
+# Most cells of a local matrix that is sent to every task.
+MAX_LOCAL = 16_777_216
 
 
 def check_width(n: int) -> None:
+    """For squares on the driver only."""
     if n > MAX_DENSE:
-        raise ValueError(f"{n} columns exceed {MAX_DENSE}; use the coordinate-table operators")
+        raise ValueError(f"a square of {n} columns exceeds {MAX_DENSE} on the driver")
 
 
 def width(rows: DataFrame, row: str = "row") -> int:
@@ -50,73 +57,107 @@ def _block(column: pa.Array, n: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
 
 
-def _square_rows(square: np.ndarray) -> Iterator[pa.RecordBatch]:
-    n = len(square)
-    step = max(1, CELLS_PER_BATCH // n)
-    for start in range(0, n, step):
-        part = square[start : start + step]
-        offsets = np.arange(0, part.size + 1, n, dtype=np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.arange(start, start + len(part), dtype=np.int64)),
-                pa.ListArray.from_arrays(offsets, part.ravel()),
-            ],
-            names=["i", "part"],
-        )
+def bands(n: int, cells: int = BAND_CELLS) -> list[tuple[int, int]]:
+    """Rows ``first, stop`` of the upper triangle such that a band has at most ``cells`` cells, one row at least."""
+    out, first = [], 0
+    while first < n:
+        stop = min(n, first + max(1, cells // (n - first)))
+        out.append((first, stop))
+        first = stop
+    return out
+
+
+def _upper_rows(band: np.ndarray, first: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a band right of the diagonal, in arrays of at most ``PIECE``; column 0 of the band is ``first``."""
+    rows, begins, parts, held = [], [], [], 0
+    for r in range(len(band)):
+        for begin in range(r, band.shape[1], PIECE):
+            rows.append(first + r)
+            begins.append(first + begin)
+            parts.append(band[r, begin : begin + PIECE])
+            held += len(parts[-1])
+            if held >= CELLS_PER_BATCH or (r + 1 == len(band) and begin + PIECE >= band.shape[1]):
+                offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(offsets, np.concatenate(parts))
+                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(begins), lists], names=["i", "first", "part"])
+                rows, begins, parts, held = [], [], [], 0
+
 
+UPPER = "i bigint, first bigint, part array<double>"
 
-def _sum_squares(parts: DataFrame) -> DataFrame:
-    """Add the squares of all tasks row by row: ``i, part``."""
+
+def _sum_upper(parts: DataFrame) -> DataFrame:
+    """Add the bands of all tasks array by array."""
     return (
-        parts.groupBy("i")
+        parts.groupBy("i", "first")
         .agg(Summarizer.sum(array_to_vector("part")).alias("part"))
-        .select("i", vector_to_array("part").alias("part"))
+        .select("i", "first", vector_to_array("part").alias("part"))
     )
 
 
-def _cells(square: DataFrame) -> DataFrame:
-    return square.select("i", F.posexplode("part").alias("j", "v")).select("i", F.col("j").cast("bigint").alias("j"), "v")
+def upper_cells(upper: DataFrame) -> DataFrame:
+    """The cells ``i <= j`` of a triangle as coordinates."""
+    return upper.select("i", "first", F.posexplode("part").alias("at", "v")).select("i", (F.col("first") + F.col("at")).alias("j"), "v")
 
 
-def local_square(square: DataFrame, n: int) -> np.ndarray:
+def local_square(upper: DataFrame, n: int) -> np.ndarray:
     """A summed square of the checked width on the driver."""
     check_width(n)
-    found = square.select("i", "part").toArrow().combine_chunks()
     out = np.zeros((n, n))
-    if found.num_rows:
-        lines = found["part"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        out[found["i"].to_numpy()] = lines.reshape(-1, n)
-    return out
+    found = upper.select("i", "first", "part").toArrow()
+    for i, first, part in zip(found["i"].to_pylist(), found["first"].to_pylist(), found["part"]):
+        line = part.values.to_numpy(zero_copy_only=False)
+        out[i, first : first + len(line)] = line
+    return np.triu(out) + np.triu(out, 1).T
 
 
 def gramian(rows: DataFrame, row: str = "row", n_cols: int | None = None) -> DataFrame:
     """AᵀA as a coordinate table with all ``n_cols * n_cols`` positions."""
-    return _cells(square_of_rows(rows, row, n_cols))
+    return mirror_upper(upper_cells(square_of_rows(rows, row, n_cols)))
 
 
 def square_of_rows(
-    rows: DataFrame, row: str = "row", n_cols: int | None = None, centre: np.ndarray | None = None
+    rows: DataFrame, row: str = "row", n_cols: int | None = None, centre: np.ndarray | None = None, band_cells: int = BAND_CELLS
 ) -> DataFrame:
-    """AᵀA as rows ``i, part``; ``centre`` is subtracted from every row first."""
-    n = width(rows, row) if n_cols is None else n_cols
-    check_width(n)
-
-    def accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        square = None
-        for batch in batches:
-            if batch.num_rows:
-                x = _block(batch.column(0), n)
-                x = x if centre is None else x - centre
-                square = x.T @ x if square is None else square + x.T @ x
-        if square is not None:
-            yield from _square_rows(square)
+    """The upper triangle of AᵀA as ``i, first, part``: row ``i`` from column ``first`` on, in one or more arrays.
 
+    ``centre`` is subtracted from every row first. Each band reads the rows once; ``persist`` them if they are
+    dear to make and there is more than one band.
+    """
+    n = width(rows, row) if n_cols is None else n_cols
     dense = rows.select(F.col(row).cast("array<double>").alias("row"))
-    return _sum_squares(dense.mapInArrow(accumulate, "i bigint, part array<double>"))
+
+    def band_of(first: int, stop: int) -> DataFrame:
+        shift = None if centre is None else np.array(centre[first:])
+        step = max(1, CELLS_PER_BATCH // (n - first))
+
+        def accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            band = None
+            for batch in batches:
+                if (batch.column(1).to_numpy() != n).any():
+                    raise ValueError(f"a row does not have {n} columns")
+                for start in range(0, batch.num_rows, step):
+                    x = _block(batch.column(0).slice(start, step), n - first)
+                    x = x if shift is None else x - shift
+                    product = x[:, : stop - first].T @ x
+                    band = product if band is None else np.add(band, product, out=band)
+            if band is not None:
+                yield from _upper_rows(band, first)
+
+        right = F.slice("row", first + 1, n - first) if first else F.col("row")
+        return dense.select(right.alias("row"), F.size("row").alias("n")).mapInArrow(accumulate, UPPER)
+
+    parts = [band_of(*band) for band in bands(n, band_cells)]
+    if not parts:
+        return rows.sparkSession.createDataFrame([], UPPER)
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return _sum_upper(whole)
 
 
 def square_of_lists(lists: DataFrame, n: int) -> DataFrame:
-    """AᵀA as rows ``i, part``, of sparse rows ``at ARRAY<INT>, x ARRAY<DOUBLE>`` with positions below ``n``."""
+    """The same of sparse rows ``at ARRAY<INT>, x ARRAY<DOUBLE>`` with positions below ``n``, in one band."""
     check_width(n)
     step = max(1, CELLS_PER_BATCH // max(n, 1))
 
@@ -128,9 +169,9 @@ def square_of_lists(lists: DataFrame, n: int) -> DataFrame:
                 x = scatter(piece.column(0), piece.column(1), n)
                 square = x.T @ x if square is None else square + x.T @ x
         if square is not None:
-            yield from _square_rows(square)
+            yield from _upper_rows(square, 0)
 
-    return _sum_squares(lists.select("at", "x").mapInArrow(accumulate, "i bigint, part array<double>"))
+    return _sum_upper(lists.select("at", "x").mapInArrow(accumulate, UPPER))
 
 
 def scatter(at: pa.Array, x: pa.Array, n: int) -> np.ndarray:
@@ -163,28 +204,60 @@ def column_summary(rows: DataFrame, row: str = "row") -> DataFrame:
     )
 
 
-def covariance(rows: DataFrame, row: str = "row", n_cols: int | None = None) -> DataFrame:
-    """Sample covariance of the columns as a coordinate table.
+def column_means(rows: DataFrame, row: str = "row") -> tuple[int, np.ndarray, np.ndarray]:
+    """The number of rows, and the mean and sample variance of each column."""
+    metrics = Summarizer.metrics("count", "mean", "variance").summary(array_to_vector(F.col(row).cast("array<double>")))
+    found = rows.agg(metrics.alias("s")).select("s.count", vector_to_array("s.mean").alias("mean"), vector_to_array("s.variance").alias("variance")).first()
+    return found["count"] or 0, np.array(found["mean"] or []), np.array(found["variance"] or [])
+
+
+def covariance_upper(rows: DataFrame, row: str = "row", n_cols: int | None = None, band_cells: int = BAND_CELLS) -> DataFrame:
+    """The upper triangle of the sample covariance as ``i, first, part``.
 
     Rows are centred on the column means before the products, so large means cost no digits.
     """
     n = width(rows, row) if n_cols is None else n_cols
-    check_width(n)
-    facts = rows.agg(
-        F.count(F.lit(1)).alias("n"),
-        vector_to_array(Summarizer.mean(array_to_vector(F.col(row).cast("array<double>")))).alias("mean"),
-    ).first()
-    if facts.n < 2:
+    count, mean, _ = column_means(rows, row)
+    if count < 2:
         raise ValueError("covariance needs at least two rows")
-    square = square_of_rows(rows, row, n, np.array(facts.mean))
-    return _cells(square).withColumn("v", F.col("v") / (facts.n - 1))
+    upper = square_of_rows(rows, row, n, mean, band_cells)
+    return upper.withColumn("part", F.transform("part", lambda v: v / F.lit(float(count - 1))))
+
+
+def covariance(rows: DataFrame, row: str = "row", n_cols: int | None = None) -> DataFrame:
+    """Sample covariance of the columns as a coordinate table."""
+    return mirror_upper(upper_cells(covariance_upper(rows, row, n_cols)))
+
+
+def cosines_upper(upper: DataFrame) -> DataFrame:
+    """The upper triangle of a Gramian as cosines, array by array; a column of zeros has cosine 0.
+
+    The norms stand on the diagonal, where each row's first array begins: one number per column, on the driver.
+    """
+    found = upper.where("i = first").select("i", F.get("part", F.lit(0)).alias("square")).toArrow()
+    norms = np.zeros(int(max(found["i"].to_pylist(), default=-1)) + 1)
+    norms[found["i"].to_numpy()] = np.sqrt(found["square"].to_numpy())
+
+    def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i, first = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            sizes = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
+            offsets = np.concatenate([[0], np.cumsum(sizes)])
+            j = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - first, sizes)
+            size = np.repeat(norms[i], sizes) * norms[j]
+            values = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            cosines = np.divide(values, size, out=np.zeros_like(values), where=size != 0)
+            lists = pa.ListArray.from_arrays(offsets.astype(np.int32), cosines)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["i", "first", "part"])
+
+    return upper.mapInArrow(scale, UPPER)
 
 
 def multiply_local(rows: DataFrame, matrix: np.ndarray, row: str = "row") -> DataFrame:
     """Each row times a small dense matrix; other columns are kept, nothing is shuffled."""
     if not isinstance(matrix, np.ndarray) or matrix.ndim != 2:
         raise TypeError("the right side must be a 2-d numpy array")
-    if matrix.size > MAX_DENSE * MAX_DENSE:
+    if matrix.size > MAX_LOCAL:
         raise ValueError("the right side is too large to send to every task")
     n = matrix.shape[0]
     shared = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(matrix, dtype=float))

@@ -412,9 +412,62 @@ def _(spark, d):
     return rounded(coo.column_cosines(rowmatrix.gramian(tables.vectors(spark, d))), SUM_DIGITS, "v")
 
 
+def _wide_rows(coordinates: DataFrame) -> DataFrame:
+    """Dense rows of a coordinate table, stored as several bands read them."""
+    return cut_lineage(coo.to_dense_rows(coordinates, coo.shape(coordinates).cols))
+
+
+def _upper_digest(upper: DataFrame, digits: int) -> DataFrame:
+    """Per row ``i`` of a triangle, from the diagonal on: the sum of its cells and of their squares."""
+    plus = lambda a, b: a + b
+    sums = upper.groupBy("i").agg(
+        F.sum(F.aggregate("part", F.lit(0.0), plus)).alias("total"),
+        F.sum(F.aggregate("part", F.lit(0.0), lambda a, v: a + v * v)).alias("squares"),
+    )
+    return rounded(sums, digits, "total", "squares")
+
+
+@query("m5_wide_covariance")
+def _(spark, d):
+    """Supplier by part, a column for every part."""
+    return _upper_digest(rowmatrix.covariance_upper(_wide_rows(tables.supplier_parts(spark, d))), 3)
+
+
+@query("m6_wide_gramian")
+def _(spark, d):
+    """Supplier by order, a column for every order."""
+    return _upper_digest(rowmatrix.square_of_rows(_wide_rows(tables.supplier_orders(spark, d))), 3)
+
+
+@query("m7_wide_cosines")
+def _(spark, d):
+    square = cut_lineage(rowmatrix.square_of_rows(_wide_rows(tables.supplier_parts(spark, d))))
+    return _upper_digest(rowmatrix.cosines_upper(square), SUM_DIGITS)
+
+
 @query("m8_sampled_column_cosines")
 def _(spark, d):
-    return factor.similar_columns(tables.vectors(spark, d), 0.05)
+    """Line numbers by order: exact cosines above the threshold, and whether the sampled ones lie within a fifth of them."""
+    entries = tables.line_places(spark, d)
+    threshold, n = 0.1, coo.shape(entries).cols
+    sampled = factor.similar_columns_of(entries, threshold, n).withColumnRenamed("v", "estimate")
+    exact = coo.column_cosines(coo.gramian(entries)).where(F.col("v") >= threshold)
+    within = F.abs(F.coalesce("estimate", F.lit(0.0)) - F.col("v")) <= F.col("v") / 5
+    return rounded(exact.join(sampled, ["i", "j"], "left").select("i", "j", "v", within.alias("within")), SUM_DIGITS, "v")
+
+
+@query("m8_sampled_share")
+def _(spark, d):
+    """Per column the entries, how many should take part, and whether as many do, within five standard deviations."""
+    entries = tables.line_places(spark, d)
+    threshold, n = 0.1, coo.shape(entries).cols
+    root = float(np.sqrt(10 * np.log(n) / threshold))
+    kept = factor.sampled_entries(entries, threshold, n).groupBy("j").agg(F.count(F.lit(1)).alias("kept"))
+    per = entries.groupBy("j").agg(F.count(F.lit(1)).alias("entries"), (F.sqrt(F.sum(F.col("v") * F.col("v"))) / F.max("v")).alias("norm"))
+    due = F.col("entries") * F.least(F.lit(1.0), F.lit(root) / F.col("norm"))
+    near = F.abs(F.coalesce("kept", F.lit(0)) - F.col("expected")) <= 5 * F.sqrt("expected")
+    both = per.withColumn("expected", due).join(kept, "j", "left")
+    return rounded(both.select("j", "entries", "expected", near.alias("as_expected")), SUM_DIGITS, "expected")
 
 
 @query("m8_zero_threshold_cosines")
@@ -448,6 +501,32 @@ def _(spark, d):
     return rounded(coo.from_rows(rowmatrix.multiply_local(found.q, found.r)), SUM_DIGITS, "v")
 
 
+def _dependent_rows(spark, d) -> DataFrame:
+    """The vectors with four more columns: a sum of two, a multiple, zeros, and one that differs from the first in the eighth digit."""
+    v = tables.vectors(spark, d)
+    at = lambda n: F.get("row", F.lit(n))
+    more = F.array(at(0) + at(1), at(2) * 2.0, F.lit(0.0), at(0) + at(5) * 1e-7)
+    near = F.concat(F.slice("row", 1, 5), F.slice("row", 7, 58), more)
+    return v.select("i", near.alias("row"))
+
+
+@query("m9_qr_dependent")
+def _(spark, d):
+    """QᵀQ where three of 67 columns depend on earlier ones: the identity but for zeros there."""
+    return rounded(rowmatrix.gramian(factor.qr(_dependent_rows(spark, d), compute_q=True).q), SUM_DIGITS, "v")
+
+
+@query("m9_qr_dependent_product")
+def _(spark, d):
+    """Q times R beside the rows: the greatest difference per column, with what R holds below its diagonal."""
+    rows = _dependent_rows(spark, d)
+    found = factor.qr(rows, compute_q=True)
+    product = coo.from_rows(rowmatrix.multiply_local(found.q, found.r)).withColumnRenamed("v", "product")
+    below = factor.local_rows(spark, np.abs(np.tril(found.r, -1))).groupBy("j").agg(F.sum("v").alias("below"))
+    off = coo.from_rows(rows).join(product, ["i", "j"]).groupBy("j").agg(F.max(F.abs(F.col("v") - F.col("product"))).alias("off"))
+    return rounded(off.join(below, "j"), SUM_DIGITS, "off", "below")
+
+
 @query("m10_singular_values")
 def _(spark, d):
     return factor.triplets(factor.svd(tables.vectors(spark, d), 10), spark)
@@ -470,6 +549,53 @@ def _(spark, d):
     return rounded(checked, 4, "residual", "length", "total")
 
 
+def _checked_triplets(coordinates: DataFrame, found: factor.Svd, spark) -> DataFrame:
+    """Per component: the greatest entry of Aᵀu - s v, the lengths of u and v, and whether s falls."""
+    u = coo.from_rows(found.u).select("i", F.col("j").alias("c"), F.col("v").alias("u"))
+    v = coo.from_local(spark, found.v).select(F.col("i").alias("j"), F.col("j").alias("c"), F.col("v").alias("right"))
+    s = factor.triplets(found, spark).withColumn("next", F.lead("s", 1, 0.0).over(Window.orderBy("component")))
+    image = coordinates.join(u, "i").groupBy("j", "c").agg(F.sum(F.col("v") * F.col("u")).alias("image"))
+    both = v.join(image, ["j", "c"], "left").withColumn("component", F.col("c") + 1).join(s, "component")
+    off = F.abs(F.coalesce("image", F.lit(0.0)) - F.col("s") * F.col("right"))
+    per = both.groupBy("component", "s", "next").agg(F.max(off).alias("residual"), F.sum(F.col("right") * F.col("right")).alias("right_length"))
+    left = u.groupBy((F.col("c") + 1).alias("component")).agg(F.sum(F.col("u") * F.col("u")).alias("left_length"))
+    return per.join(left, "component").select("component", "residual", "left_length", "right_length", (F.col("s") >= F.col("next")).alias("falling"), "s")
+
+
+@query("m10_wide_triplets")
+def _(spark, d):
+    """All components of nation by order, a column for every order; the sum of all s² is that of all cells squared."""
+    entries = tables.nation_orders(spark, d)
+    rows = _wide_rows(entries)
+    found = factor.svd(rows, rows.count(), compute_u=True)
+    per = _checked_triplets(entries, found, spark)
+    total = F.sum(F.col("s") * F.col("s")).over(Window.partitionBy())
+    return rounded(per.withColumn("total", total).drop("s"), 4, "residual", "left_length", "right_length", "total")
+
+
+@query("m10_wide_leading")
+def _(spark, d):
+    """The ten leading components of supplier by order, a column for every order."""
+    entries = tables.supplier_orders(spark, d)
+    found = factor.svd(_wide_rows(entries), 10, compute_u=True)
+    return rounded(_checked_triplets(entries, found, spark).drop("s"), 4, "residual", "left_length", "right_length")
+
+
+@query("m11_wide_components")
+def _(spark, d):
+    """Covariance of nation by order turned into all its components: zero off the diagonal, falling along it, and its total."""
+    rows = _wide_rows(tables.nation_orders(spark, d))
+    found = factor.principal_components(rows, rows.count() - 1)
+    turned = rowmatrix.covariance(rowmatrix.multiply_local(rows, found.vectors))
+    after = turned.where("i = j").select((F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j"), F.col("v").alias("after"))
+    own = F.when(F.col("i") == F.col("j"), F.col("v"))
+    total = F.sum(own).over(Window.partitionBy())
+    falling = F.coalesce(own >= F.coalesce("after", F.lit(0.0)), F.lit(True))
+    off = F.when(F.col("i") == F.col("j"), 0.0).otherwise(F.col("v"))
+    checked = turned.join(after, ["i", "j"], "left").select("i", "j", off.alias("off"), falling.alias("falling"), total.alias("total"))
+    return rounded(checked, 4, "off", "total")
+
+
 @query("m10_svd_product")
 def _(spark, d):
     found = factor.svd(tables.vectors(spark, d), 64, compute_u=True)

@@ -273,3 +273,45 @@ FROM lineitem JOIN t_l_extendedprice USING (l_extendedprice) JOIN t_l_discount U
 ORACLES["m8_zero_threshold_cosines"] = ORACLES["m7_column_cosines"]
 ORACLES["g13_embedding_gramian"] = ORACLES["m10_svd_left_gramian"]
 ORACLES["g13_embedding_krylov"] = ORACLES["g13_embedding_values"]
+
+
+def _quantities(row: str, column: str, source: str = "lineitem") -> str:
+    """``a``: the summed quantities by two columns, and ``c``: the matrix columns up to the largest."""
+    return f"""a AS MATERIALIZED (SELECT CAST({row} AS BIGINT) AS i, CAST({column} AS BIGINT) AS j, sum(l_quantity) AS v FROM {source} GROUP BY ALL),
+c AS MATERIALIZED (SELECT n.range AS j, coalesce(sum(v), 0) AS total, coalesce(sqrt(sum(v * v)), 0) AS norm
+  FROM range((SELECT max(j) + 1 FROM a)) n LEFT JOIN a ON a.j = n.range GROUP BY n.range),
+g AS (SELECT p.j AS i, q.j AS j, sum(p.v * q.v) AS v FROM a p JOIN a q ON p.i = q.i AND p.j <= q.j GROUP BY p.j, q.j)"""
+
+
+_NATIONS = _quantities("s_nationkey", "l_orderkey", "lineitem JOIN supplier ON l_suppkey = s_suppkey")
+
+ORACLES |= {
+    "m5_wide_covariance": f"""WITH {_quantities("l_suppkey", "l_partkey")},
+held AS (SELECT CAST(count(DISTINCT i) AS DOUBLE) AS n FROM a),
+v AS (SELECT p.j AS i, (coalesce(g.v, 0) - p.total * q.total / held.n) / (held.n - 1) AS v
+  FROM c p JOIN c q ON p.j <= q.j CROSS JOIN held LEFT JOIN g ON g.i = p.j AND g.j = q.j)
+SELECT i, round(sum(v), 3) + 0.0::DOUBLE AS total, round(sum(v * v), 3) AS squares FROM v GROUP BY i""",
+    "m6_wide_gramian": f"""WITH {_quantities("l_suppkey", "l_orderkey")}
+SELECT c.j AS i, coalesce(round(sum(g.v), 3), 0.0::DOUBLE) AS total, coalesce(round(sum(g.v * g.v), 3), 0.0::DOUBLE) AS squares
+FROM c LEFT JOIN g ON g.i = c.j GROUP BY c.j""",
+    "m7_wide_cosines": f"""WITH {_quantities("l_suppkey", "l_partkey")},
+v AS (SELECT g.i, CASE WHEN p.norm * q.norm = 0 THEN 0 ELSE g.v / (p.norm * q.norm) END AS v FROM g JOIN c p ON p.j = g.i JOIN c q ON q.j = g.j)
+SELECT c.j AS i, coalesce(round(sum(v), 6), 0.0::DOUBLE) AS total, coalesce(round(sum(v * v), 6), 0.0::DOUBLE) AS squares FROM c LEFT JOIN v ON v.i = c.j GROUP BY c.j""",
+    "m8_sampled_column_cosines": f"""WITH {_quantities("l_orderkey", "l_linenumber")}
+SELECT g.i, g.j, round(g.v / (p.norm * q.norm), 6) AS v, true AS within
+FROM g JOIN c p ON p.j = g.i JOIN c q ON q.j = g.j WHERE g.i < g.j AND g.v / (p.norm * q.norm) >= 0.1""",
+    "m8_sampled_share": f"""WITH {_quantities("l_orderkey", "l_linenumber")}
+SELECT j, count(*) AS entries, round(count(*) * least(1.0::DOUBLE, sqrt(10 * ln((SELECT max(j) + 1 FROM a)) / 0.1::DOUBLE) / (sqrt(sum(v * v)) / max(v))), 6) AS expected,
+  true AS as_expected FROM a GROUP BY j""",
+    "m9_qr_dependent": f"""WITH {M}, c AS (SELECT unnest(range(count(DISTINCT j) + 3)) AS j, count(DISTINCT j) + 3 AS n FROM m)
+SELECT a.j AS i, b.j AS j, CASE WHEN a.j = b.j AND a.j NOT IN (a.n - 4, a.n - 3, a.n - 2) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM c a CROSS JOIN c b""",
+    "m9_qr_dependent_product": f"""WITH {M} SELECT unnest(range(count(DISTINCT j) + 3)) AS j, 0.0::DOUBLE AS off, 0.0::DOUBLE AS below FROM m""",
+    "m10_wide_triplets": f"""WITH {_NATIONS}, r AS (SELECT count(DISTINCT i) AS n, round(sum(v * v), 4) AS total FROM a)
+SELECT CAST(unnest(range(1, n + 1)) AS BIGINT) AS component, 0.0::DOUBLE AS residual, 1.0::DOUBLE AS left_length, 1.0::DOUBLE AS right_length, true AS falling, total FROM r""",
+    "m10_wide_leading": f"""WITH {_quantities("l_suppkey", "l_orderkey")}, r AS (SELECT least(count(DISTINCT i), 10) AS n FROM a)
+SELECT CAST(unnest(range(1, n + 1)) AS BIGINT) AS component, 0.0::DOUBLE AS residual, 1.0::DOUBLE AS left_length, 1.0::DOUBLE AS right_length, true AS falling FROM r""",
+    "m11_wide_components": f"""WITH {_NATIONS}, r AS (SELECT count(DISTINCT i) AS n FROM a),
+t AS (SELECT round(sum(squares - total * total / n) / (any_value(n) - 1), 4) AS total FROM (SELECT j, sum(v * v) AS squares, sum(v) AS total FROM a GROUP BY j) CROSS JOIN r),
+k AS (SELECT unnest(range(n - 1)) AS j FROM r)
+SELECT p.j AS i, q.j AS j, 0.0::DOUBLE AS off, true AS falling, total FROM k p CROSS JOIN k q CROSS JOIN t""",
+}

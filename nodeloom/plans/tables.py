@@ -75,3 +75,27 @@ def measure(spark: SparkSession, folder: str, column: str) -> DataFrame:
         .groupBy(F.col("l_suppkey").alias("i"), (F.col("l_partkey") % 50).alias("j"))
         .agg(F.sum(column).alias("v"))
     )
+
+
+def supplier_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """``i, j, v``: the quantity of each part by supplier, for all parts."""
+    lines = table(spark, folder, "lineitem")
+    return lines.groupBy(F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("j")).agg(F.sum("l_quantity").alias("v"))
+
+
+def supplier_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """``i, j, v``: the quantity of each order by supplier."""
+    lines = table(spark, folder, "lineitem")
+    return lines.groupBy(F.col("l_suppkey").alias("i"), F.col("l_orderkey").alias("j")).agg(F.sum("l_quantity").alias("v"))
+
+
+def nation_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """``i, j, v``: the quantity of each order by the supplier's nation: few rows, and a column per order."""
+    lines = table(spark, folder, "lineitem").join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return lines.groupBy(F.col("s_nationkey").cast("bigint").alias("i"), F.col("l_orderkey").alias("j")).agg(F.sum("l_quantity").alias("v"))
+
+
+def line_places(spark: SparkSession, folder: str) -> DataFrame:
+    """``i, j, v``: the quantity at each place of an order: many rows, and a column per line number."""
+    lines = table(spark, folder, "lineitem")
+    return lines.groupBy(F.col("l_orderkey").alias("i"), F.col("l_linenumber").cast("bigint").alias("j")).agg(F.sum("l_quantity").alias("v"))

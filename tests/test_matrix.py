@@ -327,3 +327,81 @@ def test_krylov_states_its_residual_when_rounds_end(spark):
     with pytest.warns(UserWarning, match="relative residual"):
         found = embedding.block_krylov(m, coo.Shape(30, 25), 4, tolerance=0.0, max_rounds=2)
     assert found.v.count() == 25
+
+
+def test_bands_cover_the_triangle(spark, monkeypatch):
+    monkeypatch.setattr(rowmatrix, "PIECE", 7)
+    a = np.random.default_rng(1).standard_normal((40, 23)).round(2)
+    rows = rows_of(spark, *a).repartition(3)
+    for cells in (1, 60, 200, 10_000):
+        found = rowmatrix.square_of_rows(rows, band_cells=cells)
+        assert rowmatrix.local_square(found, 23) == pytest.approx(a.T @ a, abs=1e-9)
+        assert max(len(r.part) for r in found.collect()) <= 7
+        got = rowmatrix.covariance_upper(rows, band_cells=cells)
+        assert rowmatrix.local_square(got, 23) == pytest.approx(np.cov(a.T), abs=1e-9)
+    bands = rowmatrix.bands(65_535)
+    assert bands[0][0] == 0 and bands[-1][1] == 65_535 and all(x[1] == y[0] for x, y in zip(bands, bands[1:]))
+    assert max((stop - first) * (65_535 - first) for first, stop in bands) <= rowmatrix.BAND_CELLS
+
+
+def test_wide_rows_need_no_square(spark):
+    """5,000 columns, more than a square on the driver may have."""
+    a = np.random.default_rng(2).standard_normal((30, 5_000))
+    rows = rows_of(spark, *a).repartition(2)
+    found = factor.svd(rows, 6, compute_u=True)
+    s = np.linalg.svd(a, compute_uv=False)
+    assert found.s == pytest.approx(s[:6], rel=1e-9)
+    u = np.array([r.row for r in found.u.orderBy("i").collect()])
+    assert u.T @ u == pytest.approx(np.eye(6), abs=1e-8) and (a @ found.v) == pytest.approx(u * found.s, abs=1e-7)
+    parts = factor.principal_components(rows, 4)
+    values, vectors = np.linalg.svd(a - a.mean(0), full_matrices=False)[1:]
+    assert parts.explained == pytest.approx(values[:4] ** 2 / (values**2).sum(), rel=1e-9)
+    assert np.abs(parts.vectors.T @ vectors[:4].T) == pytest.approx(np.eye(4), abs=1e-7)
+    some = rowmatrix.square_of_rows(rows, band_cells=2_000_000).where("i in (0, 4999)").collect()
+    assert len(some) == 2 and {r.i: r.part[0] for r in some} == pytest.approx({0: a[:, 0] @ a[:, 0], 4999: a[:, 4999] @ a[:, 4999]})
+
+
+def test_range_finder_on_flat_values(spark, monkeypatch):
+    """Values that hardly fall, with so few vectors that the blocks start again from the best."""
+    q = np.linalg.qr(np.random.default_rng(3).standard_normal((300, 120)))[0]
+    values = np.linspace(1.0, 2.0, 120)[::-1]
+    a = q * values
+    monkeypatch.setattr(factor, "BASIS_CELLS", 120 * 50)
+    found = factor.svd(rows_of(spark, *a), 3)
+    assert found.s == pytest.approx(values[:3], rel=1e-9)
+    with pytest.warns(UserWarning, match="after 1 passes"):
+        factor.range_finder(rows_of(spark, *a), 3, max_passes=1)
+    with pytest.raises(ValueError, match="cells on the driver"):
+        factor.svd(rows_of(spark, *a), 60)
+
+
+def test_qr_of_dependent_columns(spark):
+    r"""Fixed values: (1,2),(2,4),(3,6), whose second column is twice the first."""
+    found = factor.qr(rows_of(spark, [1, 2], [2, 4], [3, 6]), compute_q=True)
+    q = np.array([r.row for r in found.q.orderBy("i").collect()])
+    assert q[:, 0] == pytest.approx(np.array([1, 2, 3]) / np.sqrt(14)) and (q[:, 1] == 0).all()
+    assert found.r == pytest.approx(np.array([[np.sqrt(14), 2 * np.sqrt(14)], [0, 0]]), abs=1e-12)
+    rng = np.random.default_rng(4)
+    a = rng.standard_normal((50, 6))
+    a[:, 3] = a[:, 0] - 2 * a[:, 1]
+    a[:, 4] = 0
+    a[:, 5] = a[:, 2] + 1e-9 * a[:, 5]
+    found = factor.qr(rows_of(spark, *a), compute_q=True)
+    q = np.array([r.row for r in found.q.orderBy("i").collect()])
+    assert q.T @ q == pytest.approx(np.diag([1.0, 1, 1, 0, 0, 1]), abs=1e-12)
+    assert q @ found.r == pytest.approx(a, abs=1e-12) and (np.diag(found.r) >= 0).all() and np.tril(found.r, -1) == pytest.approx(0)
+
+
+def test_sampled_cosines_draw_alike(spark):
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 3, (4_000, 4)) * rng.integers(1, 9, (4_000, 1)).astype(float)
+    rows = rows_of(spark, *a)
+    once, again = (cells(factor.similar_columns(df, 0.2)) for df in (rows.repartition(3), rows.repartition(5, "i")))
+    assert once == pytest.approx(again, rel=1e-12) and len(once) == 6
+    other = cells(factor.similar_columns(rows, 0.2, seed=1))
+    assert any(abs(once[k] - other[k]) > 1e-6 for k in once)
+    size = np.linalg.norm(a, axis=0)
+    exact = (a.T @ a) / np.outer(size, size)
+    assert all(abs(v - exact[k]) < 0.2 * exact[k] for k, v in once.items())
+    without = cells(factor.similar_columns(rows, 0.0))
+    assert without == pytest.approx({k: exact[k] for k in without}) and len(without) == 6
