@@ -1,42 +1,29 @@
 """Leading singular vectors of coordinate tables and of a graph's adjacency matrix.
 
-When one side of the matrix is at most ``MAX_DENSE`` long, the square over that side is summed
-in the tasks and decomposed on the driver; the long side is never collected. Otherwise a basis
-of vectors is widened as a distributed table and only squares of its width reach the driver.
+They come from a block Lanczos process over a distributed basis, of any size. Where one side is at most ``dense_side``
+long, the square over that side is summed in the tasks and decomposed on the driver instead; the long side is never
+collected. A ``dense_side`` of 0 always takes the process.
 """
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.operators.coo import Shape
+from nodeloom.operators.coo import Shape, summed
 from nodeloom.operators.edges import extremes, needs_flip, reverse_edges
 from nodeloom.operators.factor import NOISE, eigen_of_square
-from nodeloom.operators.rowmatrix import (
-    CELLS_PER_BATCH,
-    MAX_DENSE,
-    local_square,
-    multiply_local,
-    scatter,
-    square_of_lists,
-    square_of_rows,
-)
-from nodeloom.operators.skew import HOT_ROWS, hot_keys, join_hot
-from nodeloom.runtime import cut_lineage, drop_stored, store_table
+from nodeloom.operators.lanczos import block_lanczos
+from nodeloom.operators.rowmatrix import CELLS_PER_BATCH, MAX_DENSE, local_square, scatter, square_of_lists
+from nodeloom.runtime import cut_lineage
 
 COMPONENTS = 10
-# Vectors that a Krylov round adds: many, as a round costs its passes over the table more than its width.
-BLOCK = 64
 
 
 class RightVectors(NamedTuple):
@@ -46,11 +33,6 @@ class RightVectors(NamedTuple):
     v: DataFrame
 
 
-def _square(block: DataFrame, n: int) -> np.ndarray:
-    """The square of a block of ``n`` vectors, one array ``q`` per row."""
-    return local_square(square_of_rows(block, "q", n), n)
-
-
 def _project_lists(lists: DataFrame, matrix: np.ndarray) -> DataFrame:
     """``j, v``: each sparse list times a small dense matrix."""
     n, k = matrix.shape
@@ -94,137 +76,15 @@ def _signed(vectors: DataFrame, k: int) -> DataFrame:
     return vectors.select("j", F.zip_with("v", signs, lambda x, s: x * s + F.lit(0.0)).alias("v"))
 
 
-def _start_block(coo: DataFrame, p: int) -> DataFrame:
-    """A fixed pseudo-random block: the same values whenever a partition is recomputed."""
-    value = F.transform(
-        F.sequence(F.lit(1), F.lit(p)), lambda c: F.xxhash64(F.col("j"), c).cast("double") / F.lit(float(2**63))
-    )
-    return coo.select("j").distinct().select("j", value.alias("q"))
-
-
-def block_krylov(
-    coo: DataFrame,
-    dims: Shape,
-    k: int,
-    tolerance: float = 1e-9,
-    max_rounds: int = 100,
-    max_width: int | None = None,
-    hot_rows: int = HOT_ROWS,
-    block: int | None = None,
-) -> RightVectors:
-    """Leading right singular vectors when both sides are long.
+def right_vectors(coo: DataFrame, dims: Shape, k: int, dense_side: int = MAX_DENSE) -> RightVectors:
+    """Leading ``k`` right singular vectors of a coordinate table, fewer at lower rank.
 
-    An orthonormal basis B is kept as a distributed table together with R = AᵀAB, one array
-    ``q = [b | r]`` per column of the matrix. A round finds the best vectors within the basis
-    (Rayleigh-Ritz on a small square), and widens the basis by the residuals of those that have
-    not converged, which costs one multiplication by A and one by Aᵀ: two joins with pre-summed
-    products. A basis wider than ``max_width`` (a few blocks when not given) is restarted from its best vectors. It
-    stops when the relative residual of every wanted vector is at most ``tolerance``, or after ``max_rounds``
-    with the best vectors so far and a warning that states their residual. Tables of earlier rounds are removed.
+    With a side of at most ``dense_side`` they are taken from the square over that side.
     """
-    p = min(max(k + 2, block or 0), *dims)
-    max_width = max(80, 6 * p) if max_width is None else max_width
-    coo = coo.persist(StorageLevel.MEMORY_AND_DISK)
-
-    def hot(side: str) -> DataFrame:
-        return hot_keys(coo.groupBy(side).agg(F.count(F.lit(1)).alias("n")), [side], "n", hot_rows)
-
-    hot_of = {side: hot(side).persist(StorageLevel.MEMORY_AND_DISK) for side in ("i", "j")}
-
-    def apply(vectors: DataFrame, over: str, onto: str) -> DataFrame:
-        met = join_hot(coo, vectors, [over], hot_of[over], [F.col(onto)])
-        scaled = array_to_vector(F.transform("q", lambda x: x * F.col("v")))
-        sums = met.groupBy(onto).agg(Summarizer.sum(scaled).alias("q"))
-        return sums.select(onto, vector_to_array("q").alias("q"))
-
-    def applied_twice(vectors: DataFrame) -> DataFrame:
-        return apply(apply(vectors, "j", "i"), "i", "j")
-
-    def orthonormaliser(square: np.ndarray) -> np.ndarray:
-        scale = 1.0 / np.sqrt(np.diag(square))
-        values, vectors = np.linalg.eigh(square * np.outer(scale, scale))
-        keep = values > values[-1] * 1e-10
-        return scale[:, None] * vectors[:, keep] / np.sqrt(values[keep])
-
-    start = store_table(_start_block(coo, p))
-    turn = orthonormaliser(_square(start, p))
-    fresh, added = store_table(multiply_local(start, turn, "q")), turn.shape[1]
-    drop_stored(start)
-    table, w = None, 0
-    for _ in range(max_rounds):
-        images = applied_twice(fresh).withColumnRenamed("q", "image")
-        grown = fresh.withColumnRenamed("q", "x").join(images, "j")
-        if table is None:
-            grown = grown.select("j", F.concat("x", "image").alias("q"))
-        else:
-            b, r = F.slice("q", 1, w), F.slice("q", w + 1, w)
-            grown = table.join(grown, "j").select("j", F.concat(b, "x", r, "image").alias("q"))
-        past, table, w = (fresh, table), store_table(grown), w + added
-        for stored in past:
-            if stored is not None:
-                drop_stored(stored)
-        square = _square(table, 2 * w)
-
-        # Best vectors within the basis; the Cholesky factor absorbs its rounding errors.
-        low = np.linalg.inv(np.linalg.cholesky(square[:w, :w]))
-        theta, turn = np.linalg.eigh(low @ square[:w, w:] @ low.T)
-        theta, turn = np.maximum(theta[::-1], 0.0), (low.T @ turn)[:, ::-1]
-        wanted = [c for c in range(min(k, w)) if theta[c] > NOISE**2 * theta[0]]
-        tried = min(p, w)
-        if w + tried > max_width:
-            kept = np.ascontiguousarray(turn[:, : 2 * p])
-            none = np.zeros_like(kept)
-            wide, table = table, store_table(multiply_local(table, np.block([[kept, none], [none, kept]]), "q"))
-            drop_stored(wide)
-            w = kept.shape[1]
-            turn = np.eye(w)
-        error = np.vstack([-turn * theta[: turn.shape[1]], turn])[:, :tried]
-
-        # The residuals are formed row by row and then squared: taking them from the square
-        # of the basis would lose half of the digits.
-        with_error = multiply_local(table, np.hstack([np.eye(2 * w), error]), "q")
-        whole = _square(with_error, 2 * w + tried)
-        sizes = np.sqrt(np.diag(whole)[2 * w :])
-        if all(sizes[c] <= tolerance * theta[c] for c in wanted):
-            break
-        spread = [
-            2 * w + c for c in range(tried) if theta[c] > NOISE**2 * theta[0] and sizes[c] > tolerance * theta[c]
-        ]
-        overlap = np.linalg.solve(whole[:w, :w], whole[:w, spread])
-        rest = whole[np.ix_(spread, spread)] - whole[spread, :w] @ overlap
-        outside = np.flatnonzero(np.diag(rest) > 1e-20 * np.diag(whole)[spread])
-        if not len(outside):
-            # The basis holds all residuals: what is left of them is rounding.
-            worst = max(sizes[c] / theta[c] for c in wanted)
-            warnings.warn(f"relative residual {worst:.1e} with a complete basis", stacklevel=2)
-            break
-        spread = [spread[c] for c in outside]
-        overlap, rest = overlap[:, outside], rest[np.ix_(outside, outside)]
-        turn_new = orthonormaliser(rest)
-        added = turn_new.shape[1]
-        combine = np.zeros((2 * w + tried, added))
-        combine[:w], combine[spread] = -overlap @ turn_new, turn_new
-        fresh = store_table(multiply_local(with_error, combine, "q"))
-    else:
-        worst = max((sizes[c] / theta[c] for c in wanted), default=0.0)
-        warnings.warn(f"relative residual {worst:.1e} after {max_rounds} rounds", stacklevel=2)
-        drop_stored(fresh)
-    keep = len(wanted)
-    best = np.vstack([turn[:, :keep], np.zeros((w, keep))])
-    v = store_table(multiply_local(table, best, "q"))
-    drop_stored(table)
-    v = v.withColumnRenamed("q", "v")
-    for stored in (coo, *hot_of.values()):
-        stored.unpersist()
-    return RightVectors(np.sqrt(theta[:keep]), _signed(v, keep))
-
-
-def right_vectors(coo: DataFrame, dims: Shape, k: int, dense_side: int = MAX_DENSE) -> RightVectors:
-    """Leading ``k`` right singular vectors of a coordinate table, fewer at lower rank."""
     if not 0 < k <= dims.cols:
         raise ValueError(f"k must lie between 1 and {dims.cols}")
     if min(dims) > dense_side:
-        return block_krylov(coo, dims, k, block=BLOCK)
+        return _from_process(summed(coo), k)
 
     def lists(by: str, at: str) -> DataFrame:
         entries = F.collect_list(F.struct(F.col(at).cast("int").alias("at"), F.col("v").alias("x")))
@@ -234,8 +94,14 @@ def right_vectors(coo: DataFrame, dims: Shape, k: int, dense_side: int = MAX_DEN
         return _from_lists(lists("j", "i"), dims.rows, k)
     square = local_square(square_of_lists(lists("i", "j"), dims.cols), dims.cols)
     s, v = eigen_of_square(square, k, NOISE)
-    cells = [(j, [float(x) for x in line]) for j, line in enumerate(v)]
-    return RightVectors(s, _signed(coo.sparkSession.createDataFrame(cells, "j bigint, v array<double>"), len(s)))
+    offsets = np.arange(0, v.size + 1, max(v.shape[1], 1), dtype=np.int32) if v.size else np.zeros(dims.cols + 1, dtype=np.int32)
+    cells = pa.table({"j": np.arange(dims.cols), "v": pa.ListArray.from_arrays(offsets, pa.array(v.ravel()))})
+    return RightVectors(s, _signed(coo.sparkSession.createDataFrame(cells), len(s)))
+
+
+def _from_process(coo: DataFrame, k: int) -> RightVectors:
+    found = block_lanczos(coo, k, noise=NOISE**2)
+    return RightVectors(np.sqrt(found.values), _signed(found.vectors, len(found.values)))
 
 
 def svd_embedding(edges: DataFrame, k: int = COMPONENTS, dense_side: int = MAX_DENSE) -> DataFrame:
@@ -265,7 +131,7 @@ def svd_embedding(edges: DataFrame, k: int = COMPONENTS, dense_side: int = MAX_D
         s, v = _from_lists(lists, m, wanted)
     else:
         coo = edges.select((F.col("src") - 1).alias("i"), (F.col("dst") - 1).alias("j")).distinct()
-        s, v = block_krylov(coo.withColumn("v", F.lit(1.0)), Shape(m, n), wanted, block=BLOCK)
+        s, v = _from_process(coo.withColumn("v", F.lit(1.0)), wanted)
     held = len(s)
     columns = [
         (F.coalesce(F.get("v", F.lit(c)), F.lit(0.0)) if c < held else F.lit(None).cast("double")).alias(name)

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nodeloom.functions import vectors as V
-from nodeloom.operators import adjacency, blocks, coo, embedding, factor, rowmatrix
+from nodeloom.operators import adjacency, blocks, coo, embedding, factor, lanczos, rowmatrix
 
 
 def rows_of(spark, *rows):
@@ -135,7 +135,7 @@ def test_coordinate_svd(spark):
     a = r.normal(size=(12, 9)) * (r.random((12, 9)) < 0.6)
     for x in (a, a.T):
         stored = entries(spark, *[(int(i), int(j), x[i, j]) for i, j in zip(*np.nonzero(x))])
-        for side in (4096, 4):
+        for side in (4096, 0):
             s, v = embedding.right_vectors(stored, coo.Shape(*x.shape), 3, side)
             assert np.allclose(s, np.linalg.svd(x)[1][:3], atol=1e-8)
             got = np.array([t.v for t in sorted(v.collect(), key=lambda t: t.j)])
@@ -322,11 +322,30 @@ def test_relative_condition_is_honoured(spark):
     assert len(factor.svd(m, 2, r_cond=0.1).s) == 1
 
 
-def test_krylov_states_its_residual_when_rounds_end(spark):
-    m = entries(spark, *[(i, j, ((i * 7 + j * 3) % 11) - 4) for i in range(30) for j in range(25)])
+def test_lanczos_states_its_residual_when_rounds_end(spark):
+    m = entries(spark, *[(i, j, ((i * i * 7 + j * 3 + i * j) % 11) - 4) for i in range(30) for j in range(25)])
     with pytest.warns(UserWarning, match="relative residual"):
-        found = embedding.block_krylov(m, coo.Shape(30, 25), 4, tolerance=0.0, max_rounds=2)
-    assert found.v.count() == 25
+        found = lanczos.block_lanczos(m, 4, block=4, tolerance=0.0, max_rounds=2)
+    assert found.vectors.count() == 25 and len(found.values) == 4
+
+
+def test_lanczos_over_several_stripes_and_restarts(spark, monkeypatch):
+    """Stripes of 16 places, pieces of 20 entries, and a basis that starts again from its best vectors."""
+    monkeypatch.setattr(lanczos, "STRIPE", 16)
+    rng = np.random.default_rng(8)
+    a = rng.integers(1, 5, (90, 70)) * (rng.random((90, 70)) < 0.3)
+    a[:, 40] = 0
+    m = entries(spark, *[(int(i), int(j), a[i, j]) for i, j in zip(*np.nonzero(a))])
+    want = np.linalg.svd(a.astype(float))
+    for most in (500, 20):
+        found = lanczos.block_lanczos(m, 3, block=5, max_width=most, piece_entries=20)
+        assert np.sqrt(found.values) == pytest.approx(want[1][:3], rel=1e-9)
+        got = np.zeros((70, 3))
+        for r in found.vectors.collect():
+            got[r.j] = r.v
+        assert np.abs(np.sum(got * want[2][:3].T, axis=0)) == pytest.approx(np.ones(3), abs=1e-8)
+    none = lanczos.block_lanczos(entries(spark, (0, 0, 0.0), (3, 2, 0.0)), 2)
+    assert len(none.values) == 0
 
 
 def test_bands_cover_the_triangle(spark, monkeypatch):
