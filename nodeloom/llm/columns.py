@@ -33,3 +33,17 @@ def id_as_text(docs: DataFrame, name: str = "doc_id") -> DataFrame:
 def id_as_number(df: DataFrame, name: str = "doc_id") -> DataFrame:
     """The id that :func:`id_as_text` wrote, as bigint again."""
     return df.withColumn(name, F.col(name).cast("bigint"))
+
+
+def row_key(df_id: str = "doc_id", text: str = "text") -> Column:
+    """A 128-bit key of id and text as a string; NULL and empty differ."""
+    held = lambda name: F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit("-"))
+    return F.md5(F.concat(held(df_id), F.lit(" "), held(text)).cast("binary"))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

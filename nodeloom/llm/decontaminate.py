@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodeloom.llm.columns import id_as_number, id_as_text
+from nodeloom.llm.columns import id_as_text
 
 WINDOW = 10
 SAMPLE = 8
@@ -170,6 +170,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     With several blocks of items, documents are numbered once in a stored table and the blocks'
     results are joined by that number.
     """
+    kind = docs.schema["doc_id"].dataType
     numbered = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("id"), "text")
     blocks = max(1, -(-benchmark.count() // items_per_block))
     of = F.pmod(F.xxhash64("id", "text"), F.lit(blocks))
@@ -185,7 +186,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     for block in range(blocks):
         items = [(r.id, split_words(r.text)) for r in numbered.where(of == block).toLocalIterator()]
         held = docs.sparkSession.sparkContext.broadcast(Phrases(items, window))
-        results.append(id_as_number(docs.mapInPandas(_searcher(held, blocks > 1), shape)))
+        results.append(docs.mapInPandas(_searcher(held, blocks > 1), shape).withColumn("doc_id", F.col("doc_id").cast(kind)))
     if blocks == 1:
         return results[0]
     merged = results[0]

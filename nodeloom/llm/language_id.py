@@ -2,9 +2,10 @@
 
 The network reads windows of ``WINDOW`` bytes in both directions, labels every byte with
 probabilities of the languages, and a document's probabilities are the mean over all its bytes.
-It is trained in numpy by backpropagation through time on a bounded sample: about ``per_language``
-documents of each language, chosen by a hash, and ``windows`` windows at hashed places of each. The model
-is a few thousand numbers, broadcast to the tasks; prediction is one pass without a shuffle.
+It is trained in numpy by backpropagation through time on a bounded sample: at most ``per_language``
+different texts of each language, those of the least hashes, and ``windows`` windows at hashed places of each.
+Copies of a text count once. The model is a few thousand numbers, broadcast to the tasks; prediction is one
+pass without a shuffle.
 
 Only ``text`` is read for a prediction. A NULL text or one without a letter is ``und`` with score 0,
 and so is every text when no label can be learned. Empty windows do not occur; the last window of a text is
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nodeloom.llm.columns import id_as_number, id_as_text
@@ -32,7 +33,10 @@ WINDOWS = 2
 EPOCHS = 14
 BATCH = 160
 RATE = 0.02
-BLOCK = 8192
+# Windows that go through the network together: few enough for a core's cache.
+BLOCK = 2048
+# Texts drawn at first, in multiples of those wanted.
+SURPLUS = 4
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -51,11 +55,13 @@ class Direction:
         size = len(self.recur)
         h = np.zeros((x.shape[1], size), np.float32)
         out = np.empty((*x.shape, size), np.float32)
+        # The gates need the exponential of the negative sum.
+        sign = np.repeat(np.array([-1, 1], np.float32), [2 * size, size])
+        table, recur = self.table * sign, self.recur * sign
         for t in range(len(x)):
-            a, u = self.table[x[t]], h @ self.recur
+            a, u = table[x[t]], h @ recur
             gates = a[:, : 2 * size]
             gates += u[:, : 2 * size]
-            np.negative(gates, out=gates)
             np.exp(gates, out=gates)
             gates += 1
             np.reciprocal(gates, out=gates)
@@ -177,16 +183,18 @@ class Network:
 def training_windows(docs: DataFrame, per_language: int = PER_LANGUAGE, windows: int = WINDOWS) -> list[tuple[str, str]]:
     """``lang, window`` of a bounded sample of ``docs`` with a label and a text.
 
-    Languages are counted first; a document is chosen when its hash falls below the share that makes
-    about ``per_language`` documents of its language.
+    The different texts of each language are counted first, about; a few times more texts than wanted are drawn by
+    their hash, and the wanted ones of them are those of the least hashes.
     """
     labelled = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text")
-    counts = labelled.groupBy("lang").count().collect()
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("texts")).collect()
     if not counts:
         return []
-    share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(per_language / r["count"]))))
+    share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(SURPLUS * per_language / r["texts"]))))
     draw = lambda *more: F.pmod(F.xxhash64("text", *map(F.lit, more)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = labelled.where(draw() < share[F.col("lang")])
+    drawn = labelled.where(draw() < share[F.col("lang")]).distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(draw(), "text"))
+    chosen = drawn.withColumn("place", place).where(F.col("place") <= per_language)
 
     def window(n: int) -> Column:
         begin = F.floor(draw(n) * F.greatest(F.lit(1), F.length("text") - WINDOW)).cast("int") + 1
@@ -214,10 +222,11 @@ def predict(docs: DataFrame, network: Network | None) -> DataFrame:
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if network is None:
         return docs.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    held = docs.sparkSession.sparkContext.broadcast(network)
+    held = docs.sparkSession.sparkContext.broadcast((network.labels, network.weights()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = held.value
+        labels, (ahead, ahead_recur, behind, behind_recur, output, bias) = held.value
+        model = Network(labels, Direction(ahead, ahead_recur), Direction(behind, behind_recur), output, bias)
         names = np.array(model.labels, object)
         for batch in batches:
             known = batch["letter"].to_numpy(bool)

@@ -98,7 +98,7 @@ def _(spark, d):
 
 @query("op6_near_dedup")
 def _(spark, d):
-    return near_dedup.find_components(table(spark, d, "documents"))
+    return near_dedup.find_components(table(spark, d, "documents"), near_dedup.CONTRACT)
 
 
 @query("op7_suffix_dedup")

@@ -148,3 +148,15 @@ def test_scores_of_odd_texts(spark):
     none = hm.train(docs.limit(0), states=2)
     assert {(r.n_known, r.base_score) for r in hm.score(docs.where("doc_id = 1"), none).collect()} == {(0, 0.0)}
     assert hm.score(docs.limit(0), trained).count() == 0
+
+
+def test_copies_do_not_crowd_out_a_language(spark):
+    """Thousands of copies of one text are one text: its language is learned, and the sample keeps its bound."""
+    same, rng = "the same words of one text again and again", np.random.default_rng(1)
+    words = "une deux trois quatre cinq six sept huit neuf dix".split()
+    rows = [(n, same, "en") for n in range(3_000)]
+    rows += [(n, " ".join(rng.choice(words, 12)), "fr") for n in range(3_000)]
+    sample = language_id.training_windows(frame(spark, rows), 40, 2)
+    assert Counter(lang for lang, _ in sample) == {"en": 2, "fr": 80}
+    again = language_id.training_windows(frame(spark, rows[::-1]).repartition(7), 40, 2)
+    assert again == sample

@@ -50,7 +50,7 @@ def test_stages(spark, odd):
     second = step("near_duplicates", kept)
     assert second.columns == columns
     left = second.collect()
-    judged = list(brute_components([(r.doc_id, r.text) for r in kept]))
+    judged = list(brute_components([(r.doc_id, r.text) for r in kept], 5, 80))
     assert Counter(left) == Counter({r for r, j in zip(kept, judged) if j[3]}) and len(left) < len(kept)
 
     third = step("decontamination", left)
@@ -89,3 +89,20 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, FOLDER)
         assert out.count() == 0
+
+
+def test_clashing_columns_and_near_copies(spark):
+    """Columns named like the stages' own, and a copy with a fifth more text: similarity 0.8 or more goes."""
+    text = " ".join(f"word{n}" for n in range(400))
+    near, far = text + " " + " ".join(f"more{n}" for n in range(90)), text + " " + " ".join(f"extra{n}" for n in range(110))
+    names = "row _row _hit _mixed key _key copies spans size kept".split()
+    rows = [(n, t, "en", "s", len(t), *["x"] * len(names)) for n, t in enumerate((text, near, far, " ".join(f"other{n}" for n in range(300))))]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{c} string" for c in names)
+    docs, stages = spark.createDataFrame(rows, schema), dict(corpus_pipeline.STAGES)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, FOLDER)
+        assert out.columns == docs.columns
+        want = {0, 2, 3} if name == "near_duplicates" else {0, 1, 2, 3}
+        assert {r.doc_id for r in out.collect()} == want
+    last = stages["source_mixing"](spark, docs, FOLDER)
+    assert last.columns == [*[c for c in docs.columns if c != "copies"], "copies"] and {r.copies for r in last.collect()} <= {1, 2}
