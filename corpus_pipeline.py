@@ -4,8 +4,10 @@ Each stage takes all that its predecessor kept. Rejected documents go, near copi
 of the least id, documents that hold a benchmark window go, secrets are blanked out in the rest,
 and the last stage says how often each document is taken so that the sources meet their targets.
 
-A document is told apart by its id and text; repeated rows are reduced to one by the second stage. An
-empty table passes through. All columns but the text (and its length) are carried along unread.
+Near copies are those of five-word shingles at a similarity of 0.8 or more. A document is told apart by its id
+and text, in a 128-bit key; rows alike in both are reduced by the second stage to the one whose other columns come
+first. An empty table passes through. All columns but the text (and its length) are carried along unread,
+whatever their names; only the last stage adds one, ``copies``, and replaces an earlier column of that name.
 """
 
 from __future__ import annotations
@@ -14,29 +16,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nodeloom.llm import decontaminate, mixing, near_dedup, quality, secret_scan
+from nodeloom.llm.columns import free_name, row_key
 from nodeloom.runtime import store_table
 
 # Regular expressions in Java's dialect, minwise hashing and Newton steps have no DuckDB form; see tests/llm.
 ORACLE_SQL = None
 
 
-def _key():
-    return F.xxhash64("doc_id", "text")
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_passing(docs, quality.STRICT)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.keep_one(docs)
+    return near_dedup.keep_one(docs, near_dedup.NEAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.find_overlaps(docs.select(_key().alias("doc_id"), "text"), benchmark)
-    hit = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_hit"))
-    return docs.join(hit, _key() == F.col("_hit"), "left_anti")
+    found = decontaminate.find_overlaps(docs.select(row_key().alias("doc_id"), "text"), benchmark)
+    key = free_name(docs, "key")
+    hit = found.where(F.size("spans") > 0).select(F.col("doc_id").alias(key))
+    return docs.withColumn(key, row_key()).join(hit, key, "left_anti").drop(key)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +46,11 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with ``copies``."""
-    mixed = mixing.mix(docs.select(_key().alias("doc_id"), "text", "source"))
-    taken = mixed.groupBy(F.col("doc_id").alias("_mixed")).agg(F.max("copies").alias("copies")).where("copies > 0")
-    return docs.drop("copies").join(taken, _key() == F.col("_mixed")).drop("_mixed")
+    mixed = mixing.mix(docs.select(row_key().alias("doc_id"), "text", "source"))
+    docs = docs.drop("copies")
+    key = free_name(docs, "key")
+    taken = mixed.groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias("copies")).where("copies > 0")
+    return docs.withColumn(key, row_key()).join(taken, key).drop(key)
 
 
 STAGES = [
