@@ -24,6 +24,8 @@ MAX_ARRAY = 2**31 - 16
 # Edge of the tiles that a task multiplies, and most tiles a side that meet in one part.
 TILE = 32
 TILES_PER_PART = 64
+# Edge of the tiles that a covariance is made of.
+COVARIANCE_TILE = 128
 
 
 class Shape(NamedTuple):
@@ -240,18 +242,45 @@ def column_cosines(gram: DataFrame) -> DataFrame:
 
 def covariance(coo: DataFrame, dims: Shape) -> DataFrame:
     """Sample covariance of the columns; columns that share no row have one too, so all pairs are returned."""
+    return mirror_upper(covariance_upper(coo, dims))
+
+
+def covariance_upper(coo: DataFrame, dims: Shape) -> DataFrame:
+    """The cells ``i <= j`` of the sample covariance.
+
+    They are made tile by tile from the column means, at most ``MAX_COLUMNS`` numbers that go to the tasks, and
+    from the stored products of the tile: only tiles are joined, never cells.
+    """
     if dims.rows < 2:
         raise ValueError("covariance needs at least two rows")
     if dims.cols > MAX_COLUMNS:
         raise ValueError(f"{dims.cols} columns exceed the limit of {MAX_COLUMNS}")
-    n = F.lit(float(dims.rows))
-    means = coo.groupBy("j").agg((F.sum("v") / n).alias("mean"))
-    found = fill_zeros(gramian(coo), Shape(dims.cols, dims.cols))
-    for side in ("i", "j"):
-        named = means.select(F.col("j").alias(side), F.col("mean").alias(f"mean_{side}"))
-        found = found.join(named, side, "left")
-    product = F.coalesce(F.col("mean_i") * F.col("mean_j"), F.lit(0.0))
-    return found.select("i", "j", ((F.col("v") - n * product) / (n - 1)).alias("v"))
+    found = coo.groupBy("j").agg(F.sum("v").alias("total")).toArrow()
+    means = np.zeros(dims.cols)
+    means[found["j"].to_numpy()] = found["total"].to_numpy() / dims.rows
+    n, cols, count = dims.rows, dims.cols, -(-dims.cols // COVARIANCE_TILE)
+    edge = F.lit(COVARIANCE_TILE).cast("bigint")
+    at = (F.col("i") % edge * edge + F.col("j") % edge).cast("int").alias("at")
+    held = upper_gramian(coo).select((F.col("i") - F.col("i") % edge).alias("top"), (F.col("j") - F.col("j") % edge).alias("side"), F.struct(at, "v").alias("e"))
+    tiles = held.groupBy("top", "side").agg(F.collect_list("e").alias("e")).select("top", "side", "e.at", "e.v")
+    row = ((F.col("id") - F.col("id") % count) / count).cast("bigint")
+    grid = coo.sparkSession.range(count * count).select((row * edge).alias("top"), (F.col("id") % count * edge).alias("side")).where("top <= side")
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tops, sides = (batch.column(k).to_numpy() for k in (0, 1))
+            for k in range(batch.num_rows):
+                i = np.arange(tops[k], min(tops[k] + COVARIANCE_TILE, cols))
+                j = np.arange(sides[k], min(sides[k] + COVARIANCE_TILE, cols))
+                products = np.zeros(COVARIANCE_TILE * COVARIANCE_TILE)
+                if batch.column(2)[k].is_valid:
+                    products[batch.column(2)[k].values.to_numpy()] = batch.column(3)[k].values.to_numpy()
+                cells = products.reshape(COVARIANCE_TILE, -1)[: len(i), : len(j)] - n * np.outer(means[i], means[j])
+                keep = i[:, None] <= j
+                r, c = np.nonzero(keep)
+                yield pa.RecordBatch.from_arrays([pa.array(i[r]), pa.array(j[c]), pa.array(cells[keep] / (n - 1))], names=["i", "j", "v"])
+
+    return grid.join(tiles, ["top", "side"], "left").select("top", "side", "at", "v").mapInArrow(expand, "i bigint, j bigint, v double")
 
 
 def drop_zeros(coo: DataFrame) -> DataFrame:

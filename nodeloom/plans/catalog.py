@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from nodeloom.functions import vectors as V
 from nodeloom.operators import adjacency, binning, blocks, clustering, coo, degrees, edges, ego, embedding, factor, rowmatrix
 from nodeloom.operators.pagerank import pagerank
 from nodeloom.plans import report, tables
-from nodeloom.runtime import cut_lineage, work_path
+from nodeloom.runtime import cut_lineage, lifetime, work_path
 from nodeloom.sources import edge_lists, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +57,33 @@ def _(spark, d):
     return edge_lists.parse_edges(tables.edge_lines(spark, d), weighted=True)
 
 
+def _edge_file(spark, d) -> str:
+    """The order lines as text files below the shared folder."""
+    path = work_path(spark, "edges")
+    tables.edge_lines(spark, d).write.text(path)
+    return path
+
+
+@query("s1_read_edge_file")
+def _(spark, d):
+    return edge_lists.read_edges(spark, _edge_file(spark, d))
+
+
+@query("s2_read_weighted_edge_file")
+def _(spark, d):
+    return edge_lists.read_edges(spark, _edge_file(spark, d), weighted=True)
+
+
+@query("g19_report_by_flags")
+def _(spark, d):
+    """Degrees, their distribution and PageRank, chosen by flags, as the report writes them; all read back."""
+    path = work_path(spark, "report")
+    report.write_report(tables.edges(spark, d), path, report.ReportOptions(total_degree=True, degree_vs_count=True, svd=False, combined=False))
+    degrees_ = spark.read.schema("a bigint, b bigint").option("sep", "\t").csv(f"{path}/total_degree").withColumn("part", F.lit("total_degree"))
+    counts = spark.read.schema("a bigint, b bigint").option("sep", "\t").csv(f"{path}/degree_vs_count").withColumn("part", F.lit("degree_vs_count"))
+    return degrees_.unionByName(counts)
+
+
 @query("s5_tsv_round_trip")
 def _(spark, d):
     path = work_path(spark, "total-degree")
@@ -427,6 +455,14 @@ def _upper_digest(upper: DataFrame, digits: int) -> DataFrame:
     return rounded(sums, digits, "total", "squares")
 
 
+@query("m5_coordinate_wide_covariance")
+def _(spark, d):
+    """Supplier by part as coordinates, a column for every part: per column the sums of its cells up to the diagonal."""
+    m = tables.supplier_parts(spark, d)
+    upper = coo.covariance_upper(m, coo.shape(m))
+    return rounded(upper.groupBy("i").agg(F.sum("v").alias("total"), F.sum(F.col("v") * F.col("v")).alias("squares")), 3, "total", "squares")
+
+
 @query("m5_wide_covariance")
 def _(spark, d):
     """Supplier by part, a column for every part."""
@@ -716,6 +752,25 @@ def _(spark, d):
     return blocks.violations(good.where("not (bi = 2 and bj = 1)").unionByName(twice).unionByName(moved).unionByName(cut), dims, 100, 24)
 
 
+@query("m19_persist_levels")
+def _(spark, d):
+    """The sum and number of cells, read twice from a table kept at each level until the block ends."""
+    found = []
+    with lifetime(spark) as scope:
+        for name in ("MEMORY_ONLY", "MEMORY_AND_DISK", "DISK_ONLY"):
+            held = scope.persist(tables.supplier_parts(spark, d).withColumn("level", F.lit(name)), getattr(StorageLevel, name))
+            twice = [held.agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total")).first() for _ in range(2)]
+            found.append((name, twice[0].n, twice[0].total, twice[0] == twice[1]))
+    return spark.createDataFrame(found, "level string, n bigint, total double, same boolean")
+
+
+@query("m20_to_local")
+def _(spark, d):
+    """A matrix through the driver and back, zeros included."""
+    m = tables.measure(spark, d, "l_quantity")
+    return coo.from_local(spark, coo.to_local(m, coo.Shape(coo.shape(m).rows, GROUPS)))
+
+
 @query("m21_drop_zeros")
 def _(spark, d):
     m = _coo(spark, d).withColumn("v", F.when(F.abs("v") < 0.05, 0.0).otherwise(F.col("v")))

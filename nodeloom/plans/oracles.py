@@ -315,3 +315,15 @@ t AS (SELECT round(sum(squares - total * total / n) / (any_value(n) - 1), 4) AS
 k AS (SELECT unnest(range(n - 1)) AS j FROM r)
 SELECT p.j AS i, q.j AS j, 0.0::DOUBLE AS off, true AS falling, total FROM k p CROSS JOIN k q CROSS JOIN t""",
 }
+
+ORACLES |= {
+    "s1_read_edge_file": ORACLES["s1_parse_edges"],
+    "s2_read_weighted_edge_file": ORACLES["s2_parse_weighted_edges"],
+    "g19_report_by_flags": f"""WITH {E}, {TOTAL} SELECT nodeid AS a, degree AS b, 'total_degree' AS part FROM deg
+UNION ALL SELECT degree, CAST(count(*) AS BIGINT), 'degree_vs_count' FROM deg GROUP BY degree""",
+    "m5_coordinate_wide_covariance": ORACLES["m5_wide_covariance"].replace("(SELECT CAST(count(DISTINCT i) AS DOUBLE) AS n FROM a)", "(SELECT CAST(max(i) + 1 AS DOUBLE) AS n FROM a)"),
+    "m19_persist_levels": f"""WITH {_quantities("l_suppkey", "l_partkey")} SELECT level, count(*) AS n, sum(v) AS total, true AS same
+FROM a CROSS JOIN (SELECT unnest(['MEMORY_ONLY', 'MEMORY_AND_DISK', 'DISK_ONLY']) AS level) GROUP BY level""",
+    "m20_to_local": f"""WITH {QUANTITY}
+SELECT r.range AS i, c.range AS j, coalesce(a.v, 0) AS v FROM range((SELECT max(i) + 1 FROM a)) r CROSS JOIN range(50) c LEFT JOIN a ON a.i = r.range AND a.j = c.range""",
+}

@@ -424,3 +424,36 @@ def test_sampled_cosines_draw_alike(spark):
     assert all(abs(v - exact[k]) < 0.2 * exact[k] for k, v in once.items())
     without = cells(factor.similar_columns(rows, 0.0))
     assert without == pytest.approx({k: exact[k] for k in without}) and len(without) == 6
+
+
+def test_coordinate_covariance_by_tiles(spark, monkeypatch):
+    monkeypatch.setattr(coo, "COVARIANCE_TILE", 4)
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 4, (13, 11)) * (rng.random((13, 11)) < 0.4)
+    a[:, 5] = 0
+    stored = entries(spark, *[(int(i), int(j), a[i, j]) for i, j in zip(*np.nonzero(a))])
+    found = coo.covariance(stored, coo.Shape(13, 11))
+    assert found.count() == 121 and dense(found, 11, 11) == pytest.approx(np.cov(a.T), abs=1e-12)
+
+
+def test_lifetime_releases_what_it_stored(spark):
+    import glob
+
+    from nodeloom import runtime
+
+    base = runtime.checkpoint_folder(spark).removeprefix("file:")
+    before = set(glob.glob(f"{base}/table-*"))
+    with runtime.lifetime(spark) as scope:
+        held = scope.persist(runtime.store_table(spark.range(10)))
+        value = scope.broadcast({"a": 1})
+        with runtime.lifetime(spark):
+            runtime.store_table(spark.range(3))
+        out = scope.keep(held.where("id > 6"))
+        assert held.count() == 10 and value.value == {"a": 1}
+    assert len(set(glob.glob(f"{base}/table-*")) - before) == 1
+    assert sorted(r.id for r in out.collect()) == [7, 8, 9] and not held.is_cached
+    runtime.drop_stored(out)
+    with pytest.raises(ZeroDivisionError), runtime.lifetime(spark):
+        runtime.store_table(spark.range(3))
+        1 / 0
+    assert set(glob.glob(f"{base}/table-*")) == before
