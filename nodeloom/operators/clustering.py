@@ -40,7 +40,7 @@ def hot_nodes(degrees: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame | None:
 
 
 def annotate_degrees(simple: DataFrame, degrees: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """Add the degrees ``du``, ``dv`` of both ends to ``simple`` (``u, v``)."""
+    """Add the degrees ``du``, ``dv`` of both ends to ``simple`` (``u, v`` and any other columns)."""
     out = simple
     for end, other in (("u", "v"), ("v", "u")):
         out = join_hot(
@@ -50,7 +50,7 @@ def annotate_degrees(simple: DataFrame, degrees: DataFrame, hot: DataFrame | Non
             None if hot is None else hot.withColumnRenamed("nodeid", end),
             [F.col(other)],
         )
-    return out.select("u", "v", "du", "dv")
+    return out.select(*simple.columns, "du", "dv")
 
 
 def neighbour_degrees(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -70,7 +70,7 @@ def neighbour_degrees(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 
 def orient(annotated: DataFrame) -> DataFrame:
-    """``x, y, dx, dy`` with ``x`` ranking below ``y`` by (degree, id)."""
+    """``x, y, dx, dy`` with ``x`` ranking below ``y`` by (degree, id), and any other columns."""
     forward = (F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") < F.col("v")))
 
     def pick(a: str, b: str):
@@ -81,6 +81,7 @@ def orient(annotated: DataFrame) -> DataFrame:
         pick("v", "u").alias("y"),
         pick("du", "dv").alias("dx"),
         pick("dv", "du").alias("dy"),
+        *[c for c in annotated.columns if c not in ("u", "v", "du", "dv")],
     )
 
 
