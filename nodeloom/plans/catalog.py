@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark import StorageLevel
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -333,6 +335,30 @@ def _(spark, d):
     return _embedding_values(spark, d, dense_side=0)
 
 
+@query("g13_all_components")
+def _(spark, d):
+    """All components of the adjacency matrix: (AV)ᵀ(AV) is diagonal, falls, and its trace is the number of linked pairs.
+
+    Together with the lengths of V that leaves no room for a component that was passed over.
+    """
+    e = cut_lineage(tables.edges(spark, d).select((F.col("src") - 1).alias("i"), (F.col("dst") - 1).alias("j")).distinct().withColumn("v", F.lit(1.0)))
+    dims = coo.shape(e)
+    s, v = embedding.right_vectors(e, dims, min(dims))
+    names = [f"c{n}" for n in range(len(s))]
+    sums = e.join(v.withColumnRenamed("v", "q"), "j").groupBy("i").agg(Summarizer.sum(array_to_vector("q")).alias("row"))
+    image = rowmatrix.gramian(sums.select(vector_to_array("row").alias("row")), n_cols=len(names))
+    lengths = rowmatrix.gramian(v.withColumnRenamed("v", "row"), n_cols=len(names)).withColumnRenamed("v", "length")
+    own = F.col("i") == F.col("j")
+    after = image.where(own).select((F.col("i") - 1).alias("i"), F.col("v").alias("after"))
+    per = image.join(lengths, ["i", "j"]).groupBy("i").agg(
+        F.max(F.when(~own, F.greatest(F.abs("v"), F.abs("length"))).otherwise(0.0)).alias("off"),
+        F.max(F.when(own, F.col("v"))).alias("square"), F.max(F.when(own, F.col("length"))).alias("length"),
+    )
+    falling = F.col("square") >= F.coalesce("after", F.lit(0.0))
+    whole = per.join(after, "i", "left").select((F.col("i") + 1).alias("component"), "off", "length", falling.alias("falling"), F.sum("square").over(Window.partitionBy()).alias("total"))
+    return rounded(whole, 4, "off", "length", "total")
+
+
 def combined_core(spark: SparkSession, d: str) -> DataFrame:
     """The combined table without the embedding, bins taken on rounded ranks."""
     options = report.ReportOptions(svd=False)

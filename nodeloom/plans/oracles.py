@@ -327,3 +327,6 @@ FROM a CROSS JOIN (SELECT unnest(['MEMORY_ONLY', 'MEMORY_AND_DISK', 'DISK_ONLY']
     "m20_to_local": f"""WITH {QUANTITY}
 SELECT r.range AS i, c.range AS j, coalesce(a.v, 0) AS v FROM range((SELECT max(i) + 1 FROM a)) r CROSS JOIN range(50) c LEFT JOIN a ON a.i = r.range AND a.j = c.range""",
 }
+
+ORACLES["g13_all_components"] = f"""WITH {E}, n AS (SELECT count(DISTINCT (src, dst)) AS pairs, least(count(DISTINCT src), count(DISTINCT dst)) AS rank FROM e)
+SELECT CAST(unnest(range(1, rank + 1)) AS BIGINT) AS component, 0.0::DOUBLE AS off, 1.0::DOUBLE AS length, true AS falling, round(CAST(pairs AS DOUBLE), 4) AS total FROM n"""
