@@ -101,7 +101,7 @@ def test_forward_and_expected_counts_match_all_paths():
             for k, sym in zip(path, x):
                 want.emit[sym, k] += p / total
     got = hm.Expected.none(4, 3)
-    got.add(m, texts, [True] * len(texts))
+    got.add(m, texts)
     for a, b in ((got.start, want.start), (got.move, want.move), (got.emit, want.emit)):
         assert np.allclose(a, b, atol=1e-4)
 
@@ -114,7 +114,7 @@ def test_training_raises_the_likelihood():
         now = m.scores(texts).sum()
         assert now >= last - 1e-3
         counts = hm.Expected.none(4, 3)
-        counts.add(m, texts, [True] * len(texts))
+        counts.add(m, texts)
         m, last = m.updated(counts, np.full(4, 1e-9)), now
 
 
@@ -137,7 +137,40 @@ def test_base_scores_match_brute_force(spark):
 
 def test_frequent_words(spark):
     counts = spark.createDataFrame([(bytearray(w.encode()), c) for w, c in {"a": 9, "b": 4, "c": 4, "d": 1, "x" * 70: 50}.items()], "word binary, c bigint")
-    assert [list(hm.frequent(counts, n)) for n in (0, 1, 2, 3, 9)] == [[], [b"a"], [b"a"], [b"a", b"b", b"c"], [b"a", b"b", b"c", b"d"]]
+    assert [list(hm.frequent(counts, n)) for n in (0, 1, 2, 3, 9)] == [[], [b"a"], [b"a", b"b"], [b"a", b"b", b"c"], [b"a", b"b", b"c", b"d"]]
+
+
+def test_ties_fill_the_vocabulary(spark):
+    counts = spark.createDataFrame([(bytearray(b"%03d" % n), 7) for n in range(50)], "word binary, c bigint")
+    assert list(hm.frequent(counts, 40)) == [b"%03d" % n for n in range(40)]
+
+
+def test_stretched_steps_reach_no_less_likelihood(spark):
+    """Training with stretched steps settles, and its model is as good as that of usual steps."""
+    rng = np.random.default_rng(4)
+    kinds = [["a", "b", "c"], ["x", "y", "z"]]
+    texts = [" ".join(rng.choice(kinds[n % 2], 40)) for n in range(60)]
+    docs = frame(spark, [(n, t, None) for n, t in enumerate(texts)])
+    totals = []
+    for stretch in (1.0, hm.STRETCH):
+        trained = hm.train(docs, states=2, stretch=stretch)
+        totals.append(sum(r.score for r in hm.score(docs, trained).collect()))
+    assert totals[1] >= totals[0] - 1e-3 * abs(totals[0])
+
+
+def test_scores_are_probabilities_of_whole_texts(spark):
+    """What the query adds up for words of the large class is the model's exact total over all paths."""
+    docs = frame(spark, [(1, "a a b c", None), (2, "b d a", None), (3, "a e", None)])
+    trained = hm.train(docs, states=2, symbols=2)
+    counts = Counter(w for t in ("a a b c", "b d a", "a e") for w in t.split())
+    rare = {w: c for w, c in counts.items() if w.encode() not in trained.common}
+    over = sum(rare.values()) + len(rare) + 1
+    for r in hm.score(docs, trained).collect():
+        words = {1: "a a b c", 2: "b d a", 3: "a e"}[r.doc_id].split()
+        x = trained.model.numbers([w.encode() for w in words])
+        total = math.log10(sum(p for _, p in paths(trained.model, x)))
+        total += sum(math.log10((rare[w] + 1) / over) for w in words if w in rare)
+        assert r.score == pytest.approx(total)
 
 
 def test_scores_of_odd_texts(spark):
