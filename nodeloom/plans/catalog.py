@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nodeloom.functions import vectors as V
-from nodeloom.operators import adjacency, binning, blocks, clustering, coo, degrees, edges, ego, embedding, factor, rowmatrix
+from nodeloom.operators import adjacency, binning, blocks, clustering, coo, cubes, degrees, edges, ego, embedding, factor, rowmatrix
 from nodeloom.operators.pagerank import pagerank
 from nodeloom.plans import report, tables
 from nodeloom.runtime import cut_lineage, lifetime, work_path
@@ -249,6 +249,16 @@ def _(spark, d):
     return clustering.triangle_counts(tables.edges(spark, d))
 
 
+@query("g6_triangles_cells")
+def _(spark, d):
+    return cubes.triangles(tables.edges(spark, d))
+
+
+@query("g6_triangle_counts_cells")
+def _(spark, d):
+    return cubes.triangle_counts(tables.edges(spark, d))
+
+
 @query("g7_local_clustering")
 def _(spark, d):
     return rounded(clustering.local_clustering(tables.edges(spark, d)), CC_DIGITS, "cc")

@@ -161,7 +161,9 @@ SELECT nodeid, degree, coalesce(later, '') AS later FROM sd LEFT JOIN l ON x = n
     "g5_wedge_candidates": f"""WITH {E}, {ORIENTED} SELECT p.x, p.y, CAST(count(*) AS INTEGER) AS n, CAST(sum(q.y) AS BIGINT) AS id_sum
 FROM o p JOIN o q ON p.x = q.x AND (p.dy < q.dy OR (p.dy = q.dy AND p.y < q.y)) GROUP BY p.x, p.y""",
     "g6_triangles": f"WITH {E}, {TRIANGLES} SELECT x, y, z FROM tri",
+    "g6_triangles_cells": f"WITH {E}, {TRIANGLES} SELECT x, y, z FROM tri",
     "g6_triangle_counts": f"WITH {E}, {TRIANGLES} SELECT nodeid, triangles FROM tc",
+    "g6_triangle_counts_cells": f"WITH {E}, {TRIANGLES} SELECT nodeid, triangles FROM tc",
     "g7_local_clustering": f"WITH {E}, {LCC} SELECT nodeid, degree, triangles, round(cc, 9) AS cc FROM cc",
     "g8_average_clustering": f"WITH {E}, {LCC} SELECT round(sum(cc) / max(nodeid), 9) AS avg_cc, round(avg(cc), 9) AS mean_cc FROM cc",
     "g9_ego_nets": f"""WITH {E}, {SIMPLE},
