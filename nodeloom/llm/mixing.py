@@ -9,8 +9,11 @@ guards the step. Tilts are rounded, so that the order of a sum does not show. A
 
 Rates become copies: every document gets the whole part of its rate, and the words still missing
 are taken by documents in the order of a weighted hash, one more copy each, until the total is
-nearest to the target. The running total is made from sums per hash bucket and then within
-buckets, so that no task sees all of a source. The same table gives the same copies.
+nearest to the target. Where a long document ended that far from the target, later ones of at most twice the rest
+go on in the same way, until the rest is small or nothing fits. Running totals are made from sums per bucket and then within
+buckets. A bucket is a range of the logarithm of the hash's turn: whatever the rates, at most a share of 0.26 of a source's
+documents is expected in an octave of turns, and octaves are cut finer the more documents there are. Documents that
+wait for nothing are in no bucket, so that no task sees all of a source. The same table gives the same copies.
 
 NULL and empty texts have size 0 and take nothing. NULL sources are one source, the last. Repeated
 rows are mixed separately; rows alike in id and text share a hash and are taken one after another.
@@ -29,10 +32,12 @@ from nodeloom.runtime import store_table
 
 # The contract's weights, share and bound.
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
-STEPS = 40
+STEPS = 70
+NEWTON_STEPS = 25  # then the bracket is halved: 45 times from 2e4 is below the last digit of a tilt
 TOLERANCE = 1e-6
 BUCKET_ROWS = 5_000
 TILT_DIGITS = 6
+REST = 0.002  # of a target: a source nearer than that is not filled further
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -84,7 +89,7 @@ def tilts(sized: DataFrame, goals: DataFrame, most: float = MOST) -> DataFrame:
     )
     state = store_table(state)
     size, k, tilt = F.col("size"), F.col("k"), F.col("tilt")
-    for _ in range(STEPS):
+    for at in range(STEPS):
         rate = _rate(size, F.col("mean"), tilt, most)
         sums = (
             counts.join(state.select(F.col("source").alias("s"), "mean", "tilt"), F.col("source").eqNullSafe(F.col("s")))
@@ -95,11 +100,13 @@ def tilts(sized: DataFrame, goals: DataFrame, most: float = MOST) -> DataFrame:
         low, high = F.when(gap < 0, tilt).otherwise(F.col("low")), F.when(gap < 0, F.col("high")).otherwise(tilt)
         step = tilt - gap / F.col("h")
         edge = (F.col("target") <= 0) | (F.col("target") >= F.col("source_size") * most)  # no finite tilt
-        done = edge | F.coalesce(F.abs(gap) <= TOLERANCE * F.col("source_size"), F.lit(True))
+        narrow = F.col("high") - F.col("low") < 10.0 ** -(TILT_DIGITS + 1)
+        done = edge | narrow | F.coalesce(F.abs(gap) <= TOLERANCE * F.col("source_size"), F.lit(True))
+        inside = (F.col("_step") > F.col("_low")) & (F.col("_step") < F.col("_high")) & F.lit(at < NEWTON_STEPS)
         moved = (
             state.join(sums, F.col("source").eqNullSafe(F.col("s")), "left")
             .withColumns({"_low": low, "_high": high, "_step": step, "_done": done})
-            .withColumn("_next", F.when((F.col("_step") > F.col("_low")) & (F.col("_step") < F.col("_high")), F.col("_step")).otherwise((F.col("_low") + F.col("_high")) / 2))
+            .withColumn("_next", F.when(inside, F.col("_step")).otherwise((F.col("_low") + F.col("_high")) / 2))
         )
         state = store_table(
             moved.select(
@@ -110,6 +117,8 @@ def tilts(sized: DataFrame, goals: DataFrame, most: float = MOST) -> DataFrame:
         )
         if not state.where("not done").limit(1).count():
             break
+    else:
+        raise RuntimeError(f"tilts did not settle in {STEPS} steps")
     return state.select("source", "n", "source_size", "target", "mean", F.round("tilt", TILT_DIGITS).alias("tilt"))
 
 
@@ -133,25 +142,46 @@ def copies(sized: DataFrame, state: DataFrame, most: float = MOST) -> DataFrame:
     part = F.col("rate") - F.floor("rate")
     # The smaller -log(draw) / part, the earlier: documents come in the order of a draw by part.
     turn = F.when((part > 0) & (size > 0), -F.log("draw") / part)
-    placed = rated.withColumn("turn", turn).withColumn(
-        "bucket", F.floor((1 - F.exp(-F.col("turn"))) * F.greatest(F.lit(1), F.ceil(F.col("n") / BUCKET_ROWS))).cast("long")
+    # Row numbers are fixed by writing the table.
+    placed = store_table(rated.withColumn("turn", turn).withColumn("row", F.monotonically_increasing_id()))
+    octave = F.ceil(F.col("n") / (4 * BUCKET_ROWS))
+    waiting = placed.where("turn is not null").select(
+        "row", "doc_id", source.alias("s"), "size", "turn", F.coalesce(F.floor(F.log2("turn") * octave), F.lit(-(1 << 62))).alias("bucket")
     )
-    placed = store_table(placed)
-    totals = placed.groupBy("source", "bucket").agg(
-        F.sum(F.when(F.col("turn").isNotNull(), size).otherwise(0)).alias("more"),
-        F.sum(F.floor("rate") * size).alias("whole"),
-    )
-    by_source = Window.partitionBy("source")
-    before = by_source.orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(
-        F.col("source").alias("s"), F.col("bucket").alias("b"),
-        F.sum("whole").over(by_source).alias("whole"), F.coalesce(F.sum("more").over(before), F.lit(0)).alias("start"),
-    )
-    joined = placed.join(starts, source.eqNullSafe(F.col("s")) & F.col("bucket").eqNullSafe(F.col("b")))
-    within = Window.partitionBy("source", "bucket").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.col("start") + F.sum(F.when(F.col("turn").isNotNull(), size).otherwise(0)).over(within)
-    # A document is taken when that brings the total nearer to the target: half its size fits.
-    fits = F.col("turn").isNotNull() & (F.col("whole") + end - size / 2 <= F.col("target"))
-    return joined.withColumn("copies", (F.floor("rate") + F.when(fits, 1).otherwise(0)).cast("long")).select(
-        "doc_id", "source", "size", "draw", "source_size", "target", "rate", "copies"
+    room = store_table(
+        placed.groupBy(source.alias("s")).agg((F.first("target") - F.sum(F.floor("rate") * size)).alias("room"), (F.first("target") * REST).alias("small"))
     )
+    more = None
+    while True:
+        found = store_table(_filled(waiting, room))
+        if found.isEmpty():
+            break
+        more = found if more is None else more.unionByName(found)
+        words_taken = found.groupBy(F.col("s").alias("t")).agg(F.sum("size").alias("taken"))
+        room = store_table(
+            room.join(words_taken, F.col("s").eqNullSafe(F.col("t"))).select("s", (F.col("room") - F.col("taken")).alias("room"), "small").where("room > small")
+        )
+        if room.isEmpty():
+            break
+        waiting = waiting.join(more.select("row"), "row", "left_anti")
+    whole = F.floor("rate").cast("long")
+    if more is not None:
+        placed = placed.join(more.select("row", F.lit(1).alias("one")), "row", "left")
+        whole = whole + F.coalesce("one", F.lit(0))
+    return placed.select("doc_id", "source", "size", "draw", "source_size", "target", "rate", whole.cast("long").alias("copies"))
+
+
+def _filled(waiting: DataFrame, room: DataFrame) -> DataFrame:
+    """``row, s, size`` of the waiting documents that bring a source's total nearer to its target, in their turn.
+
+    A document of more than twice the room would lead further away and is passed over; the first of the others is always taken.
+    """
+    size, key = F.col("size"), F.col("s").eqNullSafe(F.col("t"))
+    fitting = waiting.join(room.select(F.col("s").alias("t"), "room"), key).where("size <= 2 * room").drop("t")
+    totals = fitting.groupBy("s", "bucket").agg(F.sum("size").alias("words"))
+    before = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(F.col("s").alias("t"), F.col("bucket").alias("b"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
+    # Only buckets that begin within the room are read in order.
+    reached = fitting.join(starts, key & (F.col("bucket") == F.col("b"))).where("start <= room")
+    within = Window.partitionBy("s", "bucket").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return reached.withColumn("end", F.col("start") + F.sum("size").over(within)).where(F.col("end") - size / 2 <= F.col("room")).select("row", "s", "size")

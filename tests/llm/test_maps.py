@@ -141,3 +141,19 @@ def test_mixing_of_few_rows(spark):
     assert mixing.mix(spark.createDataFrame([], shape)).count() == 0
     assert [r.copies for r in mixing.mix(spark.createDataFrame([(1, "", "a")], shape)).collect()] == [0]
     assert mixing.mix(spark.createDataFrame([(1, "a b", "a")], shape)).first().copies in (1, 2)
+
+
+def test_mixing_passes_over_a_long_document(spark):
+    """One document longer than what is missing does not end the filling; a full source has no waiting documents."""
+    rng = random.Random(9)
+    rows = [(n, "w " * (900 if n % 40 == 0 else rng.randint(1, 9)), "a") for n in range(1200)]
+    rows += [(5000 + n, "w " * rng.randint(1, 9), "b") for n in range(600)] + [(9000, "w " * 30_000, "c")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    taken, target, copies = defaultdict(int), {}, defaultdict(set)
+    for r in mixing.mix(docs).collect():
+        taken[r.source] += r.copies * r.size
+        target[r.source] = r.target
+        copies[r.source].add(r.copies)
+    for s in "ab":
+        assert abs(taken[s] - target[s]) <= max(5, mixing.REST * target[s]), (s, taken[s], target[s])
+    assert copies["b"] == {2}
