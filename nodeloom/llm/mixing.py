@@ -163,10 +163,10 @@ def copies(sized: DataFrame, state: DataFrame, most: float = MOST) -> DataFrame:
         )
         if room.isEmpty():
             break
-        waiting = waiting.join(more.select("row"), "row", "left_anti")
+        waiting = waiting.join(more.select("row").hint("merge"), "row", "left_anti")
     whole = F.floor("rate").cast("long")
     if more is not None:
-        placed = placed.join(more.select("row", F.lit(1).alias("one")), "row", "left")
+        placed = placed.join(more.select("row", F.lit(1).alias("one")).hint("merge"), "row", "left")
         whole = whole + F.coalesce("one", F.lit(0))
     return placed.select("doc_id", "source", "size", "draw", "source_size", "target", "rate", whole.cast("long").alias("copies"))
 

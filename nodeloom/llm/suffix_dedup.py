@@ -18,6 +18,12 @@ Both extents are exact, so is the result. Of equal contexts, told by the anchor
 is sorted with their count, and what it covers is joined back to all their places, so that copies
 never gather in a task; a part holds distinct contexts only. Matches never cross documents.
 
+An anchor string amid many different contexts, such as one in a common line, does not make one group. Two contexts with L
+common bytes on the left and R on the right repeat a start only if L + R >= ``LENGTH``, and then there is a multiple l of ``GRAIN``
+with L >= l and R >= ``LENGTH - GRAIN - l``. So a context of such a string is sorted once for each l, with the
+others that have the same l bytes on the left and the same further bytes on the right; every pair that counts meets in one of these
+cells, and a line of less than ``LENGTH - GRAIN`` bytes fills none. Joins by anchor string and by context split keys of many rows.
+
 NULL and empty texts have no bytes; texts shorter than ``LENGTH`` keep all. Repeated rows repeat each
 other. Long texts are scanned in steps with an overlap.
 """
@@ -34,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nodeloom.llm.columns import id_as_number, id_as_text
+from nodeloom.operators.skew import PARTS, hot_keys, join_hot
 from nodeloom.runtime import shuffle_partitions, store_table
 
 LENGTH = 400
@@ -42,6 +49,10 @@ SPAN = LENGTH - KMER + 1
 STEP = 1 << 22
 RUN_BYTES = 48_000_000
 CONTEXTS_PER_PART = 40_000
+WIDE = 1_000  # different contexts of an anchor string, beyond which they are sorted by cell
+GRAIN = 50
+CELL = 8  # bytes before a suffix that name its cell
+HOT = 50_000  # rows of a key, beyond which a join splits it
 
 _BYTES = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, 256, dtype=np.uint64)
 _ODD = 0x9E3779B97F4A7C15
@@ -271,11 +282,11 @@ def merge_part(rows: pd.DataFrame) -> pd.DataFrame:
     group: list[tuple] = []
     common: list[int] = []
     for shared, suffix, (left, n, name) in LoserTree(runs):
-        if shared < KMER and group:
+        if shared < CELL + KMER and group:
             out.extend(_covers(group, common))
             group, common = [], []
-        common.append(shared)
-        group.append((suffix, left, n, name))
+        common.append(shared - CELL)
+        group.append((suffix[CELL:], left, n, name))
     out.extend(_covers(group, common))
     return pd.DataFrame([(*name, low, high) for name, low, high in out], columns=["kmer", "context", "least", "most"])
 
@@ -300,12 +311,14 @@ def _sorted_runs(parts: int):
         for batch in batches:
             for text, wanted in zip(batch["text"], batch["wanted"]):
                 data = text.encode("utf-8", "surrogatepass")
-                anchors = {w["anchor"]: w["n"] for w in wanted}
+                anchors = {w["anchor"]: (w["n"], w["wide"]) for w in wanted}
                 for p, s, e, k in zip(*(x.tolist() for x in contexts(data))):
                     if p in anchors:
-                        suffix, left = data[p : e + LENGTH], data[s:p]
-                        held.append((k % parts, suffix, left, k, _context_hash(data, p, s, e), anchors[p]))
-                        size += e + LENGTH - s + 200
+                        suffix, left, (n, wide) = data[p : e + LENGTH], data[s:p], anchors[p]
+                        context = _context_hash(data, p, s, e)
+                        for part, cell in _cells(suffix, left) if wide else [(k, bytes(CELL))]:
+                            held.append((part % parts, cell + suffix, left, k, context, n))
+                            size += e + LENGTH - s + 200
                 if size > RUN_BYTES:
                     yield flush()
                     held, size, number = [], 0, number + 1
@@ -314,6 +327,15 @@ def _sorted_runs(parts: int):
     return run
 
 
+def _cells(suffix: bytes, left: bytes) -> Iterator[tuple[int, bytes]]:
+    """Number and name of the cells of a context."""
+    for l in range(0, LENGTH, GRAIN):
+        r = LENGTH - GRAIN - l
+        if l <= len(left) and r <= len(suffix):
+            name = xxhash.xxh3_64_digest(left[len(left) - l :] + suffix[: max(r, KMER)], l + 1)
+            yield int.from_bytes(name), name
+
+
 def _context_hash(data: bytes, anchor: int, first: int, last: int) -> int:
     return xxhash.xxh3_64_intdigest(data[first : last + LENGTH], anchor - first) - (1 << 63)
 
@@ -332,11 +354,14 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     """``row, begin, end``: byte ranges of repeated strings; ``row`` is :func:`row_key`."""
     texts = docs.select(row_key().alias("row"), "text").where(F.octet_length("text") >= LENGTH)
     anchors = store_table(texts.mapInPandas(_anchor_rows, "row bigint, anchor bigint, kmer bigint, context bigint"))
-    twice = anchors.groupBy("kmer").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("kmer")
-    places = store_table(anchors.join(twice, "kmer"))
-    one = places.groupBy("kmer", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "anchor")).alias("first"))
-    wanted = one.groupBy("first.row").agg(F.collect_list(F.struct("first.anchor", "n")).alias("wanted"))
-    total = one.count()
+    twice = store_table(anchors.groupBy("kmer").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
+    spread = F.col("row"), F.col("anchor")
+    places = store_table(join_hot(anchors, twice.select("kmer"), ["kmer"], hot_keys(twice, ["kmer"], "k", HOT), spread))
+    one = store_table(places.groupBy("kmer", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "anchor")).alias("first")))
+    wide = hot_keys(one.groupBy("kmer").agg(F.count(F.lit(1)).alias("k")), ["kmer"], "k", WIDE)
+    marked = one.join(F.broadcast(wide), "kmer", "left").withColumn("wide", F.col(PARTS).isNotNull())
+    wanted = marked.groupBy("first.row").agg(F.collect_list(F.struct("first.anchor", "n", "wide")).alias("wanted"))
+    total = marked.agg(F.sum(F.when(F.col("wide"), LENGTH // GRAIN).otherwise(1))).first()[0] or 0
     parts = max(shuffle_partitions(docs.sparkSession), -(-total // CONTEXTS_PER_PART))
     shape = "part bigint, run bigint, seq bigint, common int, rest binary, left binary, kmer bigint, context bigint, n bigint"
     covered = (
@@ -345,8 +370,10 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
         .repartition(parts, "part")
         .groupBy("part")
         .applyInPandas(merge_part, "kmer bigint, context bigint, least bigint, most bigint")
+        .distinct()
     )
-    return places.join(covered, ["kmer", "context"]).select(
+    joined = join_hot(places, covered, ["kmer", "context"], hot_keys(one, ["kmer", "context"], "n", HOT), spread)
+    return joined.select(
         "row", (F.col("anchor") - F.col("most")).alias("begin"), (F.col("anchor") - F.col("least") + LENGTH).alias("end")
     )
 

@@ -123,7 +123,10 @@ def digests(df):
     return Counter((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in df.collect())
 
 
-def test_removed_bytes_match_brute_force(spark):
+@pytest.mark.parametrize("wide, hot", [(suffix_dedup.WIDE, suffix_dedup.HOT), (1, 3)])
+def test_removed_bytes_match_brute_force(spark, monkeypatch, wide, hot):
+    monkeypatch.setattr(suffix_dedup, "WIDE", wide)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rng = random.Random(4)
     text = lambda n, letters="abcdefgh éè\n": "".join(rng.choices(letters, k=n))
     shared = [text(n) for n in (390, 399, 400, 401, 430, 700, 1500)]
@@ -141,6 +144,20 @@ def test_removed_bytes_match_brute_force(spark):
     assert digests(suffix_dedup.remove_repeats(frame(spark, rows))) == Counter(brute_removed(rows))
 
 
+def test_cells_of_a_common_line_hold_one_context():
+    """Every pair that repeats a start shares a cell; contexts around a shorter line share none."""
+    rng = random.Random(8)
+    line, far = rng.randbytes(340), lambda n: rng.randbytes(n)
+    names = Counter(c for _ in range(200) for _, c in suffix_dedup._cells(line[150:] + far(201), far(200) + line[:150]))
+    assert max(names.values()) == 1
+    for _ in range(300):
+        l = rng.randint(0, 368)
+        r = rng.randint(max(400 - l, 32), 400)
+        left, right = far(l), far(r)
+        a, b = ({c for _, c in suffix_dedup._cells(right + far(400 - r), far(368 - l) + left)} for _ in range(2))
+        assert a & b
+
+
 def test_removed_bytes_of_small_table(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     got = Counter(tuple(r) for r in QUERIES["op7_suffix_dedup"](spark, "/root/testdata/sf0.001").collect())
