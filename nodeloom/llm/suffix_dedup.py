@@ -52,7 +52,7 @@ CONTEXTS_PER_PART = 40_000
 WIDE = 1_000  # different contexts of an anchor string, beyond which they are sorted by cell
 GRAIN = 50
 CELL = 8  # bytes before a suffix that name its cell
-HOT = 50_000  # rows of a key, beyond which a join splits it
+HOT = 1_000  # a join splits keys of more than a thousandth of its rows, of which there are fewer than a thousand
 
 _BYTES = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, 256, dtype=np.uint64)
 _ODD = 0x9E3779B97F4A7C15
@@ -350,13 +350,18 @@ def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["row", "anchor", "kmer", "context"])
 
 
+def _frequent(counts: DataFrame, keys: list[str], rows: str) -> DataFrame:
+    total = counts.agg(F.sum(rows)).first()[0] or 0
+    return hot_keys(counts, keys, rows, max(1, total // HOT))
+
+
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """``row, begin, end``: byte ranges of repeated strings; ``row`` is :func:`row_key`."""
     texts = docs.select(row_key().alias("row"), "text").where(F.octet_length("text") >= LENGTH)
     anchors = store_table(texts.mapInPandas(_anchor_rows, "row bigint, anchor bigint, kmer bigint, context bigint"))
     twice = store_table(anchors.groupBy("kmer").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
     spread = F.col("row"), F.col("anchor")
-    places = store_table(join_hot(anchors, twice.select("kmer"), ["kmer"], hot_keys(twice, ["kmer"], "k", HOT), spread))
+    places = store_table(join_hot(anchors, twice.select("kmer"), ["kmer"], _frequent(twice, ["kmer"], "k"), spread))
     one = store_table(places.groupBy("kmer", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "anchor")).alias("first")))
     wide = hot_keys(one.groupBy("kmer").agg(F.count(F.lit(1)).alias("k")), ["kmer"], "k", WIDE)
     marked = one.join(F.broadcast(wide), "kmer", "left").withColumn("wide", F.col(PARTS).isNotNull())
@@ -372,7 +377,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
         .applyInPandas(merge_part, "kmer bigint, context bigint, least bigint, most bigint")
         .distinct()
     )
-    joined = join_hot(places, covered, ["kmer", "context"], hot_keys(one, ["kmer", "context"], "n", HOT), spread)
+    joined = join_hot(places, covered, ["kmer", "context"], _frequent(one, ["kmer", "context"], "n"), spread)
     return joined.select(
         "row", (F.col("anchor") - F.col("most")).alias("begin"), (F.col("anchor") - F.col("least") + LENGTH).alias("end")
     )

@@ -123,7 +123,7 @@ def digests(df):
     return Counter((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in df.collect())
 
 
-@pytest.mark.parametrize("wide, hot", [(suffix_dedup.WIDE, suffix_dedup.HOT), (1, 3)])
+@pytest.mark.parametrize("wide, hot", [(suffix_dedup.WIDE, suffix_dedup.HOT), (1, 10)])
 def test_removed_bytes_match_brute_force(spark, monkeypatch, wide, hot):
     monkeypatch.setattr(suffix_dedup, "WIDE", wide)
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
