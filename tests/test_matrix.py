@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nodeloom.functions import vectors as V
-from nodeloom.operators import adjacency, blocks, coo, embedding, factor, lanczos, rowmatrix
+from nodeloom.operators import adjacency, blocks, coo, embedding, factor, lanczos, leading, rowmatrix
 
 
 def rows_of(spark, *rows):
@@ -457,3 +457,62 @@ def test_lifetime_releases_what_it_stored(spark):
         runtime.store_table(spark.range(3))
         1 / 0
     assert set(glob.glob(f"{base}/table-*")) == before
+
+
+def sparse_entries(rows, cols, n, seed=4):
+    r = np.random.default_rng(seed)
+    places = np.unique(np.stack([r.integers(0, rows, n), r.integers(0, cols, n)], 1), axis=0)
+    return [(int(i), int(j), float(v)) for (i, j), v in zip(places, r.normal(size=len(places)))]
+
+
+def test_sparse_rows_wider_than_vectors_on_the_driver(spark):
+    """12 components of 800,000 columns: more cells than the driver holds over the columns."""
+    found = sparse_entries(30, 800_000, 6_000)
+    used, at = np.unique([j for _, j, _ in found], return_inverse=True)
+    a = np.zeros((30, len(used)))
+    a[[i for i, _, _ in found], at] = [v for _, _, v in found]
+    rows = coo.to_sparse_rows(entries(spark, *found), 800_000, piece=50_000).cache()
+    assert rows.count() > 30
+    svd = factor.svd(rows, 12, compute_u=True)
+    u = np.array([r.row for r in svd.u.orderBy("i").collect()])
+    v = {r.j: r.v for r in svd.v.collect()}
+    v = np.array([v[j] for j in used])
+    want = np.linalg.svd(a, compute_uv=False)
+    assert svd.s == pytest.approx(want[:12], rel=1e-9) and u.T @ u == pytest.approx(np.eye(12), abs=1e-8)
+    assert a @ v == pytest.approx(u * svd.s, abs=1e-7) and a.T @ u == pytest.approx(v * svd.s, abs=1e-7)
+    assert (np.take_along_axis(v, np.abs(v).argmax(0)[None], 0) > 0).all()
+    parts = factor.principal_components(rows, 29)
+    centred = np.linalg.svd(a - a.mean(0), compute_uv=False)
+    assert parts.explained == pytest.approx(centred[:29] ** 2 / (centred**2).sum(), rel=1e-9)
+    image = np.array([r.row for r in rowmatrix.multiply_table(rows, parts.vectors).orderBy("i").collect()])
+    assert np.cov(image.T) * 29 == pytest.approx(np.diag(centred[:29] ** 2), abs=1e-6)
+
+
+@pytest.mark.parametrize("centred", [False, True])
+def test_leading_vectors_from_passes_over_lists(spark, monkeypatch, centred):
+    """Flat values, several of them equal, with room for so few vectors that the best go on alone."""
+    r = np.random.default_rng(8)
+    half = (r.random((20, 100)) < 0.3) * r.normal(size=(20, 100))
+    a = np.kron(np.eye(3), half)
+    lists = spark.createDataFrame([(j, np.flatnonzero(c).tolist(), c[c != 0].tolist()) for j, c in enumerate(a.T) if c.any()], "j bigint, at array<int>, x array<double>").coalesce(2).cache()
+    monkeypatch.setattr(leading, "BASIS_CELLS", 60 * 20)
+    x = a - a.mean(0) if centred else a
+    for side in (4096, 2):
+        s, u = leading.left_vectors(lists, 60, 3, centred=centred, dense_side=side)
+        assert s == pytest.approx(np.linalg.svd(x, compute_uv=False)[:3], rel=1e-9)
+        assert u.T @ u == pytest.approx(np.eye(3), abs=1e-8) and x @ (x.T @ u) == pytest.approx(u * s**2, abs=1e-7)
+    with pytest.warns(UserWarning, match="after 1 passes"):
+        leading.left_vectors(lists, 60, 3, dense_side=2, max_passes=1)
+
+
+def test_a_side_that_fits_the_driver_needs_no_distributed_basis(spark, monkeypatch):
+    def never(*a, **k):
+        raise AssertionError("a distributed basis for a short side")
+
+    monkeypatch.setattr(embedding, "block_lanczos", never)
+    x = np.random.default_rng(3).normal(size=(12, 30))
+    for y in (x, x.T):
+        stored = entries(spark, *[(i, j, y[i, j]) for i in range(y.shape[0]) for j in range(y.shape[1])])
+        s, v = embedding.right_vectors(stored, coo.Shape(*y.shape), 3, 4)
+        got = np.array([t.v for t in sorted(v.collect(), key=lambda t: t.j)])
+        assert np.allclose(s, np.linalg.svd(y)[1][:3], atol=1e-9) and np.allclose(np.abs(got), np.abs(np.linalg.svd(y)[2][:3].T), atol=1e-7)
