@@ -516,3 +516,25 @@ def test_a_side_that_fits_the_driver_needs_no_distributed_basis(spark, monkeypat
         s, v = embedding.right_vectors(stored, coo.Shape(*y.shape), 3, 4)
         got = np.array([t.v for t in sorted(v.collect(), key=lambda t: t.j)])
         assert np.allclose(s, np.linalg.svd(y)[1][:3], atol=1e-9) and np.allclose(np.abs(got), np.abs(np.linalg.svd(y)[2][:3].T), atol=1e-7)
+
+
+@pytest.mark.parametrize("entries_a_cell", [500_000, 300])
+def test_full_products_are_made_in_cells_of_a_grid(spark, monkeypatch, entries_a_cell):
+    """No tile meets: each cell of the result is made in one task, or in one per inner part, sparse and dense."""
+
+    def never(*a, **k):
+        raise AssertionError("products were shuffled")
+
+    monkeypatch.setattr(coo, "_tile_products", never)
+    monkeypatch.setattr(coo, "GRID_CELLS_USUAL", 500)
+    monkeypatch.setattr(coo, "GRID_ENTRIES", entries_a_cell)
+    monkeypatch.setattr(coo, "GRID_STEP", 5_000)
+    r = np.random.default_rng(6)
+    for m, k, n, share in ((70, 50, 60, 1.0), (90, 400, 5, 0.15), (4, 300, 80, 0.1)):
+        a, b = ((r.random(s) < share) * r.integers(1, 9, s).astype(float) for s in ((m, k), (k, n)))
+        left = [(int(i) + 3, int(j), a[i, j] / 2) for i, j in zip(*np.nonzero(a))]
+        right = [(int(i), int(j) - 2, b[i, j]) for i, j in zip(*np.nonzero(b))]
+        # Two rows of each position on the left add up; an inner place without a partner meets nothing.
+        found = cells(coo.multiply(entries(spark, *left, *left, (3, 900, 1.0)), entries(spark, *right)))
+        met = (a != 0).astype(int) @ (b != 0).astype(int)
+        assert found == {(i + 3, j - 2): (a @ b)[i, j] for i, j in zip(*np.nonzero(met))}
