@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nodeloom.operators.clustering import PIECE, annotate_degrees, hot_nodes, orient
-from nodeloom.operators.edges import simple_degrees
 from nodeloom.operators.skew import HOT_ROWS, join_hot
 from nodeloom.runtime import store_table
 
@@ -28,11 +27,13 @@ def ego_nets(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("copies"))
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    degrees = store_table(simple_degrees(counted.select("u", "v")))
+    # Degrees and rows of the nodes from one shuffle of the ends.
+    ends = F.array(F.struct(F.col("u").alias("nodeid"), "copies"), F.struct(F.col("v").alias("nodeid"), "copies"))
+    held = counted.select(F.explode(ends).alias("e")).groupBy("e.nodeid")
+    nodes = store_table(held.agg(F.count(F.lit(1)).alias("degree"), F.sum("e.copies").alias("own")))
+    degrees = nodes.select("nodeid", "degree")
     hot = hot_nodes(degrees, hot_rows)
     lists = store_table(counted_neighbours(orient(annotate_degrees(counted, degrees, hot))))
-    ends = F.array(F.struct(F.col("u").alias("nodeid"), "copies"), F.struct(F.col("v").alias("nodeid"), "copies"))
-    own = store_table(counted.select(F.explode(ends).alias("e")).groupBy("e.nodeid").agg(F.sum("e.copies").alias("own")))
     counted.unpersist()
 
     met = join_hot(
@@ -46,8 +47,7 @@ def ego_nets(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     credits = met.select(*columns).mapInArrow(_opposite_rows, "nodeid bigint, among bigint")
     among = credits.groupBy("nodeid").agg(F.sum("among").alias("among"))
     return (
-        degrees.join(own, "nodeid")
-        .join(among, "nodeid", "left")
+        nodes.join(among, "nodeid", "left")
         .select(
             "nodeid",
             (F.col("degree") + 1).alias("ego_size"),
