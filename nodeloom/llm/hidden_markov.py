@@ -123,8 +123,8 @@ class Expected:
     def none(cls, symbols: int, states: int) -> Expected:
         return cls(np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states)))
 
-    def add(self, model: Model, texts: list[np.ndarray]) -> None:
-        """Forward and backward over whole sequences.
+    def add(self, model: Model, texts: list[np.ndarray], leads: list[bool] | None = None) -> None:
+        """Forward and backward over whole sequences; those that do not lead a text go on within one.
 
         Sums over states are products with a square of ones, which keeps all arrays of one shape; the backward vectors
         are scaled by the forward sums, and anew every ``FRESH`` steps, so that rounding does not add up.
@@ -133,6 +133,7 @@ class Expected:
         width, many, states = int(sizes[0]), len(texts), len(model.start)
         move = model.move.astype(np.float32)
         back, ones = np.ascontiguousarray(move.T), np.ones_like(move)
+        lead = np.ones(many, bool) if leads is None else np.array(leads, bool)[order]
         emit = np.take(np.maximum(model.emit, LEAST).astype(np.float32), x, axis=0)
         alpha = np.empty((len(x), states), np.float32)
         sums, scale = np.empty((many, states), np.float32), np.empty(len(x), np.float32)
@@ -142,7 +143,7 @@ class Expected:
             if t:
                 np.matmul(alpha[begin[t - 1] : begin[t - 1] + high - low], move, out=now)
             else:
-                now[:] = model.start
+                now[:] = np.where(lead[:, None], model.start, model.move.mean(0))
             now *= seen
             np.matmul(now, ones, out=total)
             now /= total
@@ -163,7 +164,7 @@ class Expected:
                 moved += alpha[begin[t - 1] : begin[t - 1] + n].T @ behind
                 np.matmul(behind, back, out=after)
         self.move += moved * model.move
-        self.start += alpha[:many].sum(0)
+        self.start += alpha[:many][lead].sum(0)
         for k in range(states):
             self.emit[:, k] += np.bincount(x, alpha[:, k], len(self.emit))
 
