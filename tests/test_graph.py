@@ -10,6 +10,7 @@ from nodeloom.operators import binning as B
 from nodeloom.operators import clustering as C
 from nodeloom.operators.ego import ego_nets
 from nodeloom.operators.embedding import svd_embedding
+from nodeloom.operators import pagerank as P
 from nodeloom.operators.pagerank import pagerank
 
 # Fixed values of the sample graph.
@@ -59,6 +60,26 @@ def test_pagerank_of_skewed_graph(graph, hot):
     assert all(x >= 0.15 / 40 - 1e-12 for x in got.values())
 
 
+@pytest.mark.parametrize("hot", [1_000_000, 3])
+def test_rounds_before_the_last_send_nothing_to_nodes_without_links(graph, monkeypatch, hot):
+    """Few sources and many sinks; the links kept for those rounds lead to sources, repeated rows and hot ends included."""
+    pairs = [(s, t) for s in range(1, 6) for t in range(1, 60) if s != t] + [(1, 2)] * 9 + [(2, 61), (70, 1)]
+    kept = []
+    select = P.links_to_sources
+
+    def seen(*args, **options):
+        kept.append(select(*args, **options))
+        return kept[-1]
+
+    monkeypatch.setattr(P, "links_to_sources", seen)
+    for rounds in (1, 2, 10):
+        assert as_map(pagerank(graph(pairs), rounds, hot_rows=hot)) == pytest.approx(brute_ranks(pairs, rounds=rounds), abs=1e-12)
+    sources = {s for s, _ in pairs}
+    assert len(kept) == 2 and {(r.src, r.dst) for r in kept[-1].collect()} == {(s, t) for s, t in pairs if t in sources} | {(70, 70)}
+    pagerank(graph([(1, 2), (2, 3), (3, 1), (3, 4)]), 3)
+    assert len(kept) == 2
+
+
 def test_pagerank_special_graphs(spark, graph):
     assert as_map(pagerank(graph([(1, 1000)]), 2)) == pytest.approx(brute_ranks([(1, 1000)], rounds=2))
     counted = as_map(pagerank(graph([(1, 1000)]), 2, n_mode="count"))
