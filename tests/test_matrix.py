@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from nodeloom.functions import vectors as V
-from nodeloom.operators import adjacency, blocks, coo, embedding, factor, lanczos, leading, rowmatrix
+from nodeloom.operators import adjacency, blocks, coo, embedding, factor, lanczos, leading, rowmatrix, squares
+from nodeloom.plans import catalog
 
 
 def rows_of(spark, *rows):
@@ -538,3 +539,80 @@ def test_full_products_are_made_in_cells_of_a_grid(spark, monkeypatch, entries_a
         found = cells(coo.multiply(entries(spark, *left, *left, (3, 900, 1.0)), entries(spark, *right)))
         met = (a != 0).astype(int) @ (b != 0).astype(int)
         assert found == {(i + 3, j - 2): (a @ b)[i, j] for i, j in zip(*np.nonzero(met))}
+
+
+def _sparse_case(spark, monkeypatch, n_rows=60, n=47, share=0.15):
+    """A sparse matrix, its coordinates and its rows in pieces, with blocks of few columns and steps of few entries."""
+    rng = np.random.default_rng(8)
+    a = rng.integers(1, 9, (n_rows, n)) * (rng.random((n_rows, n)) < share).astype(float)
+    a[:, 5] = 0.0  # a column without an entry
+    a[:, n - 1] = 0.0
+    a[3, n - 1] = 2.0
+    a[::2, 20:30] = 1.0  # and a full square
+    i, j = np.nonzero(a)
+    table = spark.createDataFrame([(int(x), int(y), float(a[x, y])) for x, y in zip(i, j)], "i bigint, j bigint, v double").repartition(3)
+    monkeypatch.setattr(squares, "ENTRIES", 40)
+    monkeypatch.setattr(squares, "STEP", 300)
+    monkeypatch.setattr(squares, "SENT", 50)
+    return a[np.abs(a).sum(1) > 0], table, coo.to_sparse_rows(table, n, 16)
+
+
+@pytest.mark.parametrize("edge, products", [(64, 4_000_000), (9, 4_000_000), (9, 10), (2, 4_000_000)])
+def test_squares_of_sparse_rows(spark, monkeypatch, edge, products):
+    """Held as arrays and as places, in blocks of several widths; every column has a row."""
+    a, table, rows = _sparse_case(spark, monkeypatch)
+    n = a.shape[1]
+    monkeypatch.setattr(squares, "EDGE", edge)
+    monkeypatch.setattr(squares, "PRODUCTS", products)
+    g = squares.grid(table, n, False)
+    made = []
+    for bi in range(g.parts):
+        for bj in range(bi, g.parts):
+            cell = squares.Cell(bi * g.parts + bj, g)
+            for k in range(len(a)):
+                for b in {bi, bj}:
+                    o = np.flatnonzero(a[k, g.block(b)]).astype(np.int32)
+                    if len(o):
+                        cell.take(np.full(len(o), k), np.full(len(o), b), o, a[k, g.block(b)][o])
+            cell.close()
+            made += [(i[x], cell.cols[y], v) for i, r, c, w in cell.found() for x, y, v in zip(r, c, w)]
+    found = np.zeros((n, n))
+    for i, j, v in made:
+        found[i, j] += v
+    assert len({(i, j) for i, j, _ in made}) == len(made) and found == pytest.approx(np.triu(a.T @ a))
+    upper = rowmatrix.square_of_rows(rows)
+    assert {r.i for r in upper.collect()} == set(range(n))
+    got = np.zeros((n, n))
+    for r in rowmatrix.upper_cells(upper).collect():
+        got[r.i, r.j] += r.v
+    assert got == pytest.approx(np.triu(a.T @ a))
+    norms = rowmatrix.column_norms(rows)
+    assert norms == pytest.approx(np.linalg.norm(a, axis=0))
+    size = np.outer(norms, norms)
+    want = np.triu(np.divide(a.T @ a, size, out=np.zeros_like(size), where=size > 0))
+    got = np.zeros((n, n))
+    for r in rowmatrix.upper_cells(rowmatrix.cosines_upper(upper, norms)).collect():
+        got[r.i, r.j] = r.v
+    assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("edge", [64, 9])
+def test_covariance_of_sparse_rows(spark, monkeypatch, edge):
+    a, table, rows = _sparse_case(spark, monkeypatch)
+    n = a.shape[1]
+    monkeypatch.setattr(squares, "EDGE", edge)
+    assert rowmatrix.local_square(rowmatrix.covariance_upper(rows), n) == pytest.approx(np.cov(a.T), abs=1e-9)
+    monkeypatch.setattr(coo, "GRID_COLUMNS", 40)
+    monkeypatch.setattr(coo, "MAX_COLUMNS", 40)
+    dims = coo.Shape(len(a), n)
+    found = {(r.i, r.j): r.v for r in coo.covariance_upper(table, dims).collect()}
+    assert len(found) == n * (n + 1) // 2
+    assert found == pytest.approx({(i, j): np.cov(a.T)[i, j] for i in range(n) for j in range(i, n)}, abs=1e-9)
+
+
+def test_wide_rows_with_gaps_stay_dense(spark, monkeypatch):
+    monkeypatch.setattr(rowmatrix, "MAX_DENSE", 3)
+    table = entries(spark, (0, 0, 1.0), (1, 4, 2.0))
+    assert rowmatrix.is_sparse(catalog._wide_rows(table))
+    gap = table.withColumn("v", F.when(F.col("j") == 0, F.col("v")))
+    assert not rowmatrix.is_sparse(catalog._wide_rows(gap))
