@@ -6,7 +6,8 @@ every text a probability. Training starts from disturbed usual symbols and passe
 documents until their likelihood settles: every task computes expected counts with its own forward and backward
 recursions, and counts are summed per symbol by a shuffle. The recursions run over whole texts, so that every move
 is counted; texts are numbered once in a stored table, where those of like length lie together, so that a step of the
-recursions serves many. Updates are over-relaxed: a step of ``STRETCH`` times the one of Baum-Welch in the logarithms, which
+recursions serves many, and scoring can read that table again. Sums that a step is scaled by are taken every ``SCALED`` steps, and at every step again for texts
+whose probabilities fall too fast for that. Updates are over-relaxed: a step of ``STRETCH`` times the one of Baum-Welch in the logarithms, which
 converges for any factor below two near an optimum; should it lower the likelihood, the usual step is taken instead. Scoring is the scaled forward recursion over
 whole texts, which needs one state vector per document.
 
@@ -19,11 +20,12 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nodeloom.llm.columns import id_as_number, id_as_text
@@ -35,9 +37,14 @@ SYMBOL_BYTES = 64
 SETTLED = 1e-4
 STRETCH = 1.8
 FRESH = 32
+SCALED = 8
+FALLEN = 1e-20  # a sum over states below which scaling every few steps is not safe in 32 bits
+TURNED = 131_072  # posteriors that are laid out by state at once
 LEAST = 1e-30  # of an emission, so that 32-bit sums stay above 0
 BATCH_TOKENS = 1_000_000
+SERVED, LONG = 1_000, 2  # texts that a step should serve, and how much longer a batch may be for that
 SCORED_TOKENS = 1_000_000
+KIND_BYTES, TABLE_BYTES = 64, 33_554_432  # of a word besides its own in a table of counts, and of such a table
 COUNTED_WORDS = 400_000
 PRIOR = 0.1
 
@@ -64,8 +71,15 @@ class Model:
         return len(self.symbols) + 1
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        get, other = self.symbols.get, self.other
-        return np.array([*(get(w, other) for w in words), self.end], np.int32)
+        out = np.empty(len(words) + 1, np.int32)
+        out[:-1] = np.fromiter(map(self.symbols.get, words, repeat(self.other)), np.int32, len(words))
+        out[-1] = self.end
+        return out
+
+    @property
+    def stored(self) -> type:
+        """The type that holds every number in stored texts."""
+        return np.uint16 if len(self.emit) <= 1 << 16 else np.int32
 
     def updated(self, counts: Expected, usual: np.ndarray) -> Model:
         """The maximisation step, with a little of the usual distribution of symbols in every state."""
@@ -86,7 +100,7 @@ class Model:
         return self.symbols, self.start, self.move, self.emit
 
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Natural log of the likelihood of each number sequence: forward, scaled at every step."""
+        """Natural log of the likelihood of each number sequence: forward, scaled every ``SCALED`` steps and at its end."""
         if not texts:
             return np.zeros(0)
         order, sizes, begin, x = _steps(texts)
@@ -94,16 +108,21 @@ class Model:
         spare, scale = np.empty_like(alpha), np.empty_like(alpha)
         ones = np.ones_like(self.move)
         for t in range(sizes[0]):
-            n = begin[t + 1] - begin[t]
-            now, sums = spare[:n], scale[:n]
+            low, high = begin[t], begin[t + 1]
+            n, going = high - low, (begin[t + 2] - high if t + 1 < sizes[0] else 0)
+            now = spare[:n]
             if t:
                 np.matmul(alpha[:n], self.move, out=now)
             else:
                 now[:] = alpha
-            now *= np.take(self.emit, x[begin[t] : begin[t + 1]], axis=0)
-            np.matmul(now, ones, out=sums)
-            now /= sums
-            total[:n] += np.log(sums[:, 0])
+            now *= np.take(self.emit, x[low:high], axis=0)
+            if going < n:
+                total[going:n] += np.log(now[going:].sum(1))
+            if t % SCALED == SCALED - 1 and going:
+                now, sums = now[:going], scale[:going]
+                np.matmul(now, ones, out=sums)
+                now /= sums
+                total[:going] += np.log(sums[:, 0])
             alpha, spare = spare, alpha
         out = np.empty(len(texts))
         out[order] = total
@@ -118,11 +137,19 @@ class Expected:
     move: np.ndarray
     emit: np.ndarray
     likelihood: float = 0.0
+    room: dict[str, np.ndarray] = field(default_factory=dict, repr=False, compare=False)
 
     @classmethod
     def none(cls, symbols: int, states: int) -> Expected:
         return cls(np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states)))
 
+    def _space(self, name: str, *shape: int) -> np.ndarray:
+        """An array of any content, in memory that the next texts take again."""
+        size = int(np.prod(shape))
+        if name not in self.room or len(self.room[name]) < size:
+            self.room[name] = np.empty(size + size // 8, np.float32)
+        return self.room[name][:size].reshape(shape)
+
     def add(self, model: Model, texts: list[np.ndarray], leads: list[bool] | None = None) -> None:
         """Forward and backward over whole sequences; those that do not lead a text go on within one.
 
@@ -130,27 +157,46 @@ class Expected:
         are scaled by the forward sums, and anew every ``FRESH`` steps, so that rounding does not add up.
         """
         order, sizes, begin, x = _steps(texts)
-        width, many, states = int(sizes[0]), len(texts), len(model.start)
+        steps = sizes, begin, x.astype(np.intp)
+        lead = np.ones(len(texts), bool) if leads is None else np.array(leads, bool)[order]
+        if not self._add(model, lead, *steps, SCALED):
+            self._add(model, lead, *steps, 1)
+
+    def _add(self, model: Model, lead: np.ndarray, sizes: np.ndarray, begin: list[int], x: np.ndarray, scaled: int) -> bool:
+        """With sums every ``scaled`` steps and at the ends; nothing is added if they fall below ``FALLEN`` on the way, unless at every step.
+
+        Emissions are taken as shares of the symbol's greatest, so that a sum falls by what the moves lose alone.
+        """
+        width, many, states = int(sizes[0]), len(sizes), len(model.start)
         move = model.move.astype(np.float32)
         back, ones = np.ascontiguousarray(move.T), np.ones_like(move)
-        lead = np.ones(many, bool) if leads is None else np.array(leads, bool)[order]
-        emit = np.take(np.maximum(model.emit, LEAST).astype(np.float32), x, axis=0)
-        alpha = np.empty((len(x), states), np.float32)
-        sums, scale = np.empty((many, states), np.float32), np.empty(len(x), np.float32)
+        given = np.maximum(model.emit, LEAST)
+        most = given.max(1)
+        emit, alpha = self._space("emit", len(x), states), self._space("alpha", len(x), states)
+        np.take((given / most[:, None]).astype(np.float32), x, axis=0, out=emit, mode="clip")
+        sums, likelihood = np.empty((many, states), np.float32), 0.0
         for t in range(width):
             low, high = begin[t], begin[t + 1]
-            now, seen, total = alpha[low:high], emit[low:high], sums[: high - low]
+            now, seen = alpha[low:high], emit[low:high]
             if t:
                 np.matmul(alpha[begin[t - 1] : begin[t - 1] + high - low], move, out=now)
             else:
                 now[:] = np.where(lead[:, None], model.start, model.move.mean(0))
             now *= seen
-            np.matmul(now, ones, out=total)
-            now /= total
-            seen /= total
-            scale[low:high] = total[:, 0]
-        self.likelihood += float(np.log(scale, dtype=np.float64).sum())
+            if t % scaled == scaled - 1:
+                total = sums[: high - low]
+                np.matmul(now, ones, out=total)
+                if scaled > 1 and not total[:, 0].min() > FALLEN:
+                    return False
+                now /= total
+                seen /= total
+                likelihood += float(np.log(total[:, 0], dtype=np.float64).sum())
+        ends = alpha[np.array(begin)[sizes - 1] + np.arange(many)].sum(1, dtype=np.float64)
+        if scaled > 1 and not ends.min() > FALLEN:
+            return False
+        self.likelihood += likelihood + float(np.log(ends).sum() + np.bincount(x, minlength=len(most)) @ np.log(most))
         beta = np.ones((many, states), np.float32)
+        beta /= ends[:, None].astype(np.float32)
         moved = np.zeros((states, states))
         for t in range(width - 1, -1, -1):
             low, high = begin[t], begin[t + 1]
@@ -165,8 +211,11 @@ class Expected:
                 np.matmul(behind, back, out=after)
         self.move += moved * model.move
         self.start += alpha[:many][lead].sum(0)
-        for k in range(states):
-            self.emit[:, k] += np.bincount(x, alpha[:, k], len(self.emit))
+        for low in range(0, len(x), TURNED):
+            by_state = np.array(alpha[low : low + TURNED].T, np.float64, order="C")
+            for k in range(states):
+                self.emit[:, k] += np.bincount(x[low : low + TURNED], by_state[k], len(self.emit))
+        return True
 
 
 def _steps(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray]:
@@ -178,43 +227,55 @@ def _steps(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[int],
     sizes = np.array([len(texts[n]) for n in order])
     active = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")
     begin = np.concatenate([[0], np.cumsum(active)])
-    x = np.empty(begin[-1], np.int64)
+    x = np.empty(begin[-1], texts[0].dtype)
     for n, at in enumerate(order):
         x[begin[: sizes[n]] + n] = texts[at]
     return order, sizes, begin.tolist(), x
 
 
 def _gathered(texts: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
-    """Whole texts together, of about ``BATCH_TOKENS`` numbers."""
-    held, size = [], 0
+    """Whole texts of like length together, of about ``BATCH_TOKENS`` numbers, and of up to ``LONG`` times that while they are few.
+
+    Lengths are alike within a power of two; what is left of each at the end goes together, shortest first.
+    """
+    held: dict[int, list[np.ndarray]] = {}
+    sizes: Counter = Counter()
     for text in texts:
-        held.append(text)
-        size += len(text)
-        if size >= BATCH_TOKENS:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+        kind = len(text).bit_length()
+        some = held.setdefault(kind, [])
+        some.append(text)
+        sizes[kind] += len(text)
+        if sizes[kind] >= BATCH_TOKENS and (len(some) >= SERVED or sizes[kind] >= LONG * BATCH_TOKENS):
+            yield held.pop(kind)
+            sizes[kind] = 0
+    some, size = [], 0
+    for kind in sorted(held):
+        if some and size + sizes[kind] > LONG * BATCH_TOKENS:
+            yield some
+            some, size = [], 0
+        some, size = some + held.pop(kind), size + sizes[kind]
+    if some:
+        yield some
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """``word, c``: occurrences over all texts of ``docs``, without ends. Words are bytes."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted: Counter = Counter()
 
-        def rows() -> pd.DataFrame:
-            return pd.DataFrame({"word": list(counted.keys()), "c": list(counted.values())})
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"word": pa.array(list(counted), pa.binary()), "c": pa.array(list(counted.values()), pa.int64())})
 
         for batch in batches:
-            for text in batch["text"]:
-                counted.update(cut(text))
+            for text in batch.column(0):
+                counted.update(cut(text.as_py()))
                 if len(counted) > COUNTED_WORDS:
                     yield rows()
                     counted.clear()
         yield rows()
 
-    return docs.select("text").mapInPandas(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def first_model(symbols: dict[bytes, int], usual: np.ndarray, states: int) -> Model:
@@ -226,16 +287,43 @@ def first_model(symbols: dict[bytes, int], usual: np.ndarray, states: int) -> Mo
 
 
 def numbered(docs: DataFrame, model: Model) -> DataFrame:
-    """``numbers``: every text of ``docs`` as 32-bit numbers, stored for all passes, by length within each file."""
+    """Other columns and ``numbers``: every text of ``docs`` as numbers of the type ``model.stored``, stored for all passes, by length within each file.
+
+    With other columns there are ``words, times`` too, the words of the class of all other words, and ``row``, a number of the row.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model.parts())
+    others = [c for c in docs.columns if c != "text"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*held.value)
-        for batch in batches:
-            yield pd.DataFrame({"numbers": [own.numbers(cut(t)).tobytes() for t in batch["text"]]})
 
-    found = docs.select("text").mapInPandas(run, "numbers binary")
-    stored = store_table(found.sortWithinPartitions(F.octet_length("numbers")))
+        def rows(part: pa.RecordBatch, numbers: list[bytes], rare: list[Counter]) -> pa.RecordBatch:
+            columns = {c: part.column(n) for n, c in enumerate(others)} | {"numbers": pa.array(numbers, pa.binary())}
+            if others:
+                begin = pa.array(np.cumsum([0, *map(len, rare)]), pa.int32())
+                columns["words"] = pa.ListArray.from_arrays(begin, pa.array([w for r in rare for w in r], pa.binary()))
+                columns["times"] = pa.ListArray.from_arrays(begin, pa.array([n for r in rare for n in r.values()], pa.int64()))
+            return pa.RecordBatch.from_pydict(columns)
+
+        for batch in batches:
+            first, numbers, rare, size = 0, [], [], 0
+            for n, text in enumerate(batch.column(len(others))):
+                words = cut(text.as_py())
+                found = own.numbers(words)
+                numbers.append(found.astype(own.stored).tobytes())
+                if others:
+                    rare.append(Counter([words[k] for k in np.flatnonzero(found == own.other).tolist()]))
+                size += len(found)
+                if size >= SCORED_TOKENS or n + 1 == batch.num_rows:
+                    yield rows(batch.slice(first, n + 1 - first), numbers, rare)
+                    first, numbers, rare, size = n + 1, [], [], 0
+
+    placed = docs.select(*others, "text")
+    shape = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in placed.schema if f.name != "text") + "numbers binary"
+    found = placed.mapInArrow(run, shape + (", words array<binary>, times array<bigint>" if others else ""))
+    found = found.sortWithinPartitions(F.octet_length("numbers"))
+    # Row numbers are fixed by writing the table.
+    stored = store_table(found.withColumn("row", F.monotonically_increasing_id()) if others else found)
     held.unpersist()
     return stored
 
@@ -248,20 +336,22 @@ def expected_counts(texts: DataFrame, model: Model) -> Expected:
     held = texts.sparkSession.sparkContext.broadcast(model.parts())
     size, states = len(model.emit), len(model.start)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*held.value)
         counts = Expected.none(size, states)
-        for some in _gathered(np.frombuffer(t, np.int32) for batch in batches for t in batch["numbers"]):
+        for some in _gathered(np.frombuffer(t.as_buffer(), own.stored).copy() for batch in batches for t in batch.column(0)):
             counts.add(own, some)
         rows = np.concatenate([counts.emit, counts.move, counts.start[None], np.full((1, states), counts.likelihood)])
         used = np.flatnonzero(rows.any(1))
-        yield pd.DataFrame({"place": used, **{f"s{k}": rows[used, k] for k in range(states)}})
+        yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(rows[used, k]) for k in range(states))], names=["place", *columns])
 
     columns = [f"s{k}" for k in range(states)]
-    parts = texts.mapInPandas(run, "place bigint, " + ", ".join(f"{c} double" for c in columns))
+    # One sum per core, however many files the texts have, and so more texts of one length in a task.
+    own_cores = texts.select("numbers").coalesce(texts.sparkSession.sparkContext.defaultParallelism)
+    parts = own_cores.mapInArrow(run, "place bigint, " + ", ".join(f"{c} double" for c in columns))
     rows = np.zeros((size + states + 2, states))
-    for r in parts.groupBy("place").agg(*(F.sum(c).alias(c) for c in columns)).collect():
-        rows[r["place"]] = [r[c] for c in columns]
+    found = parts.groupBy("place").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
+    rows[found["place"].to_numpy()] = np.column_stack([found[c].to_numpy() for c in columns])
     held.unpersist()
     return Expected(rows[-2], rows[size:-2], rows[:size], float(rows[-1, 0]))
 
@@ -278,6 +368,8 @@ class Trained:
     docs: int
     other_tokens: int
     other_kinds: int
+    counts_bytes: int
+    texts: DataFrame | None = None
 
 
 def frequent(counts: DataFrame, symbols: int) -> dict[bytes, int]:
@@ -296,21 +388,28 @@ def frequent(counts: DataFrame, symbols: int) -> dict[bytes, int]:
     return {bytes(r.word): r.c for r in found}
 
 
-def train(docs: DataFrame, states: int = STATES, symbols: int = SYMBOLS, settled: float = SETTLED, stretch: float = STRETCH) -> Trained:
-    """Passes over all of ``docs`` until one raises the log likelihood by at most ``settled`` of it."""
+def train(docs: DataFrame, states: int = STATES, symbols: int = SYMBOLS, settled: float = SETTLED, stretch: float = STRETCH, learn: Column | None = None) -> Trained:
+    """Passes over all of ``docs`` until one raises the log likelihood by at most ``settled`` of it.
+
+    With ``learn`` over all rows for which it is true; then every row is numbered once, for the passes and for :func:`score`.
+    """
+    whole = None if learn is None else with_id(docs).withColumn("learn", F.coalesce(learn, F.lit(False)))
+    docs = docs if whole is None else docs.where(learn)
     counts = store_table(word_counts(docs))
     n_docs = docs.count()
-    sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.count(F.lit(1)).alias("k")).first()
+    held = F.sum(F.octet_length("word") + F.lit(KIND_BYTES))
+    sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.count(F.lit(1)).alias("k"), F.coalesce(held, F.lit(0)).alias("b")).first()
     common = frequent(counts, symbols)
     seen = sum(common.values())
     usual = np.array([*common.values(), sums.c - seen, n_docs], float) + 1e-3
     usual /= usual.sum()
     model = first_model({w: n for n, w in enumerate(common)}, usual, states)
+    texts = None if whole is None else numbered(whole, model)
     if n_docs:
-        texts = numbered(docs, model)
+        learned = numbered(docs.select("text"), model) if whole is None else texts.where("learn")
         best, usual_step = -np.inf, model
         while True:
-            found = expected_counts(texts, model)
+            found = expected_counts(learned, model)
             if not found.likelihood >= best and model is not usual_step:
                 model = usual_step
                 continue
@@ -320,60 +419,63 @@ def train(docs: DataFrame, states: int = STATES, symbols: int = SYMBOLS, settled
                 break
             model = model.stretched(usual_step, stretch)
         model = usual_step
-        drop_stored(texts)
-    return Trained(model, counts, common, sums.c + n_docs, sums.k + bool(n_docs), n_docs, sums.c - seen, sums.k - len(common))
+        if whole is None:
+            drop_stored(learned)
+    return Trained(model, counts, common, sums.c + n_docs, sums.k + bool(n_docs), n_docs, sums.c - seen, sums.k - len(common), sums.b, texts)
+
 
+def with_id(docs: DataFrame) -> DataFrame:
+    """``doc_id`` as bigint, and the text."""
+    return id_as_number(id_as_text(docs.select("doc_id", "text")))
 
-def score(docs: DataFrame, trained: Trained) -> DataFrame:
-    """``doc_id, n_tokens, n_known, base_score, score`` of every row's whole text, in log10."""
+
+def score(docs: DataFrame | None, trained: Trained) -> DataFrame:
+    """``doc_id, n_tokens, n_known, base_score, score`` of every row's whole text, in log10.
+
+    Without ``docs`` of the rows that :func:`train` was given, which it numbered where it got ``learn``.
+    """
+    texts = trained.texts if docs is None else numbered(with_id(docs), trained.model)
     common = [c for c in trained.common.values()]
     over = trained.tokens + trained.kinds + 1
     over_other = trained.other_tokens + trained.other_kinds + 1
     logs = np.log10((np.array([*common, 0, trained.docs], float) + 1) / over)
     logs[-2] = 0  # words of the large class are added after the join
     end_known = int(trained.docs > 0)
-    held = docs.sparkSession.sparkContext.broadcast((trained.model.parts(), logs))
+    held = texts.sparkSession.sparkContext.broadcast((trained.model.parts(), logs))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, base = held.value
         model = Model(*parts)
 
-        def rows(ids: list, numbers: list[np.ndarray], rare: list[Counter]) -> pd.DataFrame:
-            return pd.DataFrame(
-                {
-                    "doc_id": pd.Series(ids, dtype=object),
-                    "n_tokens": [len(x) for x in numbers],
-                    "known": [int((x < model.other).sum()) + end_known for x in numbers],
-                    "base": [float(base[x].sum()) for x in numbers],
-                    "forward": model.scores(numbers) / np.log(10),
-                    "words": [list(r.keys()) for r in rare],
-                    "times": [list(r.values()) for r in rare],
-                }
-            )
+        def rows(part: pa.RecordBatch, numbers: list[np.ndarray]) -> pa.RecordBatch:
+            columns = {
+                "row": part.column(0),
+                "doc_id": part.column(1),
+                "n_tokens": pa.array([len(x) for x in numbers], pa.int64()),
+                "known": pa.array([int((x < model.other).sum()) + end_known for x in numbers], pa.int64()),
+                "base": pa.array([float(base[x].sum()) for x in numbers], pa.float64()),
+                "forward": pa.array(model.scores(numbers) / np.log(10)),
+            }
+            return pa.RecordBatch.from_pydict(columns)
 
         for batch in batches:
-            ids, numbers, rare, size = [], [], [], 0
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                words = cut(text)
-                found = model.numbers(words)
-                ids.append(doc_id)
-                numbers.append(found)
-                rare.append(Counter(words[n] for n in np.flatnonzero(found == model.other).tolist()))
-                size += len(found)
-                if size >= SCORED_TOKENS:
-                    yield rows(ids, numbers, rare)
-                    ids, numbers, rare, size = [], [], [], 0
-            if ids:
-                yield rows(ids, numbers, rare)
-
-    shape = "doc_id string, n_tokens bigint, known bigint, base double, forward double, words array<binary>, times array<bigint>"
-    # Row numbers are fixed by writing the table.
-    scored = store_table(id_as_number(id_as_text(docs.select("doc_id", "text")).mapInPandas(run, shape)).withColumn("row", F.monotonically_increasing_id()))
+            first, numbers, size = 0, [], 0
+            for n, text in enumerate(batch.column(2)):
+                numbers.append(np.frombuffer(text.as_buffer(), model.stored))
+                size += len(numbers[-1])
+                if size >= SCORED_TOKENS or n + 1 == batch.num_rows:
+                    yield rows(batch.slice(first, n + 1 - first), numbers)
+                    first, numbers, size = n + 1, [], 0
+
+    scored = texts.select("row", "doc_id", "numbers").mapInArrow(run, "row bigint, doc_id bigint, n_tokens bigint, known bigint, base double, forward double")
     pairs = F.arrays_zip("words", "times")
-    rare = scored.select("row", F.explode(pairs).alias("r")).select("row", F.col("r.words").alias("word"), F.col("r.times").alias("n"))
+    rare = texts.select("row", F.explode(pairs).alias("r")).select("row", F.col("r.words").alias("word"), F.col("r.times").alias("n"))
     log = lambda of: F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(of)))
+    # Counts are held by word in tables of a bounded size, so that neither side is sorted.
+    parts = 1 + trained.counts_bytes // TABLE_BYTES
+    known = trained.counts.repartition(parts, "word").hint("shuffle_hash")
     more = (
-        rare.join(trained.counts, "word", "left")
+        rare.repartition(parts, "word").join(known, "word", "left")
         .groupBy("row")
         .agg(
             F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more_known"),
@@ -381,7 +483,7 @@ def score(docs: DataFrame, trained: Trained) -> DataFrame:
             F.sum(F.col("n") * log(over_other)).alias("more_score"),
         )
     )
-    joined = scored.drop("words", "times").join(more, "row", "left")
+    joined = scored.join(more, "row", "left")
     plus = lambda a, b, zero: (F.col(a) + F.coalesce(F.col(b), F.lit(zero)))
     return joined.select(
         "doc_id", "n_tokens", plus("known", "more_known", 0).alias("n_known"),
