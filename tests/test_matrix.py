@@ -616,3 +616,19 @@ def test_wide_rows_with_gaps_stay_dense(spark, monkeypatch):
     assert rowmatrix.is_sparse(catalog._wide_rows(table))
     gap = table.withColumn("v", F.when(F.col("j") == 0, F.col("v")))
     assert not rowmatrix.is_sparse(catalog._wide_rows(gap))
+
+
+@pytest.mark.parametrize("turn", [False, True])
+def test_process_takes_its_basis_over_the_shorter_side(spark, monkeypatch, turn):
+    a = np.random.default_rng(8).integers(-2, 3, (6, 40)).astype(float)
+    a[5] = a[0] + a[1]
+    a = a.T if turn else a
+    cells = spark.createDataFrame([(i, j, float(a[i, j])) for i, j in np.argwhere(a).tolist()], "i bigint, j bigint, v double")
+    seen = []
+    monkeypatch.setattr(embedding, "block_lanczos", lambda m, *args, keep=embedding.block_lanczos, **kw: seen.append(m.select("j").distinct().count()) or keep(m, *args, **kw))
+    s, v = embedding.right_vectors(cells, coo.Shape(*a.shape), 6, dense_side=0)
+    assert seen == [6] and len(s) == 5 and s == pytest.approx(np.linalg.svd(a, compute_uv=False)[:5])
+    found = np.zeros((a.shape[1], 5))
+    for r in v.collect():
+        found[r.j] = r.v
+    assert np.abs(found.T @ found - np.eye(5)).max() < 1e-8 and np.abs(a.T @ (a @ found) - found * s**2).max() < 1e-7
