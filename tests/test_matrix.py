@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nodeloom.functions import vectors as V
-from nodeloom.operators import adjacency, blocks, coo, embedding, factor, lanczos, leading, rowmatrix, squares
+from nodeloom.operators import adjacency, blocks, coo, embedding, factor, lanczos, leading, rotations, rowmatrix, squares
 from nodeloom.plans import catalog
 
 
@@ -632,3 +632,65 @@ def test_process_takes_its_basis_over_the_shorter_side(spark, monkeypatch, turn)
     for r in v.collect():
         found[r.j] = r.v
     assert np.abs(found.T @ found - np.eye(5)).max() < 1e-8 and np.abs(a.T @ (a @ found) - found * s**2).max() < 1e-7
+
+
+@pytest.mark.parametrize("turn", [False, True])
+def test_many_components_come_from_rotations_of_blocks(spark, monkeypatch, turn):
+    def never(*args, **kw):
+        raise AssertionError("the process has no room for so many components")
+
+    monkeypatch.setattr(embedding, "block_lanczos", never)
+    monkeypatch.setattr(rotations, "BLOCK_CELLS", 280 * 75)
+    a = (np.random.default_rng(5).random((280, 330)) < 0.05).astype(float)
+    a[9], a[11], a[:, 4] = a[8], 0.0, 0.0
+    a = a.T if turn else a
+    m, n = a.shape
+    table = spark.createDataFrame([(i, j, 1.0) for i, j in np.argwhere(a).tolist()], "i bigint, j bigint, v double")
+    s, v = embedding.right_vectors(table, coo.Shape(m, n), 280, dense_side=0)
+    want = np.linalg.svd(a, compute_uv=False)
+    want = want[want > 1e-7 * want[0]]
+    assert len(s) == len(want) < 280 and s == pytest.approx(want)
+    found = np.zeros((n, len(s)))
+    for r in v.collect():
+        found[r.j] = r.v
+    assert np.abs(found.T @ found - np.eye(len(s))).max() < 1e-7 and np.abs(a.T @ (a @ found) - found * s**2).max() < 1e-8
+    assert all(found[np.round(np.abs(found[:, c]), 9).argmax(), c] > 0 for c in range(len(s)))
+    image = {r.i: r.row for r in rotations.product(table, v, m, len(s)).collect()}
+    assert sorted(image) == list(range(m)) and np.abs(np.array([image[i] for i in range(m)]) - a @ found).max() < 1e-12
+
+
+def test_every_pair_of_blocks_meets_once():
+    for count in (2, 4, 6, 12):
+        met = [p for turn in range(count - 1) for p in rotations.pairs(count, turn)]
+        assert len(met) == len(set(met)) == count * (count - 1) // 2
+        assert all(sorted(sum(rotations.pairs(count, turn), ())) == list(range(count)) for turn in range(count - 1))
+
+
+def test_equal_values_and_dense_stripes_turn_into_place(spark):
+    a = np.kron(np.eye(3), np.ones((4, 5))) + np.kron(np.eye(3), np.eye(4, 5))
+    table = spark.createDataFrame([(i, j, float(a[i, j])) for i, j in np.argwhere(a).tolist()], "i bigint, j bigint, v double")
+    s, v = rotations.right_vectors(table, 12, 15, 12, 1e-7)
+    assert s == pytest.approx(np.linalg.svd(a, compute_uv=False))
+    found = np.zeros((15, 12))
+    for r in v.collect():
+        found[r.j] = r.v
+    assert np.abs(found.T @ found - np.eye(12)).max() < 1e-10 and np.abs(a.T @ (a @ found) - found * s**2).max() < 1e-10
+
+
+def test_sparse_and_dense_sums_of_a_stripe_agree(monkeypatch):
+    a = (np.random.default_rng(3).random((40, 30)) < 0.2) * 2.0
+    at, j = np.nonzero(a)
+    order = np.lexsort((at, j))
+    at, j = at[order], j[order]
+    x, right = a[at, j], np.random.default_rng(4).random((40, 6))
+    monkeypatch.setattr(rotations, "STEP_CELLS", 150)
+    own = np.unique(j)[::-1]
+    lines = np.random.default_rng(6).random((len(own), 3))
+    for dense in (0, 10**9):
+        monkeypatch.setattr(rotations, "DENSE", dense)
+        square, sums = np.zeros((40, 12)), np.zeros((40, 3))
+        rotations._add_square(square, 10, 22, j, at, x)
+        assert square == pytest.approx((a @ a.T)[:, 10:22])
+        assert rotations._lists_times(j, at, x, right) == pytest.approx(a.T[np.unique(j)] @ right)
+        rotations._add_lists(sums, (j, at, x), own, lines)
+        assert sums == pytest.approx(a[:, own] @ lines)
