@@ -694,3 +694,15 @@ def test_sparse_and_dense_sums_of_a_stripe_agree(monkeypatch):
         assert rotations._lists_times(j, at, x, right) == pytest.approx(a.T[np.unique(j)] @ right)
         rotations._add_lists(sums, (j, at, x), own, lines)
         assert sums == pytest.approx(a[:, own] @ lines)
+
+
+@pytest.mark.parametrize("side", [4_096, 0])
+def test_equal_components_fall(spark, tmp_path, monkeypatch, side):
+    keep = embedding.right_vectors
+    monkeypatch.setattr(embedding, "MOST", 0)
+    monkeypatch.setattr(embedding, "right_vectors", lambda *args: keep(*args, dense_side=side))
+    a = np.random.default_rng(12).random((8, 15)) < 0.4
+    rows = [(1, 1, int(i) + 8 * copy, int(j) + 15 * copy + 100, 2.0) for copy in range(4) for i, j in np.argwhere(a)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_suppkey bigint, l_partkey bigint, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = [tuple(r) for r in catalog.QUERIES["g13_all_components"](spark, str(tmp_path)).orderBy("component").collect()]
+    assert got == [(n, 0.0, 1.0, True, float(len(rows))) for n in range(1, 33)]
