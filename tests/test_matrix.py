@@ -706,3 +706,25 @@ def test_equal_components_fall(spark, tmp_path, monkeypatch, side):
     spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_suppkey bigint, l_partkey bigint, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = [tuple(r) for r in catalog.QUERIES["g13_all_components"](spark, str(tmp_path)).orderBy("component").collect()]
     assert got == [(n, 0.0, 1.0, True, float(len(rows))) for n in range(1, 33)]
+
+
+@pytest.mark.parametrize("unit", [False, True])
+def test_tiles_of_lists_multiply_like_the_lists(spark, monkeypatch, unit):
+    """Lists and places with more entries than a run, an entry that comes twice, and more lists than a tile holds."""
+    monkeypatch.setattr(leading, "TILE", 40)
+    monkeypatch.setattr(leading, "RUN", 4)
+    r = np.random.default_rng(5)
+    a = (r.random((30, 50)) < 0.2) * r.normal(size=(30, 50))
+    a[:, 0] = a[7] = 1.0
+    rows = [(j, np.flatnonzero(c).tolist(), (np.ones(np.count_nonzero(c)) if unit else c[c != 0]).tolist()) for j, c in enumerate(a.T)]
+    rows[0][1].append(3), rows[0][2].append(1.0)
+    x = (a != 0) * 1.0 if unit else a.copy()
+    x[3, 0] += 1.0
+    laid = leading.tiles(spark.createDataFrame(rows, "j bigint, at array<int>, x array<double>").coalesce(2))
+    assert laid.count() > 2 and laid.selectExpr("sum(n)").first()[0] == 50
+    q = r.normal(size=(30, 3))
+    for cells in (leading.TILE_CELLS, 1):
+        monkeypatch.setattr(leading, "TILE_CELLS", cells)
+        assert leading.square_times(laid, q) == pytest.approx(x @ (x.T @ q), abs=1e-9)
+    y = x - x.mean(0)
+    assert leading.square_times(laid, q, centred=True) == pytest.approx(y @ (y.T @ q), abs=1e-9)
