@@ -728,3 +728,24 @@ def test_tiles_of_lists_multiply_like_the_lists(spark, monkeypatch, unit):
         assert leading.square_times(laid, q) == pytest.approx(x @ (x.T @ q), abs=1e-9)
     y = x - x.mean(0)
     assert leading.square_times(laid, q, centred=True) == pytest.approx(y @ (y.T @ q), abs=1e-9)
+
+
+def test_entries_go_to_cells_of_blocks_that_their_row_has(spark, monkeypatch):
+    """Parts that share no row are sent once each, and wide cells are cut by their entries, however many products they have."""
+    monkeypatch.setattr(squares, "EDGE", 2)
+    monkeypatch.setattr(squares, "BLOCK_ENTRIES", 160)
+    monkeypatch.setattr(squares, "PRODUCTS", 50)
+    r = np.random.default_rng(3)
+    a = np.kron(np.eye(2), r.integers(1, 9, (20, 16))).astype(float)
+    i, j = np.nonzero(a)
+    table = spark.createDataFrame([(int(x), int(y), float(a[x, y])) for x, y in zip(i, j)], "i bigint, j bigint, v double")
+    monkeypatch.setattr(squares, "shuffle_partitions", lambda spark: 2)
+    g = squares.grid(table, 32, False)
+    assert g.edge > squares.EDGE and all(np.count_nonzero(a[:, g.block(b)]) <= 160 for b in range(g.parts))
+    sent = squares.to_cells(table, g).collect()
+    own = [len({y // g.edge for y in np.flatnonzero(row)}) for row in a]
+    assert sum(len(x.o) for x in sent) == sum(n * np.count_nonzero(row) for n, row in zip(own, a))
+    got = np.zeros((32, 32))
+    for x in squares.stored_upper(table, 32).collect():
+        got[x.i, x.first + np.array(x["at"], dtype=int)] += x.part
+    assert got == pytest.approx(np.triu(a.T @ a))
