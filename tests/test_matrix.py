@@ -749,3 +749,17 @@ def test_entries_go_to_cells_of_blocks_that_their_row_has(spark, monkeypatch):
     for x in squares.stored_upper(table, 32).collect():
         got[x.i, x.first + np.array(x["at"], dtype=int)] += x.part
     assert got == pytest.approx(np.triu(a.T @ a))
+
+
+def test_triplets_are_checked_with_one_line_a_column(spark):
+    """The check sees a wrong value, and no row per column and component is shuffled."""
+    a = np.random.default_rng(4).normal(size=(4, 30))
+    table = entries(spark, *[(i, j, float(a[i, j])) for i in range(4) for j in range(30)])
+    found = factor.svd(coo.to_sparse_rows(table, 30, 16), 4, compute_u=True)
+    checked = catalog._checked_triplets(table, found, spark)
+    rows = {r.component: r for r in checked.collect()}
+    assert all(r.residual < 1e-9 and abs(r.left_length - 1) < 1e-9 and abs(r.right_length - 1) < 1e-9 and r.falling for r in rows.values()) and len(rows) == 4
+    wrong = {r.component: r for r in catalog._checked_triplets(table, found._replace(s=found.s * [1.0, 1.5, 1.0, 1.0]), spark).collect()}
+    assert wrong[2].residual > 0.01 > wrong[1].residual
+    plan = checked._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [j#" in plan and "images" in plan and not any("Join" in line and "c#" in line for line in plan.splitlines())
